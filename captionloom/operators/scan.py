@@ -108,6 +108,14 @@ def ordered_scan(
     return out.select(*columns, *specs)
 
 
+def join_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = 16) -> DataFrame:
+    """Left join of rows with one row per key. A key's rows are dealt over ``salts`` tasks and its
+    total row is copied to each, so a key that holds a third of the rows is not one task's work."""
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
 def with_previous(df: DataFrame, keys, order, columns: Mapping[str, str], **kw) -> DataFrame:
     """``lag``: for each ``new -> old`` pair the value of ``old`` in the row before (null at the start)."""
     packed = {f"_p_{new}": F.struct(F.col(old).alias("v")) for new, old in columns.items()}
