@@ -239,9 +239,11 @@ def translate_batches(
     body = extract_code_block(F.col("response"))
     body = clean_srt_text(body) if clean else body
     parsed = parse_srt_text(replies.filter("response is not null and response <> ''").withColumn("_srt", body), "_srt")
-    answers = parsed.filter("_corrupt is null").select("rec_id", "batch_id", "pos", "start_ms", "end_ms", "content")
-    got = answers.select("rec_id", "batch_id").distinct()
-    failed = prompts.select("rec_id", "batch_id").join(got, ["rec_id", "batch_id"], "left_anti")
+    # no response or one that is not caption text fails the batch; a response without cues is an empty answer
+    failed = replies.filter("response is null or response = ''").select("rec_id", "batch_id").unionByName(
+        parsed.filter("_corrupt is not null").select("rec_id", "batch_id")).distinct()
+    answers = parsed.select("rec_id", "batch_id", "pos", "start_ms", "end_ms", "content").join(
+        failed, ["rec_id", "batch_id"], "left_anti")
     answers = lookup.restore_timing(rows, answers)
     if bilingual:
         source = rows.select("rec_id", "batch_id", "pos", F.col("content").alias("_src"))

@@ -59,6 +59,12 @@ def parse_srt_text(df: DataFrame, text: str) -> DataFrame:
     tidy = sub(sub(F.col(text), r"\r(?=\n)", ""), r"\r", "\n")
     pieces = F.filter(F.split(sub(tidy, r"\n[ \t]*\n+", MARK), MARK, -1), lambda p: strip(p) != "")
     # a block without a time line continues the text of the cue before it
+    pieces = F.aggregate(
+        pieces, F.expr("cast(array() as array<string>)"),
+        lambda acc, p: F.when(
+            (F.size(acc) > 0) & ~p.rlike(r"\A\s*(\d+\s*\n)?[^\n]*-->"),
+            F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
+                           F.concat_ws("\n\n", F.element_at(acc, -1), p))).otherwise(F.array_append(acc, p)))
     rows = df.select("*", F.posexplode(pieces).alias("pos", "value"))
     return parse_srt_blocks(rows).withColumn("pos", F.col("pos").cast("bigint"))
 
