@@ -16,7 +16,14 @@ BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
 def unicode_regex(pattern: str) -> str:
-    """Rewrite ``\\b``, ``\\w`` and ``\\s`` (outside brackets) to their Unicode meaning, ignoring case."""
+    """Rewrite ``\\b``, ``\\w`` and ``\\s`` (outside brackets) to their Unicode meaning, ignoring case.
+
+    A border at the very start or end of a pattern must stand beside a word character of the pattern.
+    """
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<![{WORD}])" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?![{WORD}])"
     pattern = pattern.replace(r"\b", BOUNDARY).replace(r"\w", f"[{WORD}]").replace(r"\s", f"[{SPACE}]")
     return "(?iu)" + pattern
 
@@ -152,7 +159,7 @@ PROTECTED = (
 
 
 def has_protected(text: Column) -> Column:
-    return text.rlike(unicode_regex("|".join(PROTECTED)))
+    return text.rlike("|".join(unicode_regex(p) for p in PROTECTED))
 
 
 def translatable(text: Column) -> Column:

@@ -388,6 +388,11 @@ def _fold(sentences: DataFrame, words: DataFrame, form: str, kernel: Callable, k
     if form in ("hyphen", "plain"):
         left = left.filter("norm <> ''")
     right = sentences.select(*keys, "sent_idx", "text", (split(F.col("text")) if toks is None else toks).alias("toks"))
+    # fresh columns, as both sides may come from the same table; a fixed number of partitions, so that
+    # small inputs keep all cores (row sizes say little about the kernels' work)
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns]).repartition(n, *keys)
+    left = left.repartition(n, *keys)
     types = dict(sentences.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", sent_idx bigint, text string, start_ms bigint, end_ms bigint, confidence double,"

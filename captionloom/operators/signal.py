@@ -131,7 +131,7 @@ def best_split(ranges: DataFrame, targets: DataFrame, window: int, depth: int =
     area = targets.withColumns({
         "_lo": F.greatest(F.lit(0), F.col("target") - half), "_hi": F.least(F.col("length"), F.col("target") + half)})
     size = max(window, 1)
-    left = area.filter("_lo < _hi").withColumn("_b", F.explode(F.expr(f"sequence(_lo div {size}, (_hi - 1) div {size})")))
+    left = area.filter("_lo < _hi").select(*KEY, "target", "_lo", "_hi").withColumn("_b", F.explode(F.expr(f"sequence(_lo div {size}, (_hi - 1) div {size})")))
     right = ranges.withColumn("_b", F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")))
     near = left.join(right, [*KEY, "_b"]).filter("start < _hi and end > _lo").select(
         *KEY, "target", F.greatest("start", "_lo").alias("s"), F.least("end", "_hi").alias("e")).distinct()

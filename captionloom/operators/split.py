@@ -69,19 +69,20 @@ def spans(text: Column, pattern: str) -> Column:
     """Offsets of all matches: ``array<struct<s,e,before,at_s,last,at_e>>``; the last four say whether
     the characters before/at the start and before/at the end are blanks."""
     pieces = F.split(sub(text, unicode_regex(pattern), f"{MARK}$0{MARK_END}"), MARK, -1)
-    # every piece but the first is: match, end mark, text up to the next match
-    lengths = F.transform(pieces, lambda p: F.struct(
-        (F.length(p) - F.locate(MARK_END, p)).alias("g"), (F.locate(MARK_END, p) - 1).alias("h")))
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    folded = F.aggregate(
-        F.slice(lengths, F.lit(2), F.size(lengths)),
-        F.struct(F.get(lengths, F.lit(0))["g"].alias("pos"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["h"] + x["g"]).alias("pos"),
-            F.array_append(acc["out"], F.struct(
-                acc["pos"].alias("s"), (acc["pos"] + x["h"]).alias("e"))).alias("out")),
-    )["out"]
-    return F.transform(folded, lambda m: F.struct(
+
+    def offsets(ps: Column) -> Column:
+        # every piece but the first is: match, end mark, text up to the next match
+        return F.aggregate(
+            F.slice(ps, F.lit(2), F.size(ps)),
+            F.struct(F.length(F.get(ps, F.lit(0))).alias("pos"), empty.alias("out")),
+            lambda acc, p: F.struct(
+                (acc["pos"] + F.length(p) - 1).alias("pos"),
+                F.array_append(acc["out"], F.struct(
+                    acc["pos"].alias("s"), (acc["pos"] + F.locate(MARK_END, p) - 1).alias("e"))).alias("out")),
+            lambda acc: acc["out"])
+
+    return F.transform(let(pieces, offsets), lambda m: F.struct(
         m["s"].alias("s"), m["e"].alias("e"),
         F.when(m["s"] > 0, _char(text, m["s"] - 1)).otherwise(0).alias("before"), _char(text, m["s"]).alias("at_s"),
         _char(text, m["e"] - 1).alias("last"), _char(text, m["e"]).alias("at_e")))
@@ -263,7 +264,7 @@ def split_greedy_after(text: Column, max_chars: int = MAX_CHARS, min_len: int =
 
             return cut_at(v["t"], F.aggregate(v["m"], state, step, lambda acc: acc["cuts"]))
 
-        parts = let(F.struct(collapse(text).alias("t"), spans(collapse(text), pattern).alias("m")), body)
+        parts = let(collapse(text), lambda x: let(F.struct(x.alias("t"), spans(x, pattern).alias("m")), body))
         return let(parts, lambda p: F.when(F.forall(p, lambda x: F.length(x) <= max_chars), p).otherwise(_one(text)))
 
     return _first_split([one(p) for p in GRAMMAR], text)

@@ -60,7 +60,8 @@ def bounded_sentences(sents: DataFrame, max_chars: int, profile: str, compat: bo
 def _fallback(aligned: DataFrame, words: DataFrame, mode: str, keys: Sequence[str] = CHUNK) -> DataFrame:
     first = words.groupBy(*keys).agg(
         F.min_by("start_ms", "word_idx").alias("_fs"), F.min_by("end_ms", "word_idx").alias("_fe"))
-    rows = aligned.join(first, list(keys), "left")
+    # the scans below read their input more than once; the kernels must not run again for it
+    rows = materialize(aligned, "aligned").join(first, list(keys), "left")
     return timing.fallback_times(rows, keys, ["sent_idx"], mode, "text", "_fs" if mode != "b" else None,
                                  "_fe" if mode == "c" else None, depth=1).drop("_fs", "_fe")
 
@@ -144,18 +145,19 @@ def captions_fallback(segments: DataFrame, words: DataFrame | None = None, max_c
     rows = segments.filter(~is_blank(F.col("text"))).select(
         *CHUNK, "seg_idx", "start_ms", "end_ms", punctuate_rule(F.col("text")).alias("text"))
     parts = split.enforce_length(rows, "text", max_chars, profile)
-    parts = timing.time_proportional(parts, [*CHUNK, "seg_idx"], ["part_idx"])
+    parts = timing.time_proportional(materialize(parts, "parts"), [*CHUNK, "seg_idx"], ["part_idx"])
     parts = parts.drop("start_ms", "end_ms", "text").withColumnsRenamed(
         {"part_start_ms": "start_ms", "part_end_ms": "end_ms", "part": "text"})
     if words is not None:
         seg = parts.select(*CHUNK, "seg_idx", F.col("part_idx").alias("sent_idx"), "text")
         inside = lookup.words_in_segment(segments, words).join(segments.select("rec_id", "chunk_id", "seg_idx"), ["rec_id", "seg_idx"])
         exact = align.align_best_sequence(seg, inside, [*CHUNK, "seg_idx"])
-        exact = timing.fallback_times(exact, [*CHUNK, "seg_idx"], ["sent_idx"], "c", **kw)
+        exact = timing.fallback_times(materialize(exact, "exact"), [*CHUNK, "seg_idx"], ["sent_idx"], "c", depth=0)
         exact = exact.select(*CHUNK, "seg_idx", F.col("sent_idx").alias("part_idx"), F.col("start_ms").alias("_s"),
                              F.col("end_ms").alias("_e"), F.col("confidence").alias("timing_confidence"))
         parts = parts.join(exact, [*CHUNK, "seg_idx", "part_idx"], "left").withColumns(
             {"start_ms": F.coalesce("_s", "start_ms"), "end_ms": F.coalesce("_e", "end_ms")}).drop("_s", "_e")
+        parts = materialize(parts, "timed")
     parts = timing.repair_times(parts, list(CHUNK), ["seg_idx", "part_idx"], **kw)
     parts = parts.withColumn("_w", F.lit(words is not None))
     return timing.default_fields(parts, "_w").drop("_w")

@@ -316,14 +316,14 @@ def _answers(t: Tables):
     src = merge.batch_cues(t.cues, 5, **_flat(t))
     base = src.filter("not (batch_id % 2 = 0 and pos = 1 and rec_id % 3 = 0)").select(
         "rec_id", "batch_id", "pos", F.lit(1).cast("bigint").alias("start_ms"), F.lit(2).cast("bigint").alias("end_ms"),
-        F.upper("content").alias("content"))
+        F.lower("content").alias("content"))
     more = src.filter("pos = 0 and rec_id % 4 = 0").select(
         "rec_id", "batch_id", F.lit(99).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("start_ms"),
         F.lit(2).cast("bigint").alias("end_ms"), F.lit("X").alias("content"))
     return src, base.unionByName(more)
 
 
-_ANSWERS = f"""with {_BATCH}, ans as (select rec_id, batch_id, pos, 1 start_ms, 2 end_ms, upper(content) as content from b
+_ANSWERS = f"""with {_BATCH}, ans as (select rec_id, batch_id, pos, 1 start_ms, 2 end_ms, lower(content) as content from b
   where not (batch_id % 2 = 0 and pos = 1 and rec_id % 3 = 0)
  union all select rec_id, batch_id, 99, 1, 2, 'X' from b where pos = 0 and rec_id % 4 = 0)"""
 
@@ -421,7 +421,7 @@ def clip_to_end(t: Tables) -> DataFrame:
 
 
 @query("default_fields", sql_with("segments", """select rec_id, seg_idx, cast(coalesce(case when seg_idx % 2 = 0 then seg_idx end, len(string_split(text, ' '))) as bigint) word_count,
- case when seg_idx % 3 = 0 then 1.0 else 0.5 end timing_confidence from segments"""))
+ case when seg_idx % 3 = 0 then 1.0 else 0.5 end::double timing_confidence from segments"""))
 def default_fields(t: Tables) -> DataFrame:
     rows = t.segments.withColumns({"word_count": F.when(F.col("seg_idx") % 2 == 0, F.col("seg_idx")), "has": F.col("seg_idx") % 3 == 0})
     return timing.default_fields(rows, "has").select("rec_id", "seg_idx", "word_count", "timing_confidence")
@@ -444,10 +444,10 @@ def _anomaly_sql(variant: str) -> str:
   (select *, trim(left(content, 4)) t from cues) window w as (partition by rec_id order by chunk_id, cue_idx)),
  a as (select rec_id, count(*) n, count(*) filter (where {same}) repeated, count(*) filter (where end_ms - start_ms > 15000) long,
   count(*) filter (where end_ms <= start_ms) zero, count(*) filter (where length(t) <= 3) short, count(*) filter (where length(t) = 1) single,
-  count(*) filter (where start_ms < pe) overlaps from k group by 1)
+  count(*) filter (where start_ms < pe) "overlaps" from k group by 1)
  select *, concat_ws(',', case when repeated > 1 then 'repeated_segments(' || repeated || ')' end, case when long > 0 then 'long_segments(' || long || ')' end,
   case when zero > 0 then 'zero_duration(' || zero || ')' end, case when n > 5 and short / n > 0.3 then 'fragmented(' || short || '/' || n || ')' end,
-  {single}case when overlaps > 0 then 'overlaps(' || overlaps || ')' end) labels from a""")
+  {single}case when "overlaps" > 0 then 'overlaps(' || "overlaps" || ')' end) labels from a""")
 
 
 for _variant in ("full", "plain"):
@@ -483,7 +483,7 @@ def quality_tiers(t: Tables) -> DataFrame:
 
 
 @query("merge_report", sql_with("cues", """with k as (select *, lag(end_ms, 1, 0) over (partition by rec_id order by chunk_id, cue_idx) pe from cues)
- select rec_id, count(*) n_cues, max(end_ms) max_end_ms, count(*) filter (where start_ms < pe) overlaps, max(end_ms) / 60000 max_end_min,
+ select rec_id, count(*) n_cues, max(end_ms) max_end_ms, count(*) filter (where start_ms < pe) "overlaps", max(end_ms) / 60000 max_end_min,
  max(end_ms) / 3600000 max_end_h from k group by 1"""))
 def merge_report(t: Tables) -> DataFrame:
     return quality.merge_report(t.cues, **_flat(t))
@@ -505,7 +505,7 @@ query("failed_chunks", sql_with("chunk_runs", "select rec_id, chunk_id from chun
  select rec_id, max_end_ms, duplicate_starts, (rec_id % 5) * 40000 duration_ms, abs(max_end_ms - (rec_id % 5) * 40000) difference_ms,
  abs(max_end_ms - (rec_id % 5) * 40000) > 60000 mismatch from c"""))
 def span_check(t: Tables) -> DataFrame:
-    rows = t.cues.withColumn("start_ms", F.expr("floor(start_ms / 20000)"))
+    rows = t.cues.withColumn("start_ms", F.expr("start_ms div 20000"))
     known = t.cues.select("rec_id").distinct().withColumn("duration_ms", F.col("rec_id") % 5 * 40000)
     return quality.span_check(rows, known)
 
@@ -530,7 +530,7 @@ def keep_better(t: Tables) -> DataFrame:
 
 @query("word_overlaps", sql_with("words", """with k as (select rec_id, seg_idx, start_ms - case when word_idx % 7 = 3 then 500 else 0 end s,
  lag(end_ms) over (partition by rec_id, seg_idx order by word_idx) pe from words)
- select rec_id, seg_idx, count(*) n_words, count(*) filter (where s < pe) overlaps from k group by 1, 2"""))
+ select rec_id, seg_idx, count(*) n_words, count(*) filter (where s < pe) "overlaps" from k group by 1, 2"""))
 def word_overlaps(t: Tables) -> DataFrame:
     rows = t.words.withColumn("start_ms", F.expr("start_ms - if(word_idx % 7 = 3, 500, 0)"))
     return quality.word_overlaps(rows, depth=_word_depth(t))
@@ -594,10 +594,6 @@ def merged_name(t: Tables) -> DataFrame:
 _SOUND = "select rec_id, chunk_id, start_ms, end_ms, content from shown where start_ms < end_ms and trim(content) <> ''"
 
 
-def _no_lead(df: DataFrame) -> DataFrame:
-    return df
-
-
 @query("read_srt", sql_with("cues", f"with {_SHOWN} {_SOUND}"))
 def read_srt(t: Tables) -> DataFrame:
     """All captions written as SRT chunk folders and read back."""

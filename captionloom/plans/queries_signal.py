@@ -1 +1,133 @@
-"""To come."""
+"""Queries on signal series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import signal as sg
+from ..session import new_shared_path
+from ..sources.read import read_signal
+from .fixtures import sql_with
+from .registry import query
+from .tables import Tables
+
+# the event values stand for samples of a full scale of 600; a window has 20 samples at 100 per second
+FULL, WIDTH, RATE = 600.0, 20, 100.0
+
+
+def _flat(t: Tables) -> dict:
+    return {"depth": t.depth("signal", "idx")}
+
+
+query("signal", sql_with("signal", "select * from signal"))(lambda t: t.signal)
+
+
+@query("levels", sql_with("signal", "select series_id, round(sqrt(avg(value * value)), 6) rms, round(20 * log10(sqrt(avg(value * value)) / 600), 6) level_db from signal group by 1"))
+def levels(t: Tables) -> DataFrame:
+    return sg.levels(t.signal, FULL).withColumns({"rms": F.round("rms", 6), "level_db": F.round("level_db", 6)})
+
+
+@query("level_normalize", sql_with("signal", """with l as (select series_id, 20 * log10(sqrt(avg(value * value)) / 600) db from signal group by 1)
+ select series_id, idx, round(value * pow(10, (-20 - db) / 20), 6) as value from signal join l using (series_id)"""))
+def level_normalize(t: Tables) -> DataFrame:
+    return sg.level_normalize(t.signal, -20.0, FULL).select("series_id", "idx", F.round("value", 6).alias("value"))
+
+
+@query("soft_gate", sql_with("signal", """with q as (select series_id, quantile_cont(abs(value), 0.05) * 1.25 th from signal group by 1)
+ select series_id, idx, round(greatest(-32767, least(32767, case when abs(value) < th then value * 0.3 else value end)), 6) as value
+ from signal join q using (series_id)"""))
+def soft_gate(t: Tables) -> DataFrame:
+    return sg.soft_gate(t.signal).select("series_id", "idx", F.round("value", 6).alias("value"))
+
+
+_RMS = "w as (select series_id, idx // 20 win, sqrt(avg(value * value)) rms from signal group by 1, 2), rw as (select * from w qualify win < max(win) over (partition by series_id))"
+
+
+@query("rms_windows", sql_with("signal", f"with {_RMS} select series_id, win, round(rms, 6) rms from rw"))
+def rms_windows(t: Tables) -> DataFrame:
+    return sg.rms_windows(t.signal, WIDTH).withColumn("rms", F.round("rms", 6))
+
+
+# threshold .2 relative change, two seconds are ten windows
+@query("change_points", sql_with("signal", f"""with {_RMS},
+ c as (select series_id, win, row_number() over (partition by series_id order by win) k from (select *, lag(rms) over (partition by series_id order by win) p from rw)
+  where p > 0 and abs(rms - p) / (p + 1e-6) > 0.2),
+ r as (select series_id, k, win, win as last, true taken from c where k = 1
+  union all select c.series_id, c.k, c.win, case when c.win - r.last >= 10 then c.win else r.last end, c.win - r.last >= 10
+  from r join c on c.series_id = r.series_id and c.k = r.k + 1)
+ select series_id, win, win * 20 / 100.0::double at_sec from r where taken""", recursive=True))
+def change_points(t: Tables) -> DataFrame:
+    return sg.change_points(t.signal, WIDTH, RATE, 0.2, 2.0, **_flat(t))
+
+
+@query("change_points_blocks", sql_with("signal", f"""with {_RMS},
+ c as (select series_id, win, row_number() over (partition by series_id order by win) k from (select *, lag(rms) over (partition by series_id order by win) p from rw)
+  where p > 0 and abs(rms - p) / (p + 1e-6) > 0.2),
+ r as (select series_id, k, win, win as last, true taken from c where k = 1
+  union all select c.series_id, c.k, c.win, case when c.win - r.last >= 10 then c.win else r.last end, c.win - r.last >= 10
+  from r join c on c.series_id = r.series_id and c.k = r.k + 1)
+ select series_id, win, win * 20 / 100.0::double at_sec from r where taken""", recursive=True))
+def change_points_blocks(t: Tables) -> DataFrame:
+    return sg.change_points(t.signal, WIDTH, RATE, 0.2, 2.0, depth=2)
+
+
+# windows of 5 samples, silent below -18 dB of the full scale, pauses of at least 10 samples
+_ACTIVE = """aw as (select series_id, idx // 5 win, sqrt(avg(value * value)) rms, max(idx) + 1 e from signal group by 1, 2),
+ ao as (select series_id, win * 5 s, e from aw where rms > 600 * pow(10, -18 / 20.0)),
+ ag as (select *, sum(b) over (partition by series_id order by s) g from (select *, case when s - lag(e) over (partition by series_id order by s) > 9 then 1 else 0 end b from ao)),
+ act as (select series_id, g, min(s) s, max(e) e from ag group by 1, 2)"""
+
+
+def _active(t: Tables) -> DataFrame:
+    return sg.active_ranges(t.signal, 5, -18.0, 10, FULL, **_flat(t))
+
+
+@query("active_ranges", sql_with("signal", f"""with {_ACTIVE} select series_id, cast(g as bigint) range_id, s as start, e as "end" from act"""))
+def active_ranges(t: Tables) -> DataFrame:
+    return _active(t)
+
+
+_SPLIT = """area as (select series_id, len, tgt, greatest(0, tgt - 60) lo, least(len, tgt + 60) hi from targets),
+ nr as (select area.*, greatest(act.s, lo) s, least(act.e, hi) e from area join act on act.series_id = area.series_id and act.s < hi and act.e > lo where lo < hi),
+ gp as (select *, s - lag(e) over (partition by series_id, tgt order by s) gap, lag(e) over (partition by series_id, tgt order by s) pe from nr),
+ bg as (select series_id, tgt, arg_max(pe + gap // 2, gap * 100000000 - pe) cut from gp where gap > 0 group by 1, 2),
+ lg as (select series_id, tgt, arg_max(s + (e - s) // 2, (e - s) * 100000000 - s) cut from nr group by 1, 2)"""
+
+
+@query("best_split", sql_with("signal", f"""with {_ACTIVE}, targets as (select series_id, max(idx) + 1 len, (max(idx) + 1) // 2 tgt from signal group by 1), {_SPLIT}
+ select series_id, tgt as target, len as length, coalesce(bg.cut, lg.cut, tgt) cut from targets left join bg using (series_id, tgt) left join lg using (series_id, tgt)"""))
+def best_split(t: Tables) -> DataFrame:
+    n = t.signal.groupBy("series_id").agg((F.max("idx") + 1).alias("length"))
+    return sg.best_split(_active(t), n.withColumn("target", F.expr("length div 2")), 120)
+
+
+@query("plan_chunks")
+def plan_chunks(t: Tables) -> DataFrame:
+    return sg.plan_chunks(t.signal, _active(t), 300, 60, 150)
+
+
+@query("read_signal", sql_with("signal", "select series_id, idx, round(value * 50) as value from signal"))
+def read_signal_query(t: Tables) -> DataFrame:
+    """Series written as WAV files of 16-bit samples (pages of 100,000 samples) and read back."""
+    path = new_shared_path(t.spark, "wav")
+
+    def save(key, pdf):
+        import wave
+
+        pdf = pdf.sort_values("idx")
+        import os
+        os.makedirs(path, exist_ok=True)
+        with wave.open(f"{path}/s{key[0]}_{key[1]}.wav", "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(2)
+            f.setframerate(100)
+            f.writeframes(pdf["v"].to_numpy().astype("<i2").tobytes())
+        return pdf[["idx"]].head(1)
+
+    rows = t.signal.select("series_id", F.expr("idx div 100000").alias("page"), "idx", F.round(F.col("value") * 50).alias("v"))
+    rows.groupBy("series_id", "page").applyInPandas(save, "idx bigint").count()
+    name = F.regexp_extract_all("path", F.lit(r"s(\d+)_(\d+)\.wav"), F.lit(1))
+    back = read_signal(t.spark, path)
+    page = F.regexp_extract("path", r"s\d+_(\d+)\.wav", 1).cast("bigint")
+    return back.select(F.get(name, F.lit(0)).cast("bigint").alias("series_id"), (page * 100000 + F.col("idx")).alias("idx"), "value")

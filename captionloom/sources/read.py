@@ -15,14 +15,13 @@ CHUNK_FILE = r"^chunk_(\d+)\.srt"
 
 def parse_srt_blocks(blocks: DataFrame, text: str = "value") -> DataFrame:
     """Cue blocks (index line, time line, content lines) to columns; a malformed block goes to ``_corrupt``."""
-    lines = F.split(strip(F.col(text)), "\n", -1)
-    rows = blocks.withColumn("_l", F.transform(lines, strip))
+    rows = blocks.withColumn("_l", F.split(sub(F.col(text), r"\A(\s*\n)+|\n+\z", ""), "\n", -1))
     # position of the time line: the second line, or the first where the index is missing
     at = F.when(F.get("_l", F.lit(1)).contains("-->"), 1).when(F.get("_l", F.lit(0)).contains("-->"), 0)
     rows = rows.withColumn("_at", at)
     stamp = F.get("_l", F.col("_at"))
     rows = rows.withColumns({
-        "cue_idx": F.when(F.col("_at") == 1, F.get("_l", F.lit(0))).try_cast("bigint"),
+        "cue_idx": F.when(F.col("_at") == 1, strip(F.get("_l", F.lit(0)))).try_cast("bigint"),
         "start_ms": srt_stamp_to_ms(F.substring_index(stamp, "-->", 1)),
         "end_ms": srt_stamp_to_ms(F.regexp_extract(stamp, r"-->\s*([^\s]+)", 1)),
         "content": F.array_join(F.slice("_l", F.col("_at") + 2, F.size("_l")), "\n"),

@@ -110,8 +110,9 @@ def write_blocks(
     elif head:
         rows = rows.withColumn("block", F.when(F.col(rank) == 1, F.concat(F.lit(head), F.col("block"))).otherwise(F.col("block")))
     rows = rows.repartitionByRange(*keys, rank).sortWithinPartitions(*keys, rank)
-    # a block carries its own line ends
-    rows.select(*keys, F.col("block").alias("value")).write.mode(mode).option("lineSep", "").partitionBy(*keys).text(path)
+    # the writer adds the last line end of each block
+    value = sub(F.col("block"), r"\n\z", "").alias("value")
+    rows.select(*keys, value).write.mode(mode).partitionBy(*keys).text(path)
 
 
 def write_chunks(cues: DataFrame, path: str, fmt: str = "srt", **kw) -> None:
