@@ -139,7 +139,7 @@ def best_split(ranges: DataFrame, targets: DataFrame, window: int, depth: int =
     w = F.array_sort(F.collect_list(F.struct("s", "e")))
     per = near.groupBy(*KEY, "target").agg(w.alias("r"))
     gaps = F.expr(
-        "filter(transform(sequence(0, greatest(size(r) - 2, 0)), i -> struct(r[i + 1].s - r[i].e as g, -r[i].e as p)), x -> x.g > 0)")
+        "filter(transform(sequence(0, greatest(size(r) - 2, 0)), i -> struct(get(r, i + 1).s - get(r, i).e as g, -get(r, i).e as p)), x -> x.g > 0)")
     per = per.withColumn("_gap", F.array_max(gaps)).withColumn(
         "_long", F.array_max(F.expr("transform(r, x -> struct(x.e - x.s as n, -x.s as p))")))
     cut = F.coalesce(F.expr("-_gap.p + _gap.g div 2"), F.expr("-_long.p + _long.n div 2"))

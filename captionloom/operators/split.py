@@ -65,9 +65,12 @@ def _char(text: Column, at: Column) -> Column:
     return F.when(F.substr(text, at + 1, F.lit(1)) == " ", 1).otherwise(0)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Offsets of all matches: ``array<struct<s,e,before,at_s,last,at_e>>``; the last four say whether
-    the characters before/at the start and before/at the end are blanks."""
+def spans(text: Column, pattern: str, edge: str = "") -> Column:
+    """Offsets of all matches: ``array<struct<s,e>>``.
+
+    With ``edge="s"`` also ``before`` and ``at_s``, 1 when the character before/at the start is a blank;
+    with ``edge="e"`` the same for the end as ``last`` and ``at_e``.
+    """
     pieces = F.split(sub(text, unicode_regex(pattern), f"{MARK}$0{MARK_END}"), MARK, -1)
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
 
@@ -82,10 +85,15 @@ def spans(text: Column, pattern: str) -> Column:
                     acc["pos"].alias("s"), (acc["pos"] + F.locate(MARK_END, p) - 1).alias("e"))).alias("out")),
             lambda acc: acc["out"])
 
-    return F.transform(let(pieces, offsets), lambda m: F.struct(
-        m["s"].alias("s"), m["e"].alias("e"),
-        F.when(m["s"] > 0, _char(text, m["s"] - 1)).otherwise(0).alias("before"), _char(text, m["s"]).alias("at_s"),
-        _char(text, m["e"] - 1).alias("last"), _char(text, m["e"]).alias("at_e")))
+    found = let(pieces, offsets)
+    if edge == "s":
+        return F.transform(found, lambda m: F.struct(
+            m["s"].alias("s"), m["e"].alias("e"),
+            F.when(m["s"] > 0, _char(text, m["s"] - 1)).otherwise(0).alias("before"), _char(text, m["s"]).alias("at_s")))
+    if edge == "e":
+        return F.transform(found, lambda m: F.struct(
+            m["s"].alias("s"), m["e"].alias("e"), _char(text, m["e"] - 1).alias("last"), _char(text, m["e"]).alias("at_e")))
+    return found
 
 
 def cut_at(text: Column, cuts: Column) -> Column:
@@ -176,7 +184,7 @@ def split_balanced(text: Column, pattern: str = BALANCED, max_chars: int = MAX_C
         return cut_at(v["t"], cuts)
 
     t = collapse(text)
-    return let(t, lambda x: let(F.struct(x.alias("t"), spans(x, pattern).alias("m")), body))
+    return let(t, lambda x: let(F.struct(x.alias("t"), spans(x, pattern, "s").alias("m")), body))
 
 
 def split_midpoint(text: Column, pattern: str, max_chars: int = MAX_CHARS, min_len: int = 20) -> Column:
@@ -193,7 +201,7 @@ def split_midpoint(text: Column, pattern: str, max_chars: int = MAX_CHARS, min_l
     def fits(x: Column) -> Column:
         # a single cut cannot help a text of more than two full parts
         return F.when(F.length(x) > 2 * max_chars + 2, _one(x)).otherwise(
-            let(F.struct(x.alias("t"), spans(x, pattern).alias("m")), body))
+            let(F.struct(x.alias("t"), spans(x, pattern, "e").alias("m")), body))
 
     return let(collapse(text), fits)
 
@@ -214,7 +222,7 @@ def split_safe(text: Column, max_chars: int = MAX_CHARS, min_len: int = 15) -> C
             cut_at(v["t"], F.array(e))))
 
     def fits(x: Column) -> Column:
-        marks = F.concat(*[spans(x, p) for p in SAFE])
+        marks = F.concat(*[spans(x, p, "e") for p in SAFE])
         kept = F.concat(*[spans(x, p) for p in PROTECTED])
         return F.when(F.length(x) > 2 * max_chars + 2, _one(x)).otherwise(
             let(F.struct(x.alias("t"), marks.alias("m"), kept.alias("p")), body))
@@ -245,7 +253,7 @@ def split_greedy_before(text: Column, pattern: str = CONJUNCTIONS, max_chars: in
 
         return cut_at(v["t"], F.aggregate(v["m"], state, step, lambda acc: acc["cuts"]))
 
-    return let(collapse(text), lambda x: let(F.struct(x.alias("t"), spans(x, pattern).alias("m")), body))
+    return let(collapse(text), lambda x: let(F.struct(x.alias("t"), spans(x, pattern, "s").alias("m")), body))
 
 
 def split_greedy_after(text: Column, max_chars: int = MAX_CHARS, min_len: int = 20) -> Column:
@@ -264,7 +272,7 @@ def split_greedy_after(text: Column, max_chars: int = MAX_CHARS, min_len: int =
 
             return cut_at(v["t"], F.aggregate(v["m"], state, step, lambda acc: acc["cuts"]))
 
-        parts = let(collapse(text), lambda x: let(F.struct(x.alias("t"), spans(x, pattern).alias("m")), body))
+        parts = let(collapse(text), lambda x: let(F.struct(x.alias("t"), spans(x, pattern, "e").alias("m")), body))
         return let(parts, lambda p: F.when(F.forall(p, lambda x: F.length(x) <= max_chars), p).otherwise(_one(text)))
 
     return _first_split([one(p) for p in GRAMMAR], text)
