@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators.scan import ordered_scan, with_rank
+from ..operators.scan import depth_for, ordered_scan, with_rank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per turn: its words as an array, the index and the time before its first word."""
-    rows = table(spark, sf_dir, "conversations").select(
+    raw = table(spark, sf_dir, "conversations")
+    rows = raw.select(
         F.col("conv_id").alias("rec_id"),
         F.floor(F.col("turn") / 2).cast("int").alias("chunk_id"),
         F.col("turn").alias("seg_idx"),
@@ -30,7 +31,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "span": F.expr(
             f"aggregate(transform(ws, (w, i) -> 40 + 60 * length(w) + {pause}), 0L, (a, b) -> a + b)"),
     })
-    rows = ordered_scan(rows, ["rec_id"], ["seg_idx"], sums={"word0": F.col("n"), "ms0": F.col("span")}, width=256)
+    rows = ordered_scan(
+        rows, ["rec_id"], ["seg_idx"], sums={"word0": F.col("n"), "ms0": F.col("span")}, width=256,
+        depth=depth_for(raw, "turn", 256))
     return rows.filter("n > 0")
 
 
@@ -103,7 +106,9 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``series_id, idx, value``: event values in time order, ten series."""
     rows = table(spark, sf_dir, "events").select(
         "event_id", (F.col("user_id") % 10).alias("series_id"), "value")
-    return with_rank(rows, ["series_id"], ["event_id"], "idx", start=0).select("series_id", "idx", "value")
+    # event ids are spread over the series, so a block of them is a block of every series
+    depth = depth_for(rows, "event_id")
+    return with_rank(rows, ["series_id"], ["event_id"], "idx", start=0, depth=depth).select("series_id", "idx", "value")
 
 
 def chunk_runs_of(segs: DataFrame) -> DataFrame:
