@@ -98,7 +98,7 @@ def apply_glossary(df: DataFrame, rules: DataFrame, text: str = "text", slice_si
 
 def pretranslate(
     df: DataFrame, dictionary: DataFrame, text: str = "text", into: str = "translated",
-    translator: Callable[[Column], Column] | None = None, broadcast_rows: int = 100_000,
+    translator: Callable[[Column], Column] | None = None, broadcast_rows: int = 20_000,
 ) -> DataFrame:
     """Whole-text dictionary hit, else the translator for texts with word characters, else the text itself.
 

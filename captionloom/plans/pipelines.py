@@ -24,12 +24,6 @@ CHUNK = ("rec_id", "chunk_id")
 
 # ------------------------------------------------------------------ sentences
 
-def chunk_texts(words: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
-    """All words of a chunk as one text, with the index of its first word."""
-    return segment.rebuild_text(words, keys).join(
-        words.groupBy(*keys).agg(F.min("word_idx").alias("word0")), list(keys))
-
-
 def sentences(
     words: DataFrame, segments: DataFrame, strategy: str = "rule", keys: Sequence[str] = CHUNK,
     model: Callable[[Column], Column] | None = None,

@@ -614,17 +614,19 @@ def _chunk_files(t: Tables) -> str:
         *CHUNK, F.array_join(F.transform("b", lambda x: x["block"]), "").alias("text"))
 
     def save(batches):
-        import os
+        from pyarrow import fs
 
+        # any file system the tasks share: local, HDFS, object stores
+        store, base = fs.FileSystem.from_uri(path.removeprefix("file:").replace("///", "/", 1) if path.startswith("file:") else path)
         for pdf in batches:
             for rec, chunk, text in zip(pdf["rec_id"], pdf["chunk_id"], pdf["text"]):
                 names = [f"rec{rec}/chunk_{chunk}.srt"]
                 names += [f"rec{rec}/api_llm/chunk_{chunk}.srt"] if rec % 2 else []
                 names += [f"rec{rec}/rec{rec}_merged.srt"] if chunk == 0 and rec % 3 == 0 else []
                 for name in names:
-                    os.makedirs(os.path.dirname(f"{path}/{name}"), exist_ok=True)
-                    with open(f"{path}/{name}", "w", encoding="utf-8") as f:
-                        f.write(text)
+                    store.create_dir(f"{base}/{name}".rsplit("/", 1)[0])
+                    with store.open_output_stream(f"{base}/{name}") as f:
+                        f.write(text.encode("utf-8"))
             yield pdf[["rec_id"]]
 
     files.mapInPandas(save, "rec_id bigint").count()

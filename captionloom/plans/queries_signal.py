@@ -113,16 +113,21 @@ def read_signal_query(t: Tables) -> DataFrame:
     path = new_shared_path(t.spark, "wav")
 
     def save(key, pdf):
+        import io
         import wave
 
-        pdf = pdf.sort_values("idx")
-        import os
-        os.makedirs(path, exist_ok=True)
-        with wave.open(f"{path}/s{key[0]}_{key[1]}.wav", "wb") as f:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path.removeprefix("file:").replace("///", "/", 1) if path.startswith("file:") else path)
+        data = io.BytesIO()
+        with wave.open(data, "wb") as f:
             f.setnchannels(1)
             f.setsampwidth(2)
             f.setframerate(100)
-            f.writeframes(pdf["v"].to_numpy().astype("<i2").tobytes())
+            f.writeframes(pdf.sort_values("idx")["v"].to_numpy().astype("<i2").tobytes())
+        store.create_dir(base)
+        with store.open_output_stream(f"{base}/s{key[0]}_{key[1]}.wav") as f:
+            f.write(data.getvalue())
         return pdf[["idx"]].head(1)
 
     rows = t.signal.select("series_id", F.expr("idx div 100000").alias("page"), "idx", F.round(F.col("value") * 50).alias("v"))

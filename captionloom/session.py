@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none, as in tests, a temporary folder is chosen.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
         conf = _LOCAL_SCRATCH.setdefault("dir", "") or tempfile.mkdtemp(prefix="captionloom-")
         _LOCAL_SCRATCH["dir"] = conf
@@ -61,6 +62,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; stops reading after that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows and ``max_bytes`` of text; stops reading after that many rows."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = F.sum(sum(text, F.lit(16).cast("bigint")))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= max_rows and (total or 0) <= max_bytes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.captions import srt_stamp_to_ms
 from ..functions.text import MARK, strip, sub
 from ..schema import CHUNK_MANIFEST, GLOSSARY_JSON, TRANSCRIPT
 
+_SCHEME = r"^[A-Za-z0-9]+:(//[^/]*)?"
 # chunk number from a file name; a prefix test, so ``chunk_1.srt.bak`` counts as well
 CHUNK_FILE = r"^chunk_(\d+)\.srt"
 
@@ -147,9 +150,10 @@ def read_signal(spark: SparkSession, path: str) -> DataFrame:
 def catalog(spark: SparkSession, root: str, glob: str = "*.srt*") -> DataFrame:
     """Caption files below ``root/<project>[/<subfolder>]`` with size and change time; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = sub(F.col("path"), "^[a-z]+:/*", "/")
-    clean = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    inner = F.split(F.substr(base, F.lit(len(clean) + 1)), "/", -1)
+    # scheme and authority aside, the path below the root
+    base = sub(F.col("path"), _SCHEME, "")
+    below = len(re.sub(_SCHEME, "", root).rstrip("/")) + 2
+    inner = F.split(F.substr(base, F.lit(below)), "/", -1)
     return files.select(
         "path", "length", "modificationTime",
         F.element_at(F.split("path", "/"), -1).alias("file"),
