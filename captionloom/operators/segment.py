@@ -139,11 +139,13 @@ def _open_lines(words, blocks, keys, max_gap_ms, max_chars, width, depth):
     """Length of the open line with which an utterance enters its second and later blocks."""
     prev = ordered_scan(blocks, keys, ["_blk"], lasts={"_before": F.col("_last")}, width=width, depth=depth - 1)
     open_utts = prev.filter("_before = _first").select(*keys, F.col("_first").alias("utt_id")).distinct()
+    # only word lengths matter here, so the words themselves are not shuffled again
+    slim = words.select(*keys, "word_idx", F.length("word").alias("size"), "start_ms", "end_ms")
     rows, _ = gap_blocks(
-        words, keys, "word_idx", "start_ms", "end_ms", max_gap_ms, name="utt_id", width=width, depth=depth)
-    listed = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
+        slim, keys, "word_idx", "start_ms", "end_ms", max_gap_ms, name="utt_id", width=width, depth=depth)
+    listed = F.array_sort(F.collect_list(F.struct("word_idx", "size")))
     runs = rows.join(open_utts, [*keys, "utt_id"], "left_semi").groupBy(*keys, "utt_id", "_blk").agg(
-        F.array_join(F.transform(listed, lambda x: x["word"]), " ").alias("t"))
+        F.array_join(F.transform(listed, lambda x: F.repeat(F.lit("x"), x["size"])), " ").alias("t"))
     pattern = _pack_regex(max_chars).replace("\\", "\\\\")
     step = F.expr(
         f"transform(sequence(0, {max_chars}), s -> least({max_chars}, length(element_at(regexp_extract_all("

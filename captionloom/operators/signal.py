@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, new_shared_path
 from .scan import gap_groups, join_totals, machine_entry, ordered_scan, with_previous
 
 FULL_SCALE = 32768.0
@@ -159,21 +159,20 @@ def plan_chunks(
     lengths = materialize(signal.groupBy(*KEY).agg((F.max("idx") + 1).alias("length")), "lengths")
     ranges = materialize(ranges, "ranges")
     state = lengths.select(*KEY, "length", F.lit(0).cast("bigint").alias("start"), F.lit(1).alias("chunk_index"))
-    done = []
+    spark, path, round_ = signal.sparkSession, new_shared_path(signal.sparkSession, "plan"), 0
     while True:
         goal = F.col("start") + F.lit(target)
         whole = (goal >= F.col("length")) | ((F.col("chunk_index") == 1) & (F.col("length") < threshold))
         last = state.filter(whole).select(*KEY, "chunk_index", "start", F.col("length").alias("end"))
         open_ = state.filter(~whole).withColumn("target", goal)
         cuts = best_split(ranges, open_, window).withColumnRenamed("cut", "end")
-        step = materialize(last.withColumn("length", F.lit(None).cast("bigint")).unionByName(
-            cuts.select(*KEY, "chunk_index", "start", "end", "length")), "cuts")
-        done.append(step.drop("length"))
-        state = step.filter("length is not null and end < length").select(
+        step = last.withColumn("length", F.lit(None).cast("bigint")).unionByName(
+            cuts.select(*KEY, "chunk_index", "start", "end", "length"))
+        step.write.parquet(f"{path}/round={round_}")
+        state = spark.read.schema(step.schema).parquet(f"{path}/round={round_}").filter("length is not null and end < length").select(
             *KEY, "length", F.col("end").alias("start"), (F.col("chunk_index") + 1).alias("chunk_index"))
+        round_ += 1
         if state.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.withColumn("duration", F.col("end") - F.col("start"))
+    plan = spark.read.schema(step.schema).parquet(path).select(*KEY, "chunk_index", "start", "end")
+    return plan.withColumn("duration", F.col("end") - F.col("start"))
