@@ -115,16 +115,10 @@ query("captions_segments")(lambda t: pipelines.captions(t.words, t.segments, "se
 query("pause_captions")(lambda t: pipelines.pause_captions(t.words))
 query("simple_captions")(lambda t: pipelines.simple_captions(t.words))
 query("char_captions")(lambda t: pipelines.char_captions(t.words))
-query("captions_fallback")(lambda t: pipelines.captions_fallback(t.segments, None, depth=1))
+query("captions_fallback_full")(lambda t: pipelines.captions_fallback(t.segments, None, depth=1))
 query("captions_fallback_words")(lambda t: pipelines.captions_fallback(t.segments, t.words, depth=1))
 
 
-@query("punctuate_segments")
-def punctuate_segments(t: Tables) -> DataFrame:
-    labels = lambda toks: F.transform(toks, lambda x, i: (i * 7 + F.length(x)) % 15)
-    return pipelines.punctuate_segments(t.segments, labels).select("rec_id", "seg_idx", "text")
-
-
 @query("reprocess")
 def reprocess(t: Tables) -> DataFrame:
     return pipelines.reprocess(t.cues, t.words, t.glossary, t.chunk_timing, "1-2")

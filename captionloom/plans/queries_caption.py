@@ -13,7 +13,7 @@ from ..sources import read, write
 from ..streaming import incremental
 from . import pipelines
 from .fixtures import sql_with
-from .queries_text import _sql_pack
+from .queries_text import _SENT_LIST, W, _round, _sql_pack
 from .registry import query
 from .tables import Tables
 
@@ -728,11 +728,65 @@ def stream_cached(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ pipelines without a search
 
-@query("captions_on_ranges", None)
+def _plain_rounds(source: str, keys: str) -> str:
+    """The ``plain`` length cascade on ``source(keys, text)`` as CTEs; ``r3(keys, j, k, m, part)`` is the result."""
+    return (_round(source, "text", keys, "r1") + ", " + _round(f"(select {keys}, i j, q from r1)", "q", f"{keys}, j", "r2")
+            + f", r3 as (select {keys}, j, i k, generate_subscripts(p, 1) m, unnest(p) part from "
+            + f"(select {keys}, j, i, case when length(q) <= 80 then [q] else {_sql_pack('q')} end p from r2))")
+
+
+_ON_RANGES = sql_with("words", f"""with ct as (select rec_id, chunk_id, string_agg(word, ' ' order by word_idx) as text from words group by 1, 2),
+ sents as (select rec_id, chunk_id, generate_subscripts(a, 1) - 1 sent_idx, unnest(a) as text from (select rec_id, chunk_id, {_SENT_LIST} a from ct)),
+ {_plain_rounds('sents', 'rec_id, chunk_id, sent_idx')},
+ p as (select rec_id, chunk_id, part, row_number() over w cue_idx, sum(length(replace(part, ' ', ''))) over w t, length(replace(part, ' ', '')) n from r3
+  window w as (partition by rec_id, chunk_id order by sent_idx, j, k, m)),
+ c as (select *, sum(length(word)) over (partition by rec_id, chunk_id order by word_idx) t from words)
+ select p.rec_id, p.chunk_id, p.cue_idx, p.part as text, min(c.word_idx) start_word_idx, max(c.word_idx) end_word_idx,
+  arg_min(c.start_ms, c.word_idx) start_ms, arg_max(c.end_ms, c.word_idx) end_ms
+ from p join c on c.rec_id = p.rec_id and c.chunk_id = p.chunk_id and c.t > p.t - p.n and c.t - length(c.word) < p.t group by 1, 2, 3, 4""")
+
+
+@query("captions_on_ranges", _ON_RANGES)
 def captions_on_ranges(t: Tables) -> DataFrame:
     return pipelines.captions_on_ranges(t.words, t.segments)
 
 
+_FALLBACK = sql_with("segments", f"""with src as (select rec_id, chunk_id, seg_idx, start_ms, end_ms,
+  case when right(text, 1) in ('.', '!', '?') then upper(left(text, 1)) || substr(text, 2) else upper(left(text, 1)) || substr(text, 2) || '.' end as text
+  from segments where trim(text) <> ''),
+ {_plain_rounds('src', 'rec_id, chunk_id, seg_idx, start_ms, end_ms')},
+ pr as (select *, sum(length(part)) over (partition by rec_id, chunk_id, seg_idx order by j, k, m) run, sum(length(part)) over (partition by rec_id, chunk_id, seg_idx) tot,
+  row_number() over (partition by rec_id, chunk_id order by seg_idx, j, k, m) pos from r3),
+ tm as (select rec_id, chunk_id, seg_idx, pos, part, cast(start_ms + (end_ms - start_ms) * (run - length(part)) // tot as bigint) s,
+  cast(case when run = tot then end_ms else start_ms + (end_ms - start_ms) * run // tot end as bigint) e from pr),
+ fix as (select rec_id, chunk_id, seg_idx, pos, part, s, case when s >= e then s + 1000 else e end e from tm where pos = 1
+  union all select tm.rec_id, tm.chunk_id, tm.seg_idx, tm.pos, tm.part, case when tm.s >= tm.e then fix.e else tm.s end,
+  case when tm.s >= tm.e then fix.e + 1000 else tm.e end from fix join tm on tm.rec_id = fix.rec_id and tm.chunk_id = fix.chunk_id and tm.pos = fix.pos + 1)
+ select rec_id, chunk_id, seg_idx, pos, part as text, s start_ms, e end_ms, len(string_split(part, ' ')) word_count, 0.5::double timing_confidence from fix""", recursive=True)
+
+
+@query("captions_fallback", _FALLBACK)
+def captions_fallback(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+    out = pipelines.captions_fallback(t.segments, None, profile="plain", depth=1)
+    pos = F.row_number().over(Window.partitionBy(*CHUNK).orderBy("seg_idx", "part_idx"))
+    return out.withColumn("pos", pos).drop("part_idx")
+
+
+@query("punctuate_segments", sql_with("segments", rf"""with tk as (select rec_id, seg_idx, text,
+  list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^{W}\s''\-]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') a from segments),
+ jn as (select *, array_to_string(list_transform(a, lambda x, i: x || (case ((i - 1) * 7 + length(x) * (rec_id % 3)) % 15
+  when 1 then ' .' when 2 then ' ,' when 3 then ' ?' when 4 then ' !' when 5 then ' ;' when 6 then ' :' when 7 then ' ''' when 8 then ' "'
+  when 9 then ' -' when 10 then ' ...' else '' end)), ' ') s from tk),
+ sp as (select *, trim(regexp_replace(s, '\s+([,.!?;:])', '\1', 'g')) u from jn),
+ nw as (select *, upper(left(u, 1)) || substr(u, 2) v from sp)
+ select rec_id, seg_idx, case when length(v) - length(translate(v, ',.?!', '')) <= greatest(len(a) // 3, 1)
+  and length(v) - length(replace(v, ',', '')) <= greatest(len(a) // 4, 1) then v else text end as text from nw"""))
+def punctuate_segments(t: Tables) -> DataFrame:
+    labels = lambda toks: F.transform(toks, lambda x, i: (i * 7 + F.length(x) * (F.col("rec_id") % 3)) % 15)
+    return pipelines.punctuate_segments(t.segments, labels).select("rec_id", "seg_idx", "text")
+
+
 @query("plain_fallback", sql_with("segments", """select rec_id, seg_idx, case when right(x, 1) in ('.', '!', '?') then x else x || '.' end as text from
  (select rec_id, seg_idx, 'A' || rtrim(text, '.') x from segments)"""))
 def plain_fallback(t: Tables) -> DataFrame:
