@@ -147,30 +147,74 @@ def best_split(ranges: DataFrame, targets: DataFrame, window: int, depth: int =
         "cut", F.coalesce("_cut", "target")).drop("_cut")
 
 
+def _best_cut(spans: list[tuple[int, int]], target: int, lo: int, hi: int) -> int:
+    """The rule of ``best_split`` on the ranges (ascending) that meet the search area."""
+    near = [(max(a, lo), min(b, hi)) for a, b in spans if a < hi and b > lo] if lo < hi else []
+    pauses = [(b[0] - a[1], -a[1]) for a, b in zip(near, near[1:]) if b[0] > a[1]]
+    if pauses:
+        size, at = max(pauses)
+        return size // 2 - at
+    if near:
+        size, at = max((b - a, -a) for a, b in near)
+        return size // 2 - at
+    return target
+
+
 def plan_chunks(
-    signal: DataFrame, ranges: DataFrame, target: int, window: int, threshold: int,
+    signal: DataFrame, ranges: DataFrame, target: int, window: int, threshold: int, per_round: int = 64,
 ) -> DataFrame:
     """Consecutive chunks of about ``target`` samples, cut at ``best_split`` points; a series shorter than
     ``threshold`` is one chunk: ``series_id, chunk_index, start, end, duration``.
 
-    Each cut depends on the one before. All series advance together, one cut per round; a round handles
-    one row per series and is written to the shared folder, so the work is never in one task.
+    Each cut depends on the one before. All series advance together, ``per_round`` cuts at a time: a round
+    gives each series the active ranges of that stretch only, and its cuts are written to the shared folder
+    before the next one starts. So a series of any length never sits in one task.
     """
+    from bisect import bisect_left
+
+    import pandas as pd
+
+    if window >= target:
+        raise ValueError("the search window must be smaller than the chunk")
+    spark, path = signal.sparkSession, new_shared_path(signal.sparkSession, "plan")
     lengths = materialize(signal.groupBy(*KEY).agg((F.max("idx") + 1).alias("length")), "lengths")
-    ranges = materialize(ranges, "ranges")
-    state = lengths.select(*KEY, "length", F.lit(0).cast("bigint").alias("start"), F.lit(1).alias("chunk_index"))
-    spark, path, round_ = signal.sparkSession, new_shared_path(signal.sparkSession, "plan"), 0
+    stretch = per_round * (target + window)
+    ranges = materialize(
+        ranges.withColumn("_b", F.explode(F.expr(f"sequence(start div {stretch}, (end - 1) div {stretch})"))), "ranges")
+    state = lengths.select(*KEY, "length", F.lit(0).cast("bigint").alias("at"), F.lit(1).alias("chunk_index"))
+    half, round_ = window // 2, 0
+    schema = "series_id bigint, chunk_index int, start bigint, end bigint, length bigint"
+
+    def cuts(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=["series_id", "chunk_index", "start", "end", "length"])
+        series, length, at, index = (int(own[c].iloc[0]) for c in ("series_id", "length", "at", "chunk_index"))
+        spans = sorted(set(zip(near["start"].tolist(), near["end"].tolist())))
+        ends = [e for _, e in spans]
+        out = []
+        while len(out) < per_round and at < length:
+            goal = at + target
+            if goal >= length or (index == 1 and length < threshold):
+                end = length
+            else:
+                lo, hi = max(0, goal - half), min(length, goal + half)
+                first = bisect_left(ends, lo)
+                last = bisect_left(spans, (hi, 0))
+                end = _best_cut(spans[first:last], goal, lo, hi)
+            out.append((series, index, at, end, length))
+            at, index = end, index + 1
+        return pd.DataFrame(out, columns=["series_id", "chunk_index", "start", "end", "length"])
+
     while True:
-        goal = F.col("start") + F.lit(target)
-        whole = (goal >= F.col("length")) | ((F.col("chunk_index") == 1) & (F.col("length") < threshold))
-        last = state.filter(whole).select(*KEY, "chunk_index", "start", F.col("length").alias("end"))
-        open_ = state.filter(~whole).withColumn("target", goal)
-        cuts = best_split(ranges, open_, window).withColumnRenamed("cut", "end")
-        step = last.withColumn("length", F.lit(None).cast("bigint")).unionByName(
-            cuts.select(*KEY, "chunk_index", "start", "end", "length"))
+        # a stretch may reach into the next bucket
+        here = state.select(*KEY, "at", F.explode(F.expr(f"array(at div {stretch}, at div {stretch} + 1)")).alias("_b"))
+        near = ranges.join(here, [*KEY, "_b"]).filter(f"end > at and start < at + {stretch}").select(*KEY, "start", "end")
+        step = state.groupBy(*KEY).cogroup(near.select(*[F.col(c).alias(c) for c in near.columns]).groupBy(*KEY)).applyInPandas(cuts, schema)
         step.write.parquet(f"{path}/round={round_}")
-        state = spark.read.schema(step.schema).parquet(f"{path}/round={round_}").filter("length is not null and end < length").select(
-            *KEY, "length", F.col("end").alias("start"), (F.col("chunk_index") + 1).alias("chunk_index"))
+        done = spark.read.schema(step.schema).parquet(f"{path}/round={round_}")
+        state = done.groupBy(*KEY).agg(
+            F.max("length").alias("length"), F.max("end").alias("at"), (F.max("chunk_index") + 1).alias("chunk_index")
+        ).filter("at < length")
         round_ += 1
         if state.isEmpty():
             break

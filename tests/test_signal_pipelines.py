@@ -87,7 +87,7 @@ def _cut(ranges, target, window, length):
 def test_plan_chunks(spark):
     data, df = _signal(spark)
     ranges = sg.active_ranges(df, 10, -40.0, 30)
-    plan = rows(sg.plan_chunks(df, ranges, 200, 90, 100).select("series_id", "chunk_index", "start", "end", "duration"), "series_id", "chunk_index")
+    plans = [rows(sg.plan_chunks(df, ranges, 200, 90, 100, n).select("series_id", "chunk_index", "start", "end", "duration"), "series_id", "chunk_index") for n in (1, 2, 64)]
     want = []
     for s in (1, 2):
         x = np.array([v for k, _, v in data if k == s])
@@ -98,7 +98,7 @@ def test_plan_chunks(spark):
             end = len(x) if start + 200 >= len(x) else _cut(spans, start + 200, 90, len(x))
             want.append((s, k, start, end, end - start))
             start, k = end, k + 1
-    assert plan == want
+    assert plans == [want] * 3
     one = rows(sg.plan_chunks(df, ranges, 200, 90, 901).select("series_id", "chunk_index", "end"), "series_id")
     assert one == [(1, 1, 900), (2, 1, 900)]
 
