@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARK, MARK_END, PROTECTED, SPACE, collapse, has_protected, split_on, strip, sub, unicode_regex
+from ..functions.text import MARK, MARK_END, PROTECTED, SPACE, collapse, split_on, strip, sub, unicode_regex
 from .segment import pack_words
 
 MAX_CHARS = 80
@@ -210,29 +210,37 @@ def _first_split(tries: list[Column], text: Column) -> Column:
     return F.coalesce(*[let(p, lambda x: F.when(F.size(x) > 1, x)) for p in tries], _one(text))
 
 
-def split_safe(text: Column, max_chars: int = MAX_CHARS, min_len: int = 15) -> Column:
-    """First cut after a safe pattern that lies outside every protected phrase and leaves fitting sides."""
+def split_safe(text: Column, max_chars: int = MAX_CHARS, min_len: int = 15, only_protected: bool = False) -> Column:
+    """First cut after a safe pattern that lies outside every protected phrase and leaves fitting sides.
 
-    def body(v: Column) -> Column:
-        n = F.length(v["t"])
-        ok = F.filter(v["m"], lambda m: (m["e"] - m["last"]).between(min_len, max_chars)
-                      & (n - m["e"] - m["at_e"]).between(min_len, max_chars)
-                      & ~F.exists(v["p"], lambda r: (r["s"] <= m["e"]) & (m["e"] <= r["e"])))
-        return let(F.get(ok, F.lit(0))["e"], lambda e: F.when(e.isNull(), _one(v["t"])).otherwise(
-            cut_at(v["t"], F.array(e))))
+    With ``only_protected`` a text without any protected phrase is left whole. The phrases are searched
+    only where a cut would fit.
+    """
 
     def fits(x: Column) -> Column:
-        marks = F.concat(*[spans(x, p, "e") for p in SAFE])
-        kept = F.concat(*[spans(x, p) for p in PROTECTED])
-        return F.when(F.length(x) > 2 * max_chars + 2, _one(x)).otherwise(
-            let(F.struct(x.alias("t"), marks.alias("m"), kept.alias("p")), body))
+        n = F.length(x)
+        marks = F.filter(
+            F.concat(*[spans(x, p, "e") for p in SAFE]),
+            lambda m: (m["e"] - m["last"]).between(min_len, max_chars) & (n - m["e"] - m["at_e"]).between(min_len, max_chars))
+
+        def outside(ok: Column) -> Column:
+            def first(kept: Column) -> Column:
+                free = F.filter(ok, lambda m: ~F.exists(kept, lambda r: (r["s"] <= m["e"]) & (m["e"] <= r["e"])))
+                at = F.get(free, F.lit(0))["e"]
+                cut = F.when(at.isNull(), _one(x)).otherwise(cut_at(x, F.array(at)))
+                return F.when(F.size(kept) == 0, _one(x)).otherwise(cut) if only_protected else cut
+
+            return F.when(F.size(ok) == 0, _one(x)).otherwise(let(F.concat(*[spans(x, p) for p in PROTECTED]), first))
+
+        # a single cut cannot help a text of more than two full parts
+        return F.when(n > 2 * max_chars + 2, _one(x)).otherwise(let(marks, outside))
 
     return let(collapse(text), fits)
 
 
 def split_grammar(text: Column, max_chars: int = MAX_CHARS) -> Column:
     """Safe cut when a protected phrase is present, then natural breaks, then grammar points; first that splits."""
-    tries = [F.when(has_protected(text), split_safe(text, max_chars)).otherwise(_one(text))]
+    tries = [split_safe(text, max_chars, only_protected=True)]
     tries += [split_midpoint(text, p, max_chars, 15) for p in NATURAL]
     tries += [split_midpoint(text, p, max_chars, 20) for p in GRAMMAR]
     return _first_split(tries, text)
