@@ -11,9 +11,9 @@ chunk is the unit cut by ``signal.plan_chunks`` (half an hour of speech), not a
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,7 +171,14 @@ class _Chunk:
         """Score of ``tok`` against every vocabulary entry: 1 equal, .8 contained, .6 alike (if ``fuzzy``)."""
         key = (tok, fuzzy)
         if key not in self.partial:
-            self.partial[key] = np.array([_word_score(tok, v, fuzzy) for v in self.names])
+            if fuzzy and len(tok) < 3:
+                # too short for anything but equality
+                scores = np.zeros(len(self.names))
+                if tok in self.vocab:
+                    scores[self.vocab[tok]] = 1.0
+            else:
+                scores = np.array([_word_score(tok, v, fuzzy) for v in self.names])
+            self.partial[key] = scores
         return self.partial[key]
 
     def window_scores(self, toks: list[str], fuzzy: bool) -> np.ndarray:
@@ -191,7 +198,7 @@ def _word_score(a: str, b: str, fuzzy: bool) -> float:
     if a in b or b in a:
         return 0.8
     if fuzzy and abs(len(a) - len(b)) <= 2:
-        same = sum(x == y for x, y in zip(a, b))
+        same = sum(map(eq, a, b))
         return 0.6 if same / max(len(a), len(b)) >= 0.6 else 0.0
     return 0.0
 
@@ -398,26 +405,36 @@ def _fold(sentences: DataFrame, words: DataFrame, form: str, kernel: Callable, k
         ", sent_idx bigint, text string, start_ms bigint, end_ms bigint, confidence double,"
         " start_word_idx bigint, end_word_idx bigint, n_tokens int")
 
-    def run(ws: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
-        ss = ss.sort_values("sent_idx", kind="stable")
-        ws = ws.sort_values("word_idx", kind="stable")
-        columns = [*keys, "sent_idx", "text", "start_ms", "end_ms", "confidence", "start_word_idx", "end_word_idx", "n_tokens"]
-        if not len(ws) or not len(ss):
-            return pd.DataFrame(columns=columns)
-        idx, begin, end = (ws[c].to_numpy() for c in ("word_idx", "start_ms", "end_ms"))
-        sents = [list(t) for t in ss["toks"]]
+    names = [*keys, "sent_idx", "text", "start_ms", "end_ms", "confidence", "start_word_idx", "end_word_idx", "n_tokens"]
+
+    def run(ws, ss):
+        import pyarrow as pa
+
+        out_schema = pa.schema([
+            *[ss.schema.field(k) for k in keys], ("sent_idx", pa.int64()), ("text", pa.string()), ("start_ms", pa.int64()),
+            ("end_ms", pa.int64()), ("confidence", pa.float64()), ("start_word_idx", pa.int64()), ("end_word_idx", pa.int64()),
+            ("n_tokens", pa.int32())])
+        if not ws.num_rows or not ss.num_rows:
+            return pa.Table.from_pydict({n: [] for n in names}, schema=out_schema)
+        idx = ws["word_idx"].to_numpy()
+        order = np.argsort(idx, kind="stable")
+        idx, begin, end = (ws[c].to_numpy()[order] for c in ("word_idx", "start_ms", "end_ms"))
+        norms = ws["norm"].to_pylist()
+        chunk = _Chunk([norms[i] for i in order])
+        by = np.argsort(ss["sent_idx"].to_numpy(), kind="stable")
+        toks_of, text_of, sent_of = (ss[c].to_pylist() for c in ("toks", "text", "sent_idx"))
+        key = [ss[k][0].as_py() for k in keys]
         out = []
-        for row, toks_, hit in zip(ss.itertuples(index=False), sents, kernel(_Chunk(ws["norm"].tolist()), sents)):
+        for i, hit in zip(by, kernel(chunk, [toks_of[i] for i in by])):
             if hit is None:
                 continue
             a, b, conf = hit
-            times = (int(begin[a]), int(end[b])) if a >= 0 else (None, None)
-            ids = (int(idx[a]), int(idx[b])) if a >= 0 else (-1, -1)
-            out.append((*(getattr(row, k) for k in keys), row.sent_idx, row.text, *times, conf, *ids, len(toks_)))
-        res = pd.DataFrame(out, columns=columns)
-        return res.astype({"start_ms": "Int64", "end_ms": "Int64"})
+            found = (int(begin[a]), int(end[b]), float(conf), int(idx[a]), int(idx[b])) if a >= 0 else (None, None, 0.0, -1, -1)
+            out.append((*key, sent_of[i], text_of[i], *found, len(toks_of[i])))
+        columns = list(zip(*out)) if out else [[] for _ in names]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def align_monotonic(sentences: DataFrame, words: DataFrame, context: bool = True, keys: Sequence[str] = CHUNK) -> DataFrame:
