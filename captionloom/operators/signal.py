@@ -6,7 +6,11 @@ series) or a block scan; one long series is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, new_shared_path
@@ -56,7 +60,6 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys=KEY, resolution=(
             "_left", F.col("_left") - F.col("_before")).drop("_before", "_c")
         scope = [*scope, cell]
     last = vals.join(want.select(*scope).distinct(), scope, "left_semi")
-    from pyspark.sql import Window
     w = Window.partitionBy(*scope).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     hit = want.join(last, scope).filter("_before <= _left and _left < _before + _c")
@@ -95,8 +98,6 @@ def change_points(
     The spacing rule is a finite-state machine over the candidates: the state is the number of windows
     still to wait.
     """
-    import math
-
     rows = with_previous(rms_windows(signal, width), KEY, ["win"], {"_was": "rms"}, depth=depth)
     jump = F.abs(F.col("rms") - F.col("_was")) / (F.col("_was") + 1e-6) > threshold
     marks = rows.filter((F.col("_was") > 0) & jump).select(*KEY, "win")
@@ -170,10 +171,6 @@ def plan_chunks(
     gives each series the active ranges of that stretch only, and its cuts are written to the shared folder
     before the next one starts. So a series of any length never sits in one task.
     """
-    from bisect import bisect_left
-
-    import pandas as pd
-
     if window >= target:
         raise ValueError("the search window must be smaller than the chunk")
     spark, path = signal.sparkSession, new_shared_path(signal.sparkSession, "plan")

@@ -91,9 +91,10 @@ def read_transcripts(spark: SparkSession, path: str, fmt: str = "json") -> DataF
     return df.withColumn("segments", F.coalesce("segments", F.expr("cast(array() as " + TRANSCRIPT["segments"].dataType.simpleString() + ")")))
 
 
-def read_chunk_timing(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk manifests (a JSON array per file, or JSON lines); the folder name is the recording."""
-    df = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").schema(CHUNK_MANIFEST).json(path)
+def read_chunk_timing(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Chunk manifests, a JSON array per file (or JSON lines, as ``write_chunk_timing`` leaves them); the
+    folder name is the recording."""
+    df = spark.read.option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true").schema(CHUNK_MANIFEST).json(path)
     return df.select(
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("recording"),
         F.col("chunk_index").alias("chunk_id"), F.col("start_time_ms").alias("start_ms"),

@@ -83,9 +83,13 @@ def test_rewriting_one_chunk_leaves_the_others(spark, tmp_path):
 def test_manifest_glossary_transcripts(spark, tmp_path):
     put(f"{tmp_path}/m/recA/chunk_timing.json", json.dumps([dict(chunk_index=1, start_time_ms=0, end_time_ms=5, duration_ms=5)], indent=4))
     assert rows(read.read_chunk_timing(spark, f"{tmp_path}/m")) == [("recA", 1, 0, 5, 5)]
-    put(f"{tmp_path}/g/a.json", json.dumps({"exact_replace": {"Sap Nap": "Sapnap"}, "pre_translate": {"Hi You": "x"}}))
+    timing = spark.createDataFrame([(7, 1, 0, 5, 5), (7, 2, 5, 9, 4), (8, 1, 0, 3, 3)], "rec_id bigint, chunk_id int, start_ms bigint, end_ms bigint, duration_ms bigint")
+    write.write_chunk_timing(timing, f"{tmp_path}/w")
+    assert rows(read.read_chunk_timing(spark, f"{tmp_path}/w", lines=True), "recording", "chunk_id") == [
+        ("rec_id=7", 1, 0, 5, 5), ("rec_id=7", 2, 5, 9, 4), ("rec_id=8", 1, 0, 3, 3)]
+    put(f"{tmp_path}/g/a.json", json.dumps({"exact_replace": {"Old Town": "Oldtown"}, "pre_translate": {"Hi You": "x"}}))
     put(f"{tmp_path}/g/b.json", "{broken")
-    assert sorted(map(tuple, read.read_glossary(spark, f"{tmp_path}/g").collect())) == [("exact_replace", 0, "sap nap", "Sapnap"), ("pre_translate", 0, "Hi You", "x")]
+    assert sorted(map(tuple, read.read_glossary(spark, f"{tmp_path}/g").collect())) == [("exact_replace", 0, "old town", "Oldtown"), ("pre_translate", 0, "Hi You", "x")]
     put(f"{tmp_path}/t/a.json", json.dumps({"rec_id": 1, "chunk_id": 2, "segments": [
         {"text": "x", "words": [{"word": " a ", "start": 0.5, "end": 0.75}, {"word": " "}, {"word": "b", "start": 1.0}]}, {"text": "no words"}]})
         + "\n" + json.dumps({"rec_id": 2, "chunk_id": 0}))
