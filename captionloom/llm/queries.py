@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, toxicity
-from .common import table
+from ..session import new_shared_path
+from . import bpe, exact_dedup, language, license_scan, mixing, simhash, toxicity, warc
+from .common import id_crc, table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc("doc_id", 3) == 1
+    found = language.identify(docs, language.fit(docs.where(~held_out)))
+    return found.withColumn("held_out", held_out)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +23,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digested(table(spark, sf_dir, "documents"), bpe.read_ranks(bpe.default_path()), public_tokenizers.PATTERN)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.default_categories()))
@@ -27,19 +41,30 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "warc")
+    warc.write_archives(warc.mark_revisits(warc.payloads(table(spark, sf_dir, "pages"))), path)
+    return warc.resolve(warc.read_archives(spark, path)).withColumnRenamed("id", "page_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
+    "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op3_license_scan": license_scan.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
