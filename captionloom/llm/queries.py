@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_shared_path
-from . import bpe, exact_dedup, language, license_scan, mixing, simhash, toxicity, warc
+from . import bpe, exact_dedup, language, license_scan, lm_score, mixing, simhash, toxicity, warc
 from .common import id_crc, table
 
 
@@ -41,6 +41,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc("doc_id", 7) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("__trained", ~held_out)
+    return lm_score.score(docs, "__trained").withColumn("held_out", held_out)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "warc")
     warc.write_archives(warc.mark_revisits(warc.payloads(table(spark, sf_dir, "pages"))), path)
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
+    "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
