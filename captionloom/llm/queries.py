@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_shared_path
-from . import bpe, exact_dedup, language, license_scan, lm_score, mixing, simhash, toxicity, warc
+from . import bpe, embedding_dedup, exact_dedup, language, license_scan, lm_score, mixing, simhash, toxicity, warc
 from .common import id_crc, table
 
 
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mixing": op7_mixing,
     "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
