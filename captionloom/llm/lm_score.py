@@ -79,7 +79,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
             k, c = np.unique(tokens(column(part, "text"))[0], return_counts=True)
             keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-            if len(keys) > 2_000_000:
+            if len(keys) > 1_000_000:
                 yield out()
                 keys, counts = keys[:0], counts[:0]
         if len(keys):
@@ -114,7 +114,7 @@ def _from_planes(data) -> np.ndarray:
 
 
 def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.5, concentration: float = 20.0,
-          chunk_bytes: int = 12 << 20, bucket_keys: int = 1 << 20) -> DataFrame:
+          chunk_bytes: int = 6 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
     """One row per document: ``(id_col, n_tokens, n_known, train_tokens, base_score, score)``.
 
     ``trained``: name of a boolean column, true for the documents the model learns from. Tokens: words with A-Z lower-cased,
