@@ -217,29 +217,22 @@ def _monotonic(chunk: _Chunk, sents: list[list[str]], context: bool):
                 return start + i, float(share[i])
         return -1, 0.0
 
+    def candidates(codes: np.ndarray):
+        """What is searched for, from where, by which shares: the sentence, and if short also with neighbours."""
+        yield codes, cursor, (1.0, 0.9, 0.85)
+        if context and len(codes) <= 2:
+            for stop in (cursor + 1, cursor + 2):
+                yield np.concatenate([codes, chunk.seq[cursor:stop]]), cursor, (0.85,)
+            low = max(0, cursor - 2)
+            if low < cursor:
+                yield np.concatenate([chunk.seq[low:cursor], codes]), low, (0.85,)
+
     for toks in sents:
-        if not toks:
-            yield None
-            continue
-        codes = chunk.codes(toks)
-        at, conf, n = *search(codes, cursor, (1.0, 0.9, 0.85)), len(codes)
-        if at < 0 and context and n <= 2:
-            longer = [np.concatenate([codes, chunk.seq[cursor:cursor + extra]]) for extra in (1, 2)]
-            starts = [cursor, cursor]
-            if cursor > 0:
-                low = max(0, cursor - 2)
-                longer.append(np.concatenate([chunk.seq[low:cursor], codes]))
-                starts.append(low)
-            for c, s in zip(longer, starts):
-                at, conf = search(c, s, (0.85,))
-                if at >= 0:
-                    n, conf = len(c), max(0.85, conf)
-                    break
-        if at < 0:
-            yield (-1, -1, 0.0)
-        else:
+        hits = ((*search(c, start, floors), len(c)) for c, start, floors in candidates(chunk.codes(toks))) if toks else ()
+        at, conf, n = next((h for h in hits if h[0] >= 0), (-1, 0.0, 0))
+        if at >= 0:
             cursor = at + n
-            yield (at, at + n - 1, conf)
+        yield None if not toks else (at, at + n - 1, conf) if at >= 0 else (-1, -1, 0.0)
 
 
 def _take(chunk: _Chunk, at: int, n: int, conf: float):
@@ -321,29 +314,49 @@ def _best_sequence(chunk: _Chunk, sents: list[list[str]]):
 def _token_set(chunk: _Chunk, sents: list[list[str]]):
     """Free window with the sentence's tokens in order, else the window of n +- 2 words that shares most
     distinct tokens (at least .7)."""
-    size = len(chunk.seq)
     for toks in sents:
-        n = len(toks)
-        if not n:
+        if not toks:
             yield None
             continue
-        equal = _best_share(chunk, toks, 1.0, False, False)
-        best = equal
-        if equal[0] < 0:
-            want = set(chunk.codes(toks).tolist()) - {-1}
-            total = len(set(toks))
-            for s in range(size - 1):
-                for w in range(max(1, n - 2), min(n + 2, size - s) + 1):
-                    if chunk.used[s:s + w].any():
-                        continue
-                    share = len(want.intersection(chunk.seq[s:s + w].tolist())) / total
-                    if share >= 0.7 and share > best[2]:
-                        best = (s, s + w - 1, share)
+        best = _best_share(chunk, toks, 1.0, False, False)
+        if best[0] < 0:
+            best = _most_distinct(chunk, toks, range(max(1, len(toks) - 2), len(toks) + 3), 0.7)
         if best[0] >= 0:
             chunk.used[best[0]:best[1] + 1] = True
         yield best
 
 
+def _most_distinct(chunk: _Chunk, toks: list[str], widths: range, floor: float):
+    """Free window of one of the widths that holds most of the sentence's distinct tokens; the leftmost and then
+    shortest of the best. The last word starts no window.
+
+    An occurrence counts for the windows that reach it and start after the one before it, so each adds one
+    stretch of window starts, and a running sum gives all windows of a width at once.
+    """
+    size, wanted = len(chunk.seq), np.unique(chunk.codes(toks))
+    at = np.flatnonzero(np.isin(chunk.seq, wanted[wanted >= 0]))
+    order = np.lexsort((at, chunk.seq[at]))
+    before = np.full(len(at), -1)
+    same = np.diff(chunk.seq[at][order]) == 0
+    before[order[1:][same]] = at[order[:-1][same]]
+    top, width = np.zeros(max(size - 1, 0), np.int64), np.zeros(max(size - 1, 0), np.int64)
+    for w in widths:
+        n = min(size - w + 1, size - 1)
+        if n <= 0:
+            break
+        edge = np.zeros(size + 1, np.int64)
+        np.add.at(edge, np.maximum(before, at - w) + 1, 1)
+        np.add.at(edge, at + 1, -1)
+        held = np.where(_free(chunk.used, w)[:n], np.cumsum(edge)[:n], 0)
+        better = held > top[:n]
+        top[:n][better], width[:n][better] = held[better], w
+    if not len(top) or not top.any():
+        return (-1, -1, 0.0)
+    s = int(top.argmax())
+    share = top[s] / len(set(toks))
+    return (s, s + int(width[s]) - 1, float(share)) if share >= floor else (-1, -1, 0.0)
+
+
 def _fuzzy_unused(floor: float):
     """First free window with at least ``floor`` agreeing positions."""
 
@@ -372,20 +385,6 @@ def _locate(chunk: _Chunk, sents: list[list[str]]):
         yield (at, at + n - 1, float(score[at])) if score[at] >= 0.7 - 1e-12 else (-1, -1, 0.0)
 
 
-# fixed values: contraction endings that the aligner's normal form cuts off
-CONTRACTION_TAILS = ("s", "t", "re", "ve", "ll", "d")
-
-
-def merge_contractions(toks: Column) -> Column:
-    """Join a token and a following contraction ending: ``what, s`` -> ``what s``."""
-    return F.aggregate(
-        toks, F.expr("cast(array() as array<string>)"),
-        lambda acc, t: F.when(
-            (F.size(acc) > 0) & t.isin(*CONTRACTION_TAILS) & ~F.contains(F.element_at(acc, -1), F.lit(" ")),
-            F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                           F.concat_ws(" ", F.element_at(acc, -1), t))).otherwise(F.array_append(acc, t)))
-
-
 def _fold(sentences: DataFrame, words: DataFrame, form: str, kernel: Callable, keys: Sequence[str], toks: Column | None = None) -> DataFrame:
     """Run a kernel per (recording, chunk). Adds ``confidence, start_word_idx, end_word_idx, start_ms, end_ms``;
     unmatched sentences have -1 and null times, sentences the kernel skips are dropped."""
@@ -467,13 +466,15 @@ def align_fuzzy_unused(sentences: DataFrame, words: DataFrame, floor: float = 0.
 
 
 def align_contraction(sentences: DataFrame, words: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
-    """Exact alignment in which ``what s`` of the words meets ``what``, ``s`` of the sentence."""
-    flat = words.withColumn("word", norm_align(F.col("word")))
-    text = F.array_join(merge_contractions(F.flatten(F.transform(
-        align_tokens(F.col("text")), lambda t: F.split(t, " ")))), " ")
-    del text
-    toks = merge_contractions(F.flatten(F.transform(align_tokens(F.col("text")), lambda t: F.split(t, " "))))
-    return _fold(sentences, flat, "align", lambda c, s: _monotonic_exact(c, s), keys, toks)
+    """Exact alignment in which ``what's`` meets ``what s`` and ``o clock`` meets ``o'clock``: words and sentences are
+    compared by the parts of their normal forms, and a hit gives the words that hold its first and last part."""
+    parts = 1 << 10  # a word's parts take their order from its index
+    flat = words.select(*keys, "word_idx", "start_ms", "end_ms", F.posexplode(F.split(norm_align(F.col("word")), " ")).alias("_p", "word"))
+    flat = flat.withColumn("word_idx", F.col("word_idx") * parts + F.col("_p"))
+    toks = F.flatten(F.transform(align_tokens(F.col("text")), lambda t: F.split(t, " ")))
+    out = _fold(sentences, flat, "align", _monotonic_exact, keys, toks)
+    back = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.expr(f"{c} div {parts}"))
+    return out.withColumns({c: back(c) for c in ("start_word_idx", "end_word_idx")})
 
 
 def _monotonic_exact(chunk: _Chunk, sents: list[list[str]]):

@@ -58,31 +58,24 @@ def _literal(replacement: str) -> str:
 
 
 def _fold(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Apply rules in order, each on the result of those before it."""
-    if len(rules) <= 24:
-        out = text
-        for term, repl in rules:
-            out = sub(out, "(?iu)" + _rule_pattern(term), _literal(repl))
-        return out
-    table = F.array(*[F.struct(
-        F.lit(t.lower().replace("ſ", "s")).alias("t"), F.lit("(?iu)" + _rule_pattern(t)).alias("p"),
-        F.lit(_literal(r)).alias("r")) for t, r in rules])
-    # the plain containment test spares nearly all regular expressions
-    return F.aggregate(table, text, lambda acc, r: F.when(
-        F.contains(F.lower(F.translate(acc, "ſ", "s")), r["t"]), F.regexp_replace(acc, r["p"], r["r"])).otherwise(acc))
+    """Apply rules in order, each on the result of those before it. The rules are data of the expression, so the
+    plan does not grow with them, and any number of them takes the same way."""
+    table = F.array(*[F.struct(F.lit("(?iu)" + _rule_pattern(t)).alias("p"), F.lit(_literal(r)).alias("r")) for t, r in rules])
+    return F.aggregate(table, text, lambda acc, r: F.regexp_replace(acc, r["p"], r["r"]))
 
 
 def apply_glossary(df: DataFrame, rules: DataFrame, text: str = "text", slice_size: int = 1000) -> DataFrame:
     """Replace whole words, ignoring case, rule after rule in ``ord`` order (later rules see earlier results).
 
-    ``rules``: ``ord, term, replacement``. Texts without any term are passed over by one combined test.
-    Glossaries beyond ``slice_size`` rules are applied slice by slice, with a stored table in between,
+    ``rules``: ``ord, term, replacement``; a rule that is given twice counts once. Texts without any term are passed
+    over by one combined test. Glossaries beyond ``slice_size`` rules are applied slice by slice, with a stored table in between,
     so that neither the driver nor the plan ever holds more than one slice.
     """
-    ordered = rules.select("ord", "term", "replacement").orderBy("ord", "term")
+    place = F.struct("ord", "term", "replacement")
+    ordered = rules.select("ord", "term", "replacement").distinct().orderBy("ord", "term", "replacement")
     last, sliced = None, 0
     while True:
-        part = ordered if last is None else ordered.filter((F.col("ord") > last[0]) | ((F.col("ord") == last[0]) & (F.col("term") > last[1])))
+        part = ordered if last is None else ordered.filter(place > F.struct(*[F.lit(x) for x in last]))
         got = part.limit(slice_size).collect()
         if not got:
             return df
@@ -93,7 +86,7 @@ def apply_glossary(df: DataFrame, rules: DataFrame, text: str = "text", slice_si
         df = df.withColumn(text, F.when(F.col(text).rlike(any_term), _fold(F.col(text), pairs)).otherwise(F.col(text)))
         if len(got) < slice_size:
             return df
-        last, sliced = (got[-1]["ord"], got[-1]["term"]), sliced + 1
+        last, sliced = tuple(got[-1]), sliced + 1
 
 
 def pretranslate(
@@ -103,9 +96,11 @@ def pretranslate(
     """Whole-text dictionary hit, else the translator for texts with word characters, else the text itself.
 
     Only distinct texts that miss the dictionary are given to the translator, so a caption repeated a
-    million times is translated once.
+    million times is translated once. Of entries for the same term the last by ``ord`` counts (without that
+    column, the largest).
     """
-    known = dictionary.select(F.col("term").alias(text), F.col("replacement").alias("_hit"))
+    last = F.max_by("replacement", F.struct("ord", "replacement")) if "ord" in dictionary.columns else F.max("replacement")
+    known = dictionary.groupBy(F.col("term").alias(text)).agg(last.alias("_hit"))
     out = df.join(beside(known, broadcast_rows), text, "left")
     if translator is None:
         return out.withColumn(into, F.coalesce("_hit", text)).drop("_hit")
@@ -154,8 +149,10 @@ def cache_key(content: Column, model: Column, params: Sequence[Column]) -> Colum
 
 
 def cached_lookup(todo: DataFrame, cache: DataFrame, now: Column, key: str = "key", days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``(hits, misses)`` against cache rows (``key, value, modified``) younger than ``days``."""
+    """``(hits, misses)`` against cache rows (``key, value, modified``) younger than ``days``; of rows with the same
+    key the youngest counts."""
     fresh = cache.filter(F.floor((F.unix_timestamp(now) - F.unix_timestamp("modified")) / 86400) < days)
+    fresh = fresh.groupBy(key).agg(F.max_by("value", F.struct("modified", "value")).alias("value"))
     return todo.join(fresh.select(key, "value"), key), todo.join(fresh, key, "left_anti")
 
 

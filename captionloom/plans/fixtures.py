@@ -77,8 +77,7 @@ def cues_of(segs: DataFrame) -> DataFrame:
         F.expr("if(seg_idx % 11 = 5, start_ms, end_ms)").alias("end_ms"),
         F.expr(
             "case when (rec_id + seg_idx) % 13 = 0 then ' ' "
-            "when seg_idx % 2 = 0 then substr(text, 1, 60) || chr(10) || 'T:' || substr(text, 1, 60) "
-            "else substr(text, 1, 60) end").alias("content"))
+            "when seg_idx % 2 = 0 then text || chr(10) || 'T:' || text else text end").alias("content"))
 
 
 def sentences_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +143,7 @@ from words group by rec_id,chunk_id having (rec_id+chunk_id)%17<>0""",
  case when (rec_id+seg_idx)%7=3 then start_ms-500 else start_ms end start_ms,
  case when seg_idx%11=5 then start_ms else end_ms end end_ms,
  case when (rec_id+seg_idx)%13=0 then ' '
-  when seg_idx%2=0 then substr(text,1,60)||chr(10)||'T:'||substr(text,1,60) else substr(text,1,60) end as content
+  when seg_idx%2=0 then text||chr(10)||'T:'||text else text end as content
 from segments""",
     "sentences_edited": """select rec_id,chunk_id,seg_idx sent_idx,
  string_agg(case when (rec_id+seg_idx)%10=0 then 'qqq' when word_idx%9=4 then 'zzz' else word end,' ' order by word_idx) as text

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.captions import compose_content
+from ..functions.models import BOUNDS, checked
 from ..functions.text import (
     clean_case, clean_srt_text, extract_code_block, finalize, is_blank, punct_plausible, punctuate_labels,
     punctuate_rule, strip, tokens,
@@ -116,7 +117,7 @@ def pause_captions(
     n = F.size(tokens(F.col("text")))
     sents = sents.withColumn("_end", F.sum(n).over(upto)).withColumn(
         "ws", F.slice("ws", (F.col("_end") - n + 1).cast("int"), n))
-    sents = sents.withColumn("sent_idx", F.col("utt_id") * F.lit(1 << 20) + F.col("_i")).drop("_i", "_end", "utt_id")
+    sents = sents.withColumn("sent_idx", F.col("utt_id") * F.lit(1 << 32) + F.col("_i")).drop("_i", "_end", "utt_id")
     pauses = split.split_by_pauses(F.col("ws"), 1000, 10, compat)
     parts = bounded_sentences(sents, max_chars, "b", compat, pauses).drop("ws")
     out = _fallback(align.align_unused_robust(parts, words, keys), words, "b", keys)
@@ -192,33 +193,33 @@ def finish(
     return merge.absolute_time(rows).drop("offset_ms", "translated", text)
 
 
-# fixed value: the request text around the captions of a batch
-PROMPT_HEAD = "Please process this SRT subtitle file according to the instructions.\n\nINPUT SRT:\n"
-PROMPT_TAIL = (
-    "\n\nExpected output format example:\n1\n00:00:01,000 --> 00:00:03,000\nThis is the English original\n这是中文翻译\n\n"
-    "2  \n00:00:03,000 --> 00:00:05,000\nAnother English sentence\n另一句中文翻译\n\n"
-    "Return only the corrected and translated bilingual SRT file:"
+# what stands before and after the captions of a batch in a request; a caller's client may want its own
+REQUEST = (
+    "Translate the captions below. Keep their number, order and times; below each source line put its translation.\n\n",
+    "\nAnswer in SRT format and with nothing else.",
 )
 
 
-def batch_prompts(cues: DataFrame, size: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
-    """``(cues with batch_id and pos, one row per batch with its prompt)``."""
+def batch_prompts(cues: DataFrame, size: int = 5, request: tuple[str, str] = REQUEST, **kw) -> tuple[DataFrame, DataFrame]:
+    """``(cues with batch_id and pos, one row per batch with its prompt)``; ``request``: texts around the captions."""
+    size = int(checked(size, *BOUNDS["batch_size"], "size"))
     rows = merge.batch_cues(cues, size, **kw)
     block = srt_block(F.col("pos") + 1, F.col("start_ms"), F.col("end_ms"), F.col("content"))
     listed = F.array_sort(F.collect_list(F.struct("pos", block.alias("b"))))
     body = F.array_join(F.transform(listed, lambda x: x["b"]), "")
-    return rows, rows.groupBy("rec_id", "batch_id").agg(F.concat(F.lit(PROMPT_HEAD), body, F.lit(PROMPT_TAIL)).alias("prompt"))
+    return rows, rows.groupBy("rec_id", "batch_id").agg(F.concat(F.lit(request[0]), body, F.lit(request[1])).alias("prompt"))
 
 
 def translate_batches(
-    cues: DataFrame, client: Callable[[str], str | None], size: int = 5, bilingual: bool = True, clean: bool = True, **kw,
+    cues: DataFrame, client: Callable[[str], str | None], size: int = 5, bilingual: bool = True, clean: bool = True,
+    request: tuple[str, str] = REQUEST, **kw,
 ) -> DataFrame:
     """Batches of captions through a text client; answers get the source times, failed batches keep the source.
 
     ``client`` (prompt to response, ``None`` on failure) runs in the tasks, a batch at a time. Its responses
     are written once, so that a recomputed task never asks again.
     """
-    rows, prompts = batch_prompts(cues, size, **kw)
+    rows, prompts = batch_prompts(cues, size, request, **kw)
 
     def ask(batches):
         import pandas as pd

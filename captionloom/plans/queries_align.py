@@ -129,7 +129,7 @@ def translate_batches(t: Tables) -> DataFrame:
     """With a stand-in client that repeats the captions of its prompt."""
 
     def client(prompt: str):
-        body = prompt.split("INPUT SRT:\n", 1)[1].split("\n\nExpected output", 1)[0]
+        body = prompt.removeprefix(pipelines.REQUEST[0]).removesuffix(pipelines.REQUEST[1])
         return "```srt\n" + body + "```"
 
     from ..operators.merge import drop_invalid

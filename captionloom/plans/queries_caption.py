@@ -175,10 +175,9 @@ def mark_overlaps(t: Tables) -> DataFrame:
 
 
 @query("repeated_neighbours", sql_with("cues", """select rec_id, chunk_id, cue_idx, coalesce(trim(content) =
- lag(trim(content)) over (partition by rec_id order by chunk_id, cue_idx), false) repeated from (select rec_id, chunk_id, cue_idx,
- left(content, 1) as content from cues)"""))
+ lag(trim(content)) over (partition by rec_id order by chunk_id, cue_idx), false) repeated from cues"""))
 def repeated_neighbours(t: Tables) -> DataFrame:
-    rows = t.cues.withColumn("c", F.trim(F.left("content", F.lit(1))))
+    rows = t.cues.withColumn("c", F.trim("content"))
     rows = with_previous(rows, ["rec_id"], CUE_ORDER, {"prev": "c"}, **_flat(t))
     return rows.select(*CHUNK, "cue_idx", F.coalesce(F.col("c") == F.col("prev"), F.lit(False)).alias("repeated"))
 
@@ -251,11 +250,11 @@ def select_chunks(t: Tables) -> DataFrame:
 query("distinct_chunks", sql_with("cues", "select distinct chunk_id from cues"))(lambda t: t.cues.select("chunk_id").distinct())
 
 
-@query("replace_chunks", sql_with("cues", """with new as (select rec_id, chunk_id, cue_idx, start_ms, end_ms, upper(left(content, 9)) as content from cues where (rec_id + chunk_id) % 4 = 0)
+@query("replace_chunks", sql_with("cues", """with new as (select rec_id, chunk_id, cue_idx, start_ms, end_ms, lower(content) as content from cues where (rec_id + chunk_id) % 4 = 0)
  select * from new union all select rec_id, chunk_id, cue_idx, start_ms, end_ms, content from cues where (rec_id, chunk_id) not in (select (rec_id, chunk_id) from new)"""))
 def replace_chunks(t: Tables) -> DataFrame:
     columns = [*CHUNK, "cue_idx", "start_ms", "end_ms", "content"]
-    new = t.cues.filter("(rec_id + chunk_id) % 4 = 0").withColumn("content", F.upper(F.left("content", F.lit(9)))).select(*columns)
+    new = t.cues.filter("(rec_id + chunk_id) % 4 = 0").withColumn("content", F.lower("content")).select(*columns)
     return merge.replace_chunks(t.cues.select(*columns), new)
 
 
@@ -283,9 +282,9 @@ for _fmt, _expr in {
     "bilingual": "case when b <> '' then a || chr(10) || b else a end", "target": "case when b <> '' then b else a end", "source": "a",
 }.items():
     query(f"compose_{_fmt}", sql_with("cues", f"""select rec_id, cue_idx, {_expr} as content from (select rec_id, cue_idx,
- left(content, 10) a, case when cue_idx % 3 = 0 then '' else upper(left(content, 5)) end b from cues)"""))(
+ content a, case when cue_idx % 3 = 0 then '' else lower(content) end b from cues)"""))(
         lambda t, fmt=_fmt: t.cues.select("rec_id", "cue_idx", cp.compose_content(
-            F.left("content", F.lit(10)), F.when(F.col("cue_idx") % 3 == 0, "").otherwise(F.upper(F.left("content", F.lit(5)))), fmt).alias("content")))
+            F.col("content"), F.when(F.col("cue_idx") % 3 == 0, "").otherwise(F.lower("content")), fmt).alias("content")))
 
 
 @query("chunk_offset", sql_with("cues chunk_timing", """select c.rec_id, c.chunk_id, c.cue_idx, c.start_ms + coalesce(k.start_ms, 0) start_ms,
@@ -441,7 +440,7 @@ def _anomaly_sql(variant: str) -> str:
     same = "t = p and t <> ''" if variant == "full" else "t = p"
     single = "case when single > 2 then 'single_chars(' || single || ')' end, " if variant == "full" else ""
     return sql_with("cues", f"""with k as (select rec_id, start_ms, end_ms, t, lag(t) over w p, lag(end_ms) over w pe from
-  (select *, trim(left(content, 4)) t from cues) window w as (partition by rec_id order by chunk_id, cue_idx)),
+  (select *, trim(content) t from cues) window w as (partition by rec_id order by chunk_id, cue_idx)),
  a as (select rec_id, count(*) n, count(*) filter (where {same}) repeated, count(*) filter (where end_ms - start_ms > 15000) long,
   count(*) filter (where end_ms <= start_ms) zero, count(*) filter (where length(t) <= 3) short, count(*) filter (where length(t) = 1) single,
   count(*) filter (where start_ms < pe) "overlaps" from k group by 1)
@@ -453,7 +452,7 @@ def _anomaly_sql(variant: str) -> str:
 for _variant in ("full", "plain"):
     query(f"anomalies_{_variant}", _anomaly_sql(_variant))(
         lambda t, v=_variant: quality.anomalies(
-            t.cues.withColumn("content", F.left("content", F.lit(4))), ["rec_id"], CUE_ORDER, "content", v, **_flat(t)
+            t.cues, ["rec_id"], CUE_ORDER, "content", v, **_flat(t)
         ).withColumn("labels", F.array_join("labels", ",")))
 
 
@@ -672,15 +671,19 @@ def read_chunks(t: Tables) -> DataFrame:
     return cues.select(F.regexp_extract("path", r"/(rec\d+)/", 1).alias("project"), "chunk_id", "start_ms", "content")
 
 
-@query("read_transcripts", sql_with("segments", "select rec_id, chunk_id, count(*) n_segments, cast(sum(end_word_idx - start_word_idx + 1) as bigint) n_words from segments group by 1, 2"))
+@query("read_transcripts", sql_with("segments", """select rec_id, chunk_id, string_agg(text, chr(10) order by seg_idx) as text,
+ cast(sum(end_word_idx - start_word_idx + 1) as bigint) n_words from segments group by 1, 2"""))
 def read_transcripts(t: Tables) -> DataFrame:
     w = F.struct("word", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
-    segs = t.words.groupBy(*CHUNK, "seg_idx").agg(F.collect_list(w).alias("words"))
-    nested = segs.groupBy(*CHUNK).agg(F.collect_list(F.struct(F.lit("x").alias("text"), "words")).alias("segments"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", w.alias("w")))), lambda x: x["w"])
+    segs = t.words.groupBy(*CHUNK, "seg_idx").agg(said.alias("words"))
+    text = F.array_join(F.transform("words", lambda x: x["word"]), " ")
+    listed = F.array_sort(F.collect_list(F.struct("seg_idx", text.alias("text"), "words")))
+    nested = segs.groupBy(*CHUNK).agg(F.transform(listed, lambda x: F.struct(x["text"].alias("text"), x["words"].alias("words"))).alias("segments"))
     path = new_shared_path(t.spark, "transcripts")
     nested.write.json(path)
     df = read.read_transcripts(t.spark, path)
-    return df.select(*CHUNK, F.size("segments").cast("bigint").alias("n_segments"), F.expr(
+    return df.select(*CHUNK, F.array_join(F.transform("segments", lambda s: s["text"]), "\n").alias("text"), F.expr(
         "aggregate(segments, 0L, (a, s) -> a + size(s.words))").alias("n_words"))
 
 

@@ -350,12 +350,13 @@ def apply_glossary(t: Tables) -> DataFrame:
 
 @query("pretranslate", f"""with {_SENTS}, d as (select item_id, text as term, upper(left(text, 1)) || ':' || item_id replacement from benchmark)
  select doc_id, sent_idx, coalesce(any_value(d.replacement), s.text) as translated from
- (select doc_id, sent_idx, case when doc_id % 5 = 0 then (select any_value(text) from benchmark where item_id = doc_id % 40) else text end as text from sents) s
+ (select doc_id, sent_idx, case when doc_id % 5 = 0 then (select any_value(text) from benchmark where item_id = doc_id % (select count(*) from benchmark)) else text end as text from sents) s
  left join d on s.text = d.term group by doc_id, sent_idx, s.text""")
 def pretranslate(t: Tables) -> DataFrame:
     bench = t.benchmark
+    n = bench.count()
     some = bench.select((F.col("item_id") * 1).alias("_i"), F.col("text").alias("_b"))
-    sents = _sentences(t).withColumn("_i", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 40))
+    sents = _sentences(t).withColumn("_i", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % n))
     sents = sents.join(lookup.beside(some, 100_000), "_i", "left").select(
         "doc_id", "sent_idx", F.when(F.col("doc_id") % 5 == 0, F.col("_b")).otherwise(F.col("text")).alias("text"))
     terms = bench.select(F.col("text").alias("term"), F.expr("upper(left(text, 1)) || ':' || item_id").alias("replacement"))
@@ -363,11 +364,11 @@ def pretranslate(t: Tables) -> DataFrame:
 
 
 @query("read_glossary", """select source, 'exact_replace' kind, lower(k) term, v replacement from
- (select source, lang || '-' || doc_id k, left(text, 20) v from documents)
+ (select source, lang || '-' || doc_id k, text v from documents)
  union all select source, 'pre_translate', k, v from (select source, 'T' || doc_id k, lang v from documents)""")
 def read_glossary(t: Tables) -> DataFrame:
     """Glossary JSON texts, one per document source, built from the documents and parsed again."""
-    rows = t.documents.select("source", "doc_id", "lang", F.left("text", F.lit(20)).alias("v"))
+    rows = t.documents.select("source", "doc_id", "lang", F.col("text").alias("v"))
     # a source may hold any share of the documents, so its texts are cut into pages of ids
     texts = rows.groupBy("source", F.expr("doc_id div 1000").alias("page")).agg(F.to_json(F.struct(
         F.map_from_entries(F.collect_list(F.struct(F.concat("lang", F.lit("-"), "doc_id"), "v"))).alias("exact_replace"),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.scan import WIDTH, depth_for
-from ..session import materialize
+from ..session import file_stamp, materialize
 from . import fixtures as fx
 
 _OPEN: dict[tuple, "Tables"] = {}
@@ -50,16 +48,9 @@ class Tables:
         return self._depths[key]
 
 
-def _stamp(sf_dir: str) -> tuple:
-    """Sizes and times of the input files of a local folder, so that changed data is derived anew."""
-    if not os.path.isdir(sf_dir):
-        return ()
-    files = sorted(os.scandir(sf_dir), key=lambda f: f.name)
-    return tuple((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in files)
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir))
+    # names, sizes and times of the input files, so that changed data is derived anew
+    key = (spark.sparkContext.applicationId, sf_dir, file_stamp(spark, sf_dir))
     if key not in _OPEN:
         _OPEN[key] = Tables(spark, sf_dir)
     return _OPEN[key]

@@ -35,15 +35,3 @@ GLOSSARY_JSON = T.StructType([
     T.StructField("exact_replace", T.MapType(T.StringType(), T.StringType())),
     T.StructField("pre_translate", T.MapType(T.StringType(), T.StringType())),
 ])
-
-ALIGNED = T.StructType([
-    T.StructField("rec_id", T.LongType()),
-    T.StructField("chunk_id", T.IntegerType()),
-    T.StructField("sent_idx", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("start_ms", T.LongType()),
-    T.StructField("end_ms", T.LongType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("start_word_idx", T.LongType()),
-    T.StructField("end_word_idx", T.LongType()),
-])

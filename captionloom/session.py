@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "captionloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,10 +36,13 @@ def build_session(app: str = "captionloom", cpus: str = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a temporary folder is chosen.
+    Only where the session names none and runs in one process, as in tests, a temporary folder is chosen; on a
+    cluster each executor would write to its own disk, so there the folder must be named.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = _LOCAL_SCRATCH.setdefault("dir", "") or tempfile.mkdtemp(prefix="captionloom-")
         _LOCAL_SCRATCH["dir"] = conf
     return conf.rstrip("/")
@@ -52,10 +57,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later steps
     neither recompute it nor depend on executors that may be lost."""
     path = new_shared_path(df.sparkSession, label)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whichever store the path names."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def file_stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files below a folder, in whichever store it is; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return ()
+    files, out = store.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Removes what ``materialize`` has written in this process; frames read from it must no longer be in use."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of few partitions (a single small file); larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.captions import srt_stamp_to_ms
-from ..functions.text import MARK, strip, sub
+from ..functions.text import strip, sub
 from ..schema import CHUNK_MANIFEST, GLOSSARY_JSON, TRANSCRIPT
 
 _SCHEME = r"^[A-Za-z0-9]+:(//[^/]*)?"
@@ -36,38 +36,51 @@ def parse_srt_blocks(blocks: DataFrame, text: str = "value") -> DataFrame:
     }).drop("_l", "_at", text)
 
 
+# an empty line ends a cue only where the next one starts: an index line or none, and a time line
+_NEXT_CUE = r"\n[ \t]*\n\s*(?=(?:[^\n]*\n)?[^\n]*-->)"
+
+
+def srt_pieces(text: Column) -> Column:
+    """The cues of a caption text as texts; a paragraph without a time line belongs to the cue before it."""
+    tidy = sub(sub(text, r"\x{feff}|\r(?=\n)", ""), r"\r", "\n")
+    return F.filter(F.split(tidy, _NEXT_CUE, -1), lambda p: strip(p) != "")
+
+
 def _blocks(df: DataFrame) -> DataFrame:
-    # records end at an empty line; other line ends or blank lines with spaces are cut here
-    tidy = sub(sub(F.col("value"), r"\x{feff}|\r(?=\n)", ""), r"\r", "\n")
-    pieces = F.split(sub(tidy, r"\n[ \t]*\n+", MARK), MARK, -1)
-    return df.withColumn("value", F.explode(pieces)).filter(strip(F.col("value")) != "")
+    return df.withColumn("value", F.explode(srt_pieces(F.col("value"))))
+
+
+def _whole_files(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
 
 
 def read_srt(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Cues of SRT files: ``path, file, cue_idx, start_ms, end_ms, content, _corrupt``.
 
-    Empty lines end a record, so a large file is split over tasks like any text file. Unreadable files
-    are skipped.
+    A cue may hold empty lines, so a file is read as one text; the writers here cut long recordings into many.
+    Unreadable files are skipped; ``skipped_files`` lists them.
     """
-    reader = spark.read.option("lineSep", "\n\n").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    raw = _whole_files(spark, path, glob)
     return parse_srt_blocks(_blocks(raw)).select("path", "file", "cue_idx", "start_ms", "end_ms", "content", "_corrupt")
 
 
+def skipped_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Files with bytes that ``read_srt`` could not read: ``path, length``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        files = files.option("pathGlobFilter", glob)
+    listed = files.load(path).select("path", "length").filter("length > 0")
+    got = _whole_files(spark, path, glob).select("path").distinct()
+    plain = lambda c: sub(c, r"^file:/+", "/")  # noqa: E731  both readers name the file, with one slash or three
+    return listed.join(got.select(plain(F.col("path")).alias("_p")), plain(F.col("path")) == F.col("_p"), "left_anti")
+
+
 def parse_srt_text(df: DataFrame, text: str) -> DataFrame:
     """Cues of caption texts held in a column (model responses), numbered by ``pos`` from 0 in their order."""
-    tidy = sub(sub(F.col(text), r"\r(?=\n)", ""), r"\r", "\n")
-    pieces = F.filter(F.split(sub(tidy, r"\n[ \t]*\n+", MARK), MARK, -1), lambda p: strip(p) != "")
-    # a block without a time line continues the text of the cue before it
-    pieces = F.aggregate(
-        pieces, F.expr("cast(array() as array<string>)"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & ~p.rlike(r"\A\s*(\d+\s*\n)?[^\n]*-->"),
-            F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                           F.concat_ws("\n\n", F.element_at(acc, -1), p))).otherwise(F.array_append(acc, p)))
-    rows = df.select("*", F.posexplode(pieces).alias("pos", "value"))
+    rows = df.select("*", F.posexplode(srt_pieces(F.col(text))).alias("pos", "value"))
     return parse_srt_blocks(rows).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -115,34 +128,62 @@ def parse_glossary(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    return parse_glossary(spark.read.option("wholetext", "true").text(path))
+    return parse_glossary(spark.read.text(path, wholetext=True))
+
+
+# fixed values: (format tag, bits) of the WAV forms that are read
+WAV_FORMS = {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
-    """16-bit PCM WAV files to ``path, channel, rate, idx, value``; one file is one bounded task input
-    (WAV sizes are 32-bit), samples leave it in Arrow batches."""
+    """WAV files to ``path, channel, rate, idx, value``; one file is one bounded task input (WAV sizes are 32-bit),
+    samples leave it in Arrow batches.
+
+    PCM of 8, 16, 24 and 32 bits comes in 16-bit units (a full-scale sample is 32768), as do floats of 32 and 64
+    bits (1.0 is 32768). A file in another form, or none at all, gives one row with a null ``idx``.
+    """
     import numpy as np
     import pandas as pd
 
     def decode(batches):
+        def samples(raw):
+            kind, bits = form
+            if kind == 3:
+                return np.frombuffer(raw, f"<f{bits // 8}").astype("float64") * 32768.0
+            if bits == 8:
+                return (np.frombuffer(raw, "u1").astype("float64") - 128.0) * 256.0
+            if bits == 24:
+                three = np.frombuffer(raw, "u1").reshape(-1, 3)
+                high = np.zeros((len(three), 4), "u1")
+                high[:, 1:] = three
+                return high.view("<i4").ravel() / 65536.0
+            return np.frombuffer(raw, f"<i{bits // 8}").astype("float64") / 2.0 ** (bits - 16)
+
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"]):
-                at, rate, channels, bits = 12, 0, 1, 16
-                while at + 8 <= len(data):
+                at, rate, channels, form, known = 12, 0, 1, None, False
+                while data[:4] == b"RIFF" and at + 8 <= len(data):
                     tag, size = data[at:at + 4], int.from_bytes(data[at + 4:at + 8], "little")
                     if tag == b"fmt ":
-                        channels = int.from_bytes(data[at + 10:at + 12], "little")
+                        kind, channels = (int.from_bytes(data[at + k:at + k + 2], "little") for k in (8, 10))
                         rate = int.from_bytes(data[at + 12:at + 16], "little")
-                        bits = int.from_bytes(data[at + 22:at + 24], "little")
-                    elif tag == b"data" and bits == 16:
-                        pcm = np.frombuffer(data, dtype="<i2", count=min(size, len(data) - at - 8) // 2, offset=at + 8)
-                        for first in range(0, len(pcm), 500_000 * channels):
-                            part = pcm[first:first + 500_000 * channels]
-                            k = np.arange(first, first + len(part))
+                        if kind == 0xFFFE:  # extensible: the form stands in the extension
+                            kind = int.from_bytes(data[at + 32:at + 34], "little")
+                        form = (kind, int.from_bytes(data[at + 22:at + 24], "little"))
+                    elif tag == b"data" and form in WAV_FORMS and channels:
+                        known, width = True, form[1] // 8
+                        n = min(size, len(data) - at - 8) // width
+                        for first in range(0, n, 500_000 * channels):
+                            count = min(500_000 * channels, n - first)
+                            k = np.arange(first, first + count)
+                            raw = data[at + 8 + first * width:at + 8 + (first + count) * width]
                             yield pd.DataFrame({
                                 "path": name, "channel": (k % channels).astype("int32"), "rate": rate,
-                                "idx": k // channels, "value": part.astype("float64")})
+                                "idx": k // channels, "value": samples(raw)})
                     at += 8 + size + (size & 1)
+                if not known:
+                    yield pd.DataFrame({"path": [name], "channel": pd.array([None], "Int32"), "rate": [rate],
+                                        "idx": pd.array([None], "Int64"), "value": [np.nan]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(decode, "path string, channel int, rate int, idx bigint, value double")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import cached_lookup
+from ..session import path_exists
 from ..sources.read import CHUNK_FILE, _blocks, parse_srt_blocks
 
 
 def stream_chunks(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Cues of chunk files as they appear. The checkpoint of the query is the list of processed chunks."""
-    raw = (spark.readStream.format("text").option("lineSep", "\n\n").option("maxFilesPerTrigger", max_files)
+    raw = (spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files)
            .option("recursiveFileLookup", "true").option("pathGlobFilter", "chunk_*").load(path)
            .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file")))
     cues = parse_srt_blocks(_blocks(raw))
@@ -31,18 +32,22 @@ def stream_cached(
 ) -> None:
     """Per micro-batch: take fresh cache rows by key, compute the others and add them to the cache.
 
-    Batches are named by their id, so a repeated batch after a failure replaces its own output.
+    Batches are named by their id, so a repeated batch after a failure replaces its own output; what an earlier
+    attempt of the same batch has cached is not read. The cache lies in a folder a day, and only the days that
+    can still hold fresh rows are read.
     """
     spark = items.sparkSession
+    columns = "key string, value string, modified timestamp, day date, batch bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        try:
-            cache = spark.read.parquet(f"{cache_path}/*")
-        except Exception:  # noqa: BLE001 - the cache does not exist before the first batch
-            cache = spark.createDataFrame([], "key string, value string, modified timestamp")
-        latest = cache.groupBy("key").agg(F.max_by("value", "modified").alias("value"), F.max("modified").alias("modified"))
-        hits, misses = cached_lookup(batch, latest, F.current_timestamp(), days=days)
-        fresh = f"{cache_path}/batch={batch_id}"
+        if path_exists(spark, cache_path):
+            cache = spark.read.schema(columns).parquet(cache_path)
+        else:
+            cache = spark.createDataFrame([], columns)
+        young = (F.col("day") >= F.date_sub(F.current_date(), days + 1)) & (F.col("batch") != batch_id)
+        hits, misses = cached_lookup(batch, cache.filter(young), F.current_timestamp(), days=days)
+        today = spark.sql("select current_date()").first()[0]
+        fresh = f"{cache_path}/day={today}/batch={batch_id}"
         compute(misses.dropDuplicates(["key"])).select("key", "value", F.current_timestamp().alias("modified")).write.mode(
             "overwrite").parquet(fresh)
         new = misses.join(spark.read.parquet(fresh).select("key", "value"), "key")

@@ -248,6 +248,16 @@ def test_contractions_meet(spark):
     assert (r.start_word_idx, r.end_word_idx, r.start_ms, r.end_ms) == (1, 2, 2, 5)
 
 
+def test_contractions_meet_either_way(spark):
+    said = ["five", "o", "clock", "now", "it's", "what", "s", "that"]
+    w = spark.createDataFrame([(1, 0, i, x, 10 * i, 10 * i + 5) for i, x in enumerate(said)],
+                              "rec_id bigint, chunk_id int, word_idx bigint, word string, start_ms bigint, end_ms bigint")
+    texts = ["five o'clock now", "It s what's that", "clock now", "five now"]
+    s = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(texts)], "rec_id bigint, chunk_id int, sent_idx bigint, text string")
+    got = rows(align.align_contraction(s, w).select("start_word_idx", "end_word_idx", "sent_idx"), "sent_idx")
+    assert [g[:2] for g in got] == [(0, 3), (4, 7), (2, 3), (-1, -1)]
+
+
 def test_monotonic_spans_do_not_overlap(t):
     got = align.align_monotonic(t.sentences_edited, t.words).filter("start_word_idx >= 0")
     last = {}

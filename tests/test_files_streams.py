@@ -98,6 +98,57 @@ def test_manifest_glossary_transcripts(spark, tmp_path):
     assert rows(segment.explode_words(nested), "word_idx") == [(1, 2, 0, 0, "a", 500, 750), (1, 2, 0, 1, "b", 1000, 1000)]
 
 
+def test_cues_keep_their_empty_lines(spark, tmp_path):
+    text = "1\n00:00:01,000 --> 00:00:02,500\nHello\n\nsecond\n\n\nthird\n\n2\n00:00:02,000 --> 00:00:03,000\nTwo\n\n00:00:04,000 --> 00:00:05,000\nno number\n"
+    put(f"{tmp_path}/p/chunk_1.srt", text)
+    put(f"{tmp_path}/p/chunk_2.srt", "")
+    cues = read.read_srt(spark, str(tmp_path))
+    want = [(1000, "Hello\n\nsecond\n\n\nthird"), (2000, "Two"), (4000, "no number")]
+    assert rows(cues.select("start_ms", "content"), "start_ms") == want and cues.filter("_corrupt is not null").count() == 0
+    parsed = read.parse_srt_text(spark.createDataFrame([(text,)], "t string"), "t")
+    assert rows(parsed.select("pos", "start_ms", "content"), "pos") == [(i, *w) for i, w in enumerate(want)]
+    assert read.skipped_files(spark, str(tmp_path)).count() == 0
+
+
+def test_unreadable_files_are_listed(spark, tmp_path):
+    import gzip
+
+    put(f"{tmp_path}/p/chunk_1.srt", SRT)
+    whole = gzip.compress(SRT.encode() * 50)
+    with open(f"{tmp_path}/p/chunk_2.srt.gz", "wb") as f:
+        f.write(whole[: len(whole) // 2])
+    assert read.read_srt(spark, str(tmp_path)).count() == 2
+    assert [r.path.rsplit("/", 1)[1] for r in read.skipped_files(spark, str(tmp_path)).collect()] == ["chunk_2.srt.gz"]
+
+
+def test_wav_forms(spark, tmp_path):
+    import numpy as np
+
+    def wav(name, kind, bits, data, extra=b""):
+        fmt = struct.pack("<HHIIHH", kind, 1, 8000, 8000 * bits // 8, bits // 8, bits) + extra
+        body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+        with open(f"{tmp_path}/{name}.wav", "wb") as f:
+            f.write(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+    x = np.array([0, 1, -1, 100, -20000, 32767, -32768])
+    wav("a8", 1, 8, ((x // 256) + 128).astype("u1").tobytes())
+    wav("b16", 1, 16, x.astype("<i2").tobytes())
+    wav("c24", 1, 24, b"".join(int(v * 256).to_bytes(3, "little", signed=True) for v in x))
+    wav("d32", 1, 32, (x * 65536).astype("<i4").tobytes())
+    wav("e32f", 3, 32, (x / 32768).astype("<f4").tobytes())
+    wav("f64f", 3, 64, (x / 32768).astype("<f8").tobytes())
+    wav("g24x", 0xFFFE, 24, b"".join(int(v * 256).to_bytes(3, "little", signed=True) for v in x), struct.pack("<HHI", 22, 24, 0) + b"\x01\x00" + b"\0" * 14)
+    wav("h4", 17, 4, b"\0" * 8)
+    put(f"{tmp_path}/i.wav", "no sound")
+    got = read.read_signal(spark, str(tmp_path))
+    per = {}
+    for r in got.orderBy("path", "idx").collect():
+        per.setdefault(r.path.rsplit("/", 1)[1][:-4], []).append(None if r.idx is None else r.value)
+    assert per.pop("a8") == [256.0 * v for v in x // 256]
+    assert per.pop("h4") == [None] and per.pop("i") == [None]
+    assert sorted(per) == ["b16", "c24", "d32", "e32f", "f64f", "g24x"] and all(v == [float(k) for k in x] for v in per.values())
+
+
 def test_wav(spark, tmp_path):
     wavs = [[round(9000 * math.sin(i / 5)) for i in range(50)], [-i for i in range(50)]]
     with wave.open(f"{tmp_path}/s.wav", "wb") as f:
@@ -150,6 +201,46 @@ def test_cached_stream(spark, tmp_path):
     assert asked.value == 3
 
 
+def test_a_repeated_batch_replaces_its_own_output(spark, tmp_path):
+    src, cache, out, check = (f"{tmp_path}/{n}" for n in ("src", "cache", "out", "check"))
+    spark.createDataFrame([("a",), ("b",)], "key string").coalesce(1).write.parquet(src)
+    stream = lambda: spark.readStream.schema("key string").parquet(src)
+    upper = lambda d: d.withColumn("value", F.upper("key"))
+    incremental.stream_cached(stream(), cache, upper, out, check)
+    want = rows(spark.read.parquet(f"{out}/batch=0"), "key")
+    os.remove(f"{check}/commits/0")  # the commit was lost: the batch runs again
+    os.remove(f"{check}/commits/.0.crc")
+    incremental.stream_cached(stream(), cache, upper, out, check)
+    assert rows(spark.read.parquet(f"{out}/batch=0"), "key") == want
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_old_cache_rows_are_not_used(spark, tmp_path):
+    src, cache, out, check = (f"{tmp_path}/{n}" for n in ("src", "cache", "out", "check"))
+    spark.createDataFrame([("old",), ("young",), ("none",)], "key string").coalesce(1).write.parquet(src)
+    kept = spark.sql("select 'old' key, 'x' value, current_timestamp() - interval 30 day modified, current_date() - 30 day, 7L batch union all "
+                     "select 'young', 'y', current_timestamp() - interval 1 day, current_date() - 1, 7L")
+    kept.write.partitionBy("day", "batch").parquet(cache)
+    incremental.stream_cached(spark.readStream.schema("key string").parquet(src), cache, lambda d: d.withColumn("value", F.upper("key")), out, check)
+    got = rows(spark.read.parquet(f"{out}/batch=0").select("key", "value", "hit"), "key")
+    assert got == [("none", "NONE", False), ("old", "OLD", False), ("young", "y", True)]
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from captionloom import session
+
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
+    cluster.conf.get = lambda k, d: "hdfs://x/y/"
+    assert session.shared_dir(cluster) == "hdfs://x/y"
+
+
 def test_streamed_pauses_equal_the_batch(spark, tmp_path, t):
     ts = F.expr("timestamp_millis(start_ms)")
     words = t.words.withColumn("ts", ts)

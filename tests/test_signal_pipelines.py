@@ -140,7 +140,7 @@ def test_translate_batches(spark):
                                  "rec_id bigint, chunk_id int, cue_idx bigint, start_ms bigint, end_ms bigint, content string")
 
     def client(prompt):
-        body = prompt.split("INPUT SRT:\n", 1)[1].split("\n\nExpected", 1)[0]
+        body = prompt.removeprefix(pipelines.REQUEST[0]).removesuffix(pipelines.REQUEST[1])
         if "line4" in body:
             return None
         if "line6" in body:

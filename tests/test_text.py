@@ -7,7 +7,6 @@ from captionloom.functions import captions as cp
 from captionloom.functions import text as tx
 from captionloom.functions.models import BOUNDS, checked, model_column
 from captionloom.operators import lookup
-from captionloom.operators.align import merge_contractions
 
 
 def one(spark, fn, *values):
@@ -80,9 +79,34 @@ def test_pretranslate_asks_once_per_text(spark):
     assert sorted(map(tuple, out.collect())) == [("...", "..."), ("hi", "<hi>"), ("hi", "<hi>"), ("yo", "YO!")]
 
 
-def test_contractions(spark):
-    df = spark.createDataFrame([(["what", "s", "up", "s"],)], "t array<string>")
-    assert df.select(merge_contractions(F.col("t"))).first()[0] == ["what s", "up s"]
+def test_glossary_has_one_way_for_any_number_of_rules(spark):
+    df = spark.createDataFrame([("in İstanbul now, 5 µm wide, the Straße",), ("kelvin Kelvin ſo",)], "text string")
+    rules = [(k, f"term{k}", f"<{k}>") for k in range(450)]
+    odd = [(1000, "istanbul", "X"), (1001, "μm", "Y"), (1002, "kelvin", "K"), (1003, "so", "S")]
+    one = lookup.apply_glossary(df, spark.createDataFrame(odd, "ord int, term string, replacement string")).collect()
+    for n in (20, 21, 200, 450):
+        many = spark.createDataFrame(rules[:n] + odd + odd, "ord int, term string, replacement string")
+        assert lookup.apply_glossary(df, many).collect() == one
+        assert sorted(lookup.apply_glossary(df, many, slice_size=7).collect()) == sorted(one)
+    hit = spark.createDataFrame([(" ".join(f"Term{k}" for k in range(450)),)], "text string")
+    got = lookup.apply_glossary(hit, spark.createDataFrame(rules, "ord int, term string, replacement string")).first()[0]
+    assert got == " ".join(f"<{k}>" for k in range(450))
+
+
+def test_glossary_slices_lose_no_rule(spark):
+    df = spark.createDataFrame([("a b",)], "text string")
+    rules = spark.createDataFrame([(0, "a", "b"), (0, "a", "c"), (0, "b", "d")], "ord int, term string, replacement string")
+    assert {lookup.apply_glossary(df, rules, slice_size=n).first()[0] for n in (1, 2, 3, 10)} == {"d d"}
+
+
+def test_repeated_dictionary_terms_and_cache_keys(spark):
+    df = spark.createDataFrame([("hi",), ("yo",)], "text string")
+    known = spark.createDataFrame([(0, "hi", "1"), (2, "hi", "3"), (1, "hi", "2")], "ord int, term string, replacement string")
+    assert sorted(map(tuple, lookup.pretranslate(df, known).collect())) == [("hi", "3"), ("yo", "yo")]
+    cache = df.selectExpr("text as key", "explode(array('new', 'old')) as value").withColumn(
+        "modified", F.expr("timestamp '2024-01-10 00:00:00' - if(value = 'old', interval 1 day, interval 0 day)"))
+    hits, misses = lookup.cached_lookup(df.withColumnRenamed("text", "key"), cache, F.lit("2024-01-11 00:00:00").cast("timestamp"))
+    assert sorted(map(tuple, hits.collect())) == [("hi", "new"), ("yo", "new")] and misses.count() == 0
 
 
 def test_bounds():
