@@ -113,9 +113,11 @@ def _unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     while rest:
         unzip = zlib.decompressobj(31)
         piece = unzip.decompress(rest, step)
-        while piece or unzip.unconsumed_tail:
+        while piece:
             yield piece
-            piece = unzip.decompress(unzip.unconsumed_tail, step)
+            piece = b"" if unzip.eof else unzip.decompress(unzip.unconsumed_tail, step)
+        if not unzip.eof:
+            raise ValueError("a gzip member is cut off")
         rest = unzip.unused_data
 
 
