@@ -82,10 +82,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns. Ids must be unique."""
-    taken = mix(docs, id_col, text_col, source_col, **params).where("copies > 0").select(
-        F.col(id_col).alias("__id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies")
-    )
+    """The mix itself: every document as often as it is taken, with all its columns. Rows that share an id, which
+    the mix takes for documents of their own, are all emitted as often as the one of them taken most."""
+    most = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("copies"))
+    taken = most.where("copies > 0").select("__id", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies"))
     return (
         docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).withColumn("__copy", F.explode("__copies")).select(*[F.col(f"`{c}`") for c in docs.columns])
     )

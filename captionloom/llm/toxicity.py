@@ -161,6 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     return fit_chain([t or "" for t in got["text"]], got[names].to_numpy(float), names, part, l2)
 
 
+def probabilities(texts: list[str], chain: Chain) -> np.ndarray:
+    """Of each text and category, in chain order."""
+    feats, probs = features(texts), np.zeros((len(texts), 0))
+    for link in chain.links:
+        z = raw_scores(link.weights, len(texts), *feats) + probs @ link.earlier + link.bias
+        probs = np.column_stack([probs, sigmoid(z)])
+    return probs
+
+
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``(id_col, p_<category>..., <last category> boolean)`` from the whole text.
 
@@ -172,11 +181,7 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts = texts_of(part)
-            feats, probs = features(texts), np.zeros((len(texts), 0))
-            for link in chain.links:
-                z = raw_scores(link.weights, len(texts), *feats) + probs @ link.earlier + link.bias
-                probs = np.column_stack([probs, sigmoid(z)])
+            probs = probabilities(texts_of(part), chain)
             cols = [column(part, "id"), *[pa.array(probs[:, k]) for k in range(len(names))], pa.array(probs[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays(cols, ["id", *[f"p_{n}" for n in names], names[-1]])
 
@@ -190,7 +195,11 @@ def default_categories() -> dict[str, Column]:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents the chain does not reject, with all their columns."""
-    bad = predict(docs, chain, id_col, text_col).where(chain.links[-1].name).select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The documents the chain does not reject, with all their columns; rows pass through, so nothing is shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array(probabilities(texts_of(part, text_col), chain)[:, -1] < chain.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
