@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import column, slices, texts_of
 
 #: Limits of a task's memory of pieces seen: bytes of a piece, and entries before it starts anew.
-PIECE_BYTES, PIECES = 64, 150_000
+PIECE_BYTES, PIECES = 64, 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
