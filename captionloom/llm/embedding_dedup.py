@@ -14,7 +14,7 @@ from ..session import materialize
 from .common import column
 from .graph import components
 
-LEAF, SAMPLE, DEPTH = 1024, 20_000, 12
+LEAF, SAMPLE, DEPTH = 4096, 20_000, 12
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
