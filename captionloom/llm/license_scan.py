@@ -79,7 +79,9 @@ RULES = [
     *[(name, [f"says.{name}"]) for name in NAMES],
 ]
 #: Every known sentence and statement holds one of these.
-TRIGGER = "(?i)licen[sc]e|software|copyright|spdx-"
+TRIGGER = "(?i)licen[sc]e|software|copyright|spdx-|redistribut"
+#: A line with a copyright and a year is a sentence of its own.
+NOTICE = "(?im)^(.*copyright.*[0-9]{4}.*)$"
 STATEMENT = (
     "^(this (work|software|project|program|file|document|code|text|library) is )?(dual |also )?(released|licensed|distributed|available|published|"
     "made available|provided) under (the terms of )?(the )?|^spdx license identifier "
@@ -107,7 +109,7 @@ def identifiers(text: Column, ends: str) -> Column:
         plain, statement = _key(s)
         return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, statement))
 
-    return F.filter(F.transform(F.split(F.regexp_replace(text, TAG, "$1 "), ends), look), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(text, TAG, "$1 "), NOTICE, "$1."), ends), look), lambda x: x.isNotNull())
 
 
 def matched(ids: Column) -> Column:
@@ -160,7 +162,7 @@ def _sql() -> str:
     )
     return f"""
 WITH known(k, v) AS (VALUES {pairs}),
-t AS (SELECT doc_id, regexp_replace(text, '{TAG}', '\\1 ', 'g') AS text FROM documents WHERE regexp_matches(text, '{TRIGGER}')),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{TAG}', '\\1 ', 'g'), '{NOTICE}', '\\1.', 'g') AS text FROM documents WHERE regexp_matches(text, '{TRIGGER}')),
 u AS ({units}),
 n AS (SELECT doc_id, kind, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS plain FROM u),
 k AS (

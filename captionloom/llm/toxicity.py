@@ -38,9 +38,27 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Distinct words by text ``(doc, word)``, and hashed features by word ``(owner, code)``: the word itself and
     its byte 5-grams with the edges, so that inflected and compound forms share weight."""
     words, doc, word, _ = distinct_words(texts)
+    return doc, word, *word_features(words)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, code)`` of the words' features."""
     owner, code = gram_codes(*padded_bytes(words), GRAM, DIMS)
     own = np.fromiter((zlib.crc32(w.encode()) % DIMS for w in words), np.int64, len(words))
-    return doc, word, np.concatenate([owner, np.arange(len(words))]).astype(np.int32), np.concatenate([code, own]).astype(np.int32)
+    return np.concatenate([owner, np.arange(len(words))]).astype(np.int32), np.concatenate([code, own]).astype(np.int32)
+
+
+def features_of_all(texts: list[str], step: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``features``, a few texts at a time; a word that comes again keeps its first number."""
+    number: dict[str, int] = {}
+    docs, words = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for lo in range(0, len(texts), step):
+        found, doc, word, _ = distinct_words(texts[lo : lo + step])
+        here = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
+        docs.append((doc + lo).astype(np.int32))
+        words.append(here[word])
+    owner, code = word_features(list(number))
+    return np.concatenate(docs), np.concatenate(words), owner, code
 
 
 def raw_scores(weights: np.ndarray, n: int, doc, word, owner, code) -> np.ndarray:
@@ -113,7 +131,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str], folds: np.
     seen the row, so they err in training as they will on new texts. The threshold of the last category is the
     one of best F1 on its out-of-fold probabilities.
     """
-    feats = features(texts)
+    feats = features_of_all(texts)
     n = len(texts)
     held = np.zeros((n, 0))
     links, threshold = [], 0.5
@@ -142,7 +160,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str], folds: np.
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-          max_rows: int = 8000, max_bytes: int = 24 << 20, folds: int = 3, l2: float = 1.0) -> Chain:
+          max_rows: int = 10_000, max_bytes: int = 32 << 20, folds: int = 3, l2: float = 0.1) -> Chain:
     """Fits the chain on a bounded sample: the ``max_rows`` labelled ids of least hash that ``docs`` has,
     as long as their texts hold ``max_bytes`` in all. ``categories`` are 0/1 expressions over ``labels``, in
     chain order. An id labelled more than once counts once (its largest labels); null labels are unknown.
@@ -199,7 +217,9 @@ def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFra
     """The documents the chain does not reject, with all their columns; rows pass through, so nothing is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            yield part.filter(pa.array(probabilities(texts_of(part, text_col), chain)[:, -1] < chain.threshold))
+        for part in slices(batches, text):
+            yield part.filter(pa.array(probabilities(texts_of(part, text), chain)[:, -1] < chain.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind
+    text = f"c{docs.columns.index(text_col)}"
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
