@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,34 +52,36 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
-    while tree[1] != none:
-        i = tree[1] % width
+    while (best := tree[1]) != none:
+        i = best % width
         j = end[i]
         end[i] = e = end[j]
-        if tree[width + j] != none:
-            put(j, none)
+        value = none
         if e < n:
             before[e] = i
             r = get(piece[i : end[e]])
-            put(i, none if r is None else r * width + i)
-        else:
-            put(i, none)
+            if r is not None:
+                value = r * width + i
+        changes = [(i, value)]
+        if tree[width + j] != none:
+            changes.append((j, none))
         p = before[i]
         if p >= 0:
             r = get(piece[p:e])
-            put(p, none if r is None else r * width + p)
+            value = none if r is None else r * width + p
+            if tree[width + p] != value:
+                changes.append((p, value))
+        for leaf, value in changes:
+            k = width + leaf
+            tree[k] = value
+            k >>= 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                least = a if a < b else b
+                if tree[k] == least:
+                    break
+                tree[k] = least
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -86,6 +89,22 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pieces(dict):
+    """Ids of the pieces seen lately; a new one is merged when asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merge_piece(piece.encode(), self.ranks)
+        if len(piece) <= PIECE_BYTES:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)`` of whole texts, each match of ``pattern`` on its own, without special tokens.
 
@@ -94,23 +113,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        seen: dict[str, list[int]] = {}
-
-        def fresh(p: str) -> list[int]:
-            ids = merge_piece(p.encode(), ranks)
-            if len(p) <= PIECE_BYTES:
-                if len(seen) >= PIECES:
-                    seen.clear()
-                seen[p] = ids
-            return ids
-
+        find, ids_of = regex.compile(pattern).findall, Pieces(ranks).__getitem__
         for part in slices(batches, "text"):
             flat: list[int] = []
             ends = [0]
             for t in texts_of(part):
-                for p in find(t):
-                    flat += seen.get(p) or fresh(p)
+                flat.extend(chain.from_iterable(map(ids_of, find(t))))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([column(part, "id"), ids], ["id", "ids"])
