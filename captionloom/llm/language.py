@@ -141,7 +141,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for part in slices(batches, "text"):
             langs, shares = [[]] * part.num_rows, [[]] * part.num_rows
             words, doc, word, count = distinct_words(texts_of(part))
-            if words and len(names):
+            alpha = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+            doc, word, count = doc[alpha[word]], word[alpha[word]], count[alpha[word]]
+            if len(doc) and len(names):
                 owner, code = word_grams(words)
                 ll = np.column_stack([np.bincount(owner, model.log_p[code, k], len(words)) for k in range(len(names))])
                 q = np.maximum(np.exp(ll - ll.max(axis=1, keepdims=True)), FLOOR)

@@ -125,6 +125,8 @@ def test_language_odd_rows(odd, nothing):
     got = {r["doc_id"]: r for r in language.identify(odd, language.fit(odd)).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 10)] == ["und"] * 4 and got[1]["score"] == 0
     assert got[4]["lang_pred"] in ("en", "de", "es") and len(got) == 12
+    digits = odd.sparkSession.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "½ ² ok 12")], "doc_id bigint, text string")
+    assert [r["lang_pred"] == "und" for r in language.identify(digits, language.fit(odd)).orderBy("doc_id").collect()] == [True, False]
     empty = language.fit(nothing)
     assert empty.languages == [] and {r["lang_pred"] for r in language.identify(odd, empty).collect()} == {"und"}
     assert language.identify(nothing, empty).count() == 0
