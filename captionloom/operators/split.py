@@ -365,9 +365,12 @@ def split_by_pauses(ws: Column, max_gap_ms: int = 1000, min_len: int = 10, compa
 
 # ------------------------------------------------------------------ cascades
 
-def _cascade(text: Column, profile: str, max_chars: int) -> Column:
+def _cascade(text: Column, profile: str, max_chars: int, bounds: Column | None = None) -> Column:
     if profile == "a":
         tries = [split_terminal(text), split_commas(text), split_balanced(text, BALANCED, max_chars)]
+        if bounds is not None:
+            # only where punctuation gives no cut
+            tries.insert(2, F.when(F.size(bounds) > 0, split_at_bounds(F.split(text, " "), bounds, max_chars)))
     elif profile == "b":
         tries = [split_grammar(text, max_chars)]
     elif profile == "c":
@@ -391,28 +394,42 @@ def enforce_length(
     profile: str = "a",
     compat: bool = False,
     before: Column | None = None,
+    bounds: Column | None = None,
 ) -> DataFrame:
     """Split every text longer than ``max_chars`` by the rules of a profile; adds ``part_idx`` and ``part``.
 
     ``a``: sentence ends, commas, balanced cut, words; applied twice. ``b``: grammar, words.
     ``c``: greedy cuts after grammar points, words. ``d``: conjunctions, punctuation, semantic, words.
     ``plain``: sentence ends, commas, words; applied twice. ``before`` may give a first try as
-    ``array<string>`` (cuts at pauses or recognizer boundaries). Parts that are still too long are
-    finally packed by words, unless ``compat``.
+    ``array<string>`` (cuts at pauses). ``bounds`` gives recognizer boundaries inside the text as token offsets;
+    profile ``a`` cuts there after commas and before the balanced cut, in parts of the text as well. Parts that
+    are still too long are finally packed by words, unless ``compat``.
     """
     source = strip(F.col(text))
     fits = F.length("_t") <= max_chars
     rows = df.withColumn("_t", source).filter("_t <> ''")
-    first = _cascade(F.col("_t"), profile, max_chars)
+    if bounds is not None:
+        rows = rows.withColumn("_b", F.coalesce(bounds, F.expr(_NO_CUTS)))
+    first = _cascade(F.col("_t"), profile, max_chars, None if bounds is None else F.col("_b"))
     if before is not None:
         first = F.coalesce(F.when((F.size(before) > 1) & F.forall(before, lambda x: F.length(x) <= max_chars), before), first)
     rows = rows.withColumn("_p1", F.when(fits, _one(F.col("_t"))).otherwise(first))
-    rows = rows.select("*", F.posexplode("_p1").alias("_i1", "_q1")).drop("_p1", "_t")
-    again = _cascade(F.col("_q1"), profile, max_chars) if profile in ("a", "plain") else _one(F.col("_q1"))
+    if bounds is None:
+        rows = rows.select("*", F.posexplode("_p1").alias("_i1", "_q1")).drop("_p1", "_t")
+    else:
+        # a part's tokens follow those of the parts before it, as long as the parts have the text's tokens
+        count = lambda x: F.size(F.split(x, " "))
+        whole = F.aggregate("_p1", F.lit(0), lambda n, p: n + count(p)) == count(F.col("_t"))
+        rows = rows.withColumn("_n1", F.transform("_p1", count)).withColumn("_b", F.when(whole, F.col("_b")).otherwise(F.expr(_NO_CUTS)))
+        rows = rows.select("*", F.posexplode("_p1").alias("_i1", "_q1"))
+        skip = F.aggregate(F.slice("_n1", F.lit(1), F.col("_i1")), F.lit(0), lambda n, k: n + k)
+        rows = rows.withColumn("_skip", skip).withColumn("_b", F.filter(
+            F.transform("_b", lambda b: b - F.col("_skip")), lambda b: (b > 0) & (b < count(F.col("_q1"))))).drop("_p1", "_t", "_n1", "_skip")
+    again = _cascade(F.col("_q1"), profile, max_chars, None if bounds is None else F.col("_b")) if profile in ("a", "plain") else _one(F.col("_q1"))
     rows = rows.withColumn("_p2", F.when(F.length("_q1") <= max_chars, _one(F.col("_q1"))).otherwise(again))
     if not compat:
         rows = rows.withColumn("_p2", F.flatten(F.transform("_p2", lambda p: F.when(
             F.length(p) <= max_chars, _one(p)).otherwise(pack_words(p, max_chars)))))
     rows = rows.select("*", F.posexplode("_p2").alias("_i2", "part")).drop("_p2", "_q1")
     # order of a part inside its text; first-level parts of a text number at most its length
-    return rows.withColumn("part_idx", F.col("_i1") * F.lit(1 << 32) + F.col("_i2")).drop("_i1", "_i2")
+    return rows.withColumn("part_idx", F.col("_i1") * F.lit(1 << 32) + F.col("_i2")).drop("_i1", "_i2", "_b")

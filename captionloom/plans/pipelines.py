@@ -39,9 +39,26 @@ def sentences(
         "sent_idx", F.col("sent_idx").cast("bigint"))
 
 
-def bounded_sentences(sents: DataFrame, max_chars: int, profile: str, compat: bool = False, before: Column | None = None) -> DataFrame:
+def with_bounds(sents: DataFrame, words: DataFrame, segments: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
+    """Adds ``bounds``: where recognizer segments begin inside a sentence, as token offsets. The sentences must be cuts
+    of the chunk's words in order, so their token counts tell which words they hold."""
+    keys = list(keys)
+    first = words.groupBy(*keys).agg(F.min("word_idx").alias("_lo"))
+    begins = segments.join(first, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_set((F.col("start_word_idx") - F.col("_lo")).cast("int"))).alias("_begin"))
+    n = F.size(tokens(F.col("text")))
+    upto = Window.partitionBy(*keys).orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sents.withColumn("_n", n).withColumn("_at", F.sum("_n").over(upto).cast("int") - F.col("_n")).join(begins, keys, "left")
+    inside = F.filter(F.transform("_begin", lambda b: b - F.col("_at")), lambda b: (b > 0) & (b < F.col("_n")))
+    return rows.withColumn("bounds", inside).drop("_n", "_at", "_begin")
+
+
+def bounded_sentences(
+    sents: DataFrame, max_chars: int, profile: str, compat: bool = False, before: Column | None = None, bounds: Column | None = None,
+) -> DataFrame:
     """Length-bounded parts as sentences again; ``sent_idx`` keeps their order."""
-    parts = split.enforce_length(sents, "text", max_chars, profile, compat, before)
+    max_chars = int(checked(max_chars, *BOUNDS["max_chars"], "max_chars"))
+    parts = split.enforce_length(sents, "text", max_chars, profile, compat, before, bounds)
     order = F.struct("sent_idx", "part_idx")
     keys = [c for c in sents.columns if c not in ("sent_idx", "text")]
     # parts of a chunk are as bounded as the chunk itself
@@ -64,8 +81,13 @@ def captions(
     words: DataFrame, segments: DataFrame, strategy: str = "rule", max_chars: int = 80, compat: bool = False,
     model: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Sentences, bounded by the first profile, aligned monotonically; unmatched ones placed after the last."""
-    sents = bounded_sentences(sentences(words, segments, strategy, model=model), max_chars, "a", compat)
+    """Sentences, bounded by the first profile (with the segments' borders where punctuation gives no cut), aligned
+    monotonically; unmatched ones placed after the last."""
+    sents = sentences(words, segments, strategy, model=model)
+    if strategy == "rule" and model is None:
+        sents = bounded_sentences(with_bounds(sents, words, segments), max_chars, "a", compat, bounds=F.col("bounds")).drop("bounds")
+    else:
+        sents = bounded_sentences(sents, max_chars, "a", compat)
     return _fallback(align.align_monotonic(sents, words), words, "a")
 
 

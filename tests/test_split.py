@@ -199,3 +199,37 @@ def test_pauses_inside_a_sentence(spark):
     df = spark.createDataFrame([([dict(word=w, start_ms=s, end_ms=e) for w, s, e in ws],)], "ws array<struct<word:string,start_ms:bigint,end_ms:bigint>>")
     assert df.select(split.split_by_pauses(F.col("ws"))).first()[0] == ["hello my friends", "goodbye everybody"]
     assert df.select(split.split_by_pauses(F.col("ws"), compat=True)).first()[0] == ["my friends", "goodbye everybody"]
+
+
+def test_recognizer_bounds_come_after_commas(spark):
+    words = [f"word{k:02d}x" for k in range(24)]  # 8 characters with the blank
+    whole = " ".join(words)
+    comma = " ".join(words[:9]) + ", " + " ".join(words[9:])
+    odd = " ".join(words[:3]) + " because " + " ".join(words[3:14])
+    rows_ = [(0, whole, [8, 16]), (1, whole, []), (2, whole, None), (3, comma, [12, 16]), (4, odd, [6]), (5, whole, [23])]
+    df = spark.createDataFrame(rows_, "i int, text string, b array<int>")
+    got = {}
+    for r in split.enforce_length(df, "text", 80, "a", bounds=F.col("b")).orderBy("i", "part_idx").collect():
+        got.setdefault(r.i, []).append(r.part.split())
+    plain = {}
+    for r in split.enforce_length(df.drop("b"), "text", 80, "a").orderBy("i", "part_idx").collect():
+        plain.setdefault(r.i, []).append(r.part.split())
+    assert got[0] == [words[:8], words[8:16], words[16:]]
+    assert got[1] == plain[1] and got[2] == plain[2] and got[5] == plain[5]
+    # the second part of the comma cut is cut at the boundary after its third word, and at the next one
+    assert [x for p in got[3] for x in p] == comma.split() and got[3][0] == comma.split()[:9]
+    assert [len(p) for p in got[3]] == [9, 7, 8] or [len(p) for p in got[3]] == [9, 3, 4, 8]
+    assert got[4][0] == odd.split()[:6] and "".join(map("".join, got[4])) == odd.replace(" ", "")
+
+
+def test_captions_use_segment_borders(spark):
+    said = [f"word{k:02d}x" for k in range(20)]
+    w = spark.createDataFrame([(1, 0, k // 7, k, x, 100 * k, 100 * k + 90) for k, x in enumerate(said)],
+                              "rec_id bigint, chunk_id int, seg_idx bigint, word_idx bigint, word string, start_ms bigint, end_ms bigint")
+    from captionloom.operators import segment
+    from captionloom.plans import pipelines
+
+    segs = segment.segment_bounds(w).join(segment.rebuild_text(w), ["rec_id", "chunk_id", "seg_idx"])
+    out = pipelines.captions(w, segs).orderBy("sent_idx").collect()
+    assert [r.text.split() for r in out] == [said[:7], said[7:14], said[14:]]
+    assert [(r.start_ms, r.end_ms) for r in out] == [(0, 690), (700, 1390), (1400, 1990)]
