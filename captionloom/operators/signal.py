@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.models import BOUNDS, checked
 from ..session import materialize, new_shared_path
-from .scan import gap_groups, join_totals, machine_entry, ordered_scan, with_previous
+from .scan import gap_groups, join_totals, machine_entry, with_previous
 
 FULL_SCALE = 32768.0
 CLIP = 32767.0
@@ -30,50 +31,57 @@ def levels(signal: DataFrame, full_scale: float = FULL_SCALE) -> DataFrame:
 
 def level_normalize(signal: DataFrame, target_db: float = -20.0, full_scale: float = FULL_SCALE) -> DataFrame:
     """Scale each series to ``target_db``; silence stays silence."""
+    target_db = checked(target_db, *BOUNDS["target_db"], "target_db")
     gain = levels(signal, full_scale).select(*KEY, F.pow(F.lit(10.0), (target_db - F.col("level_db")) / 20).alias("_g"))
     out = join_totals(signal, gain, KEY, ["idx"])
     return out.withColumn("value", F.col("value") * F.coalesce("_g", F.lit(1.0))).drop("_g")
 
 
-def exact_quantile(rows: DataFrame, value: str, q: float, keys=KEY, resolution=(1, 1 << 20), **kw) -> DataFrame:
-    """Exact quantile (linear interpolation) per key as ``quantile``, for values of any cardinality.
+def exact_quantile(rows: DataFrame, value: str, q: float, keys=KEY, cells: int = 1 << 16, sortable: int = 1 << 16) -> DataFrame:
+    """Exact quantile (linear interpolation) per key as ``quantile``, for values of any cardinality and scale.
 
-    Histogram refinement: count per cell, scan the counts, keep the cells that hold the two ranks, and
-    repeat inside them with finer cells. Only equal or nearly equal values meet in the last step, and
-    they are counted per value before.
+    The two ranks are narrowed down to intervals of values. A round counts the values of each interval in ``cells``
+    equal cells, in one pass with partial sums, and keeps the least and the largest value of the cell that holds
+    the rank, so a far outlier costs one round and the scale of the data does not matter. Intervals of one value are done; those
+    of ``sortable`` values or fewer are sorted. Null and not-a-number values don't count.
     """
     keys = list(keys)
-    vals = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    size = vals.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    vals = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    size = materialize(vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes")
     rank = F.lit(q) * (F.col("_n") - 1)
-    want = size.select(*keys, F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("_r"))
+    want = size.select(*keys, F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("_r"), "_lo", "_hi", F.col("_n").alias("_c"))
     want = want.withColumn("_left", F.col("_r"))
-    scope = list(keys)
-    for level, cells in enumerate(resolution):
-        cell = f"_cell{level}"
-        vals = vals.withColumn(cell, F.floor(F.col("_v") * cells).cast("bigint"))
-        if level:
-            vals = vals.join(want.select(*scope).distinct(), scope, "left_semi")
-        counts = vals.groupBy(*scope, cell).agg(F.sum("_c").alias("_c"))
-        cum = ordered_scan(counts, scope, [cell], sums={"_before": F.col("_c")}, **kw)
-        want = want.join(cum, scope).filter("_before <= _left and _left < _before + _c").withColumn(
-            "_left", F.col("_left") - F.col("_before")).drop("_before", "_c")
-        scope = [*scope, cell]
-    last = vals.join(want.select(*scope).distinct(), scope, "left_semi")
-    w = Window.partitionBy(*scope).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    hit = want.join(last, scope).filter("_before <= _left and _left < _before + _c")
-    ends = hit.groupBy(*keys).agg(F.min_by("_v", "_r").alias("_a"), F.max_by("_v", "_r").alias("_b"))
+    columns = [*keys, "_r", "_left", "_lo", "_hi", "_c"]
+    while True:
+        open_ = want.filter("_lo < _hi")
+        most = open_.agg(F.max("_c")).first()[0]
+        if most is None:
+            break
+        near = join_totals(vals, open_, keys, ["_v"]).filter("_v >= _lo and _v <= _hi")
+        if most <= sortable:
+            place = F.row_number().over(Window.partitionBy(*keys, "_r").orderBy("_v")) - 1
+            found = near.withColumn("_at", place).filter("_at = _left").withColumns({"_lo": F.col("_v"), "_hi": F.col("_v")})
+        else:
+            cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))
+            counts = near.groupBy(*keys, "_r", "_left", cell.alias("_cell")).agg(
+                F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            upto = Window.partitionBy(*keys, "_r").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+            before = F.coalesce(F.sum("_c").over(upto), F.lit(0))
+            found = counts.withColumn("_before", before).filter("_before <= _left and _left < _before + _c").withColumn(
+                "_left", F.col("_left") - F.col("_before"))
+        want = materialize(want.filter("_lo = _hi").select(columns).unionByName(found.select(columns)), "ranks")
+    ends = want.groupBy(*keys).agg(F.min_by("_lo", "_r").alias("_a"), F.max_by("_lo", "_r").alias("_b"))
     part = rank - F.floor(rank)
     return ends.join(size, keys).select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("quantile"))
 
 
-def soft_gate(signal: DataFrame, strength: float = 0.5, factor: float = 0.3, **kw) -> DataFrame:
+def soft_gate(signal: DataFrame, strength: float = 0.5, factor: float = 0.3) -> DataFrame:
     """Scale samples below the noise threshold by ``factor`` and clip to 16 bit.
 
     Threshold: 5 % quantile of the magnitude times (1 + strength / 2).
     """
-    floor = exact_quantile(signal.withColumn("_m", F.abs("value")), "_m", 0.05, **kw)
+    strength = checked(strength, *BOUNDS["strength"], "strength")
+    floor = exact_quantile(signal.withColumn("_m", F.abs("value")), "_m", 0.05)
     out = join_totals(signal, floor, KEY, ["idx"])
     quiet = F.abs("value") < F.col("quantile") * (1 + strength * 0.5)
     v = F.when(quiet, F.col("value") * factor).otherwise(F.col("value"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -23,9 +24,27 @@ def _signal(spark, n=900, seed=8):
     return out, spark.createDataFrame(out, "series_id bigint, idx bigint, value double")
 
 
+def test_exact_quantile_at_any_scale(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    series = {
+        1: rng.uniform(-1, 1, 400), 2: rng.standard_normal(300) * 1e-9, 3: np.append(rng.standard_normal(500), 1e15), 4: np.full(50, 3.25),
+        5: np.round(rng.uniform(0, 4, 200)), 6: np.array([7.0]), 7: np.append(np.full(300, 0.5), np.arange(5.0)),
+    }
+    data = [(k, float(v)) for k, vs in series.items() for v in vs] + [(1, None), (1, float("nan"))]
+    df = spark.createDataFrame(data, "series_id bigint, v double")
+    for q in (0.0, 0.05, 0.5, 0.731, 1.0):
+        for cells, sortable in ((16, 1), (4, 20), (1 << 16, 1 << 16)):
+            got = dict(rows(sg.exact_quantile(df, "v", q, cells=cells, sortable=sortable)))
+            assert got.keys() == series.keys()
+            for k, vs in series.items():
+                assert got[k] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-24), (k, q)
+
+
 def test_exact_quantile_and_gate(spark):
     data, df = _signal(spark)
-    got = dict(rows(sg.exact_quantile(df.withColumn("m", F.abs("value")), "m", 0.3, width=5, depth=2)))
+    got = dict(rows(sg.exact_quantile(df.withColumn("m", F.abs("value")), "m", 0.3)))
     for s in (1, 2):
         vals = np.abs([v for k, _, v in data if k == s])
         assert abs(got[s] - np.percentile(vals, 30)) < 1e-9
