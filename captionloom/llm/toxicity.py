@@ -57,8 +57,13 @@ def features_of_all(texts: list[str], step: int = 400) -> tuple[np.ndarray, np.n
         here = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
         docs.append((doc + lo).astype(np.int32))
         words.append(here[word])
-    owner, code = word_features(list(number))
-    return np.concatenate(docs), np.concatenate(words), owner, code
+    listed, owners, codes = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    del number
+    for lo in range(0, len(listed), 50_000):
+        owner, code = word_features(listed[lo : lo + 50_000])
+        owners.append(owner + np.int32(lo))
+        codes.append(code)
+    return np.concatenate(docs), np.concatenate(words), np.concatenate(owners), np.concatenate(codes)
 
 
 def raw_scores(weights: np.ndarray, n: int, doc, word, owner, code) -> np.ndarray:
@@ -131,8 +136,8 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str], folds: np.
     seen the row, so they err in training as they will on new texts. The threshold of the last category is the
     one of best F1 on its out-of-fold probabilities.
     """
-    feats = features_of_all(texts)
     n = len(texts)
+    feats = features_of_all(texts)
     held = np.zeros((n, 0))
     links, threshold = [], 0.5
     for k, name in enumerate(names):
@@ -176,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     picked = docs.sparkSession.createDataFrame(chosen[["id"]])
     got = mine.join(F.broadcast(picked), "id").toPandas().sort_values("id").drop_duplicates("id")
     part = np.array([zlib.crc32(str(i).encode()) % folds for i in got["id"]])
-    return fit_chain([t or "" for t in got["text"]], got[names].to_numpy(float), names, part, l2)
+    known = got[names].to_numpy(float)
+    texts = [t or "" for t in got["text"]]
+    del got  # one copy of the texts is enough
+    return fit_chain(texts, known, names, part, l2)
 
 
 def probabilities(texts: list[str], chain: Chain) -> np.ndarray:
