@@ -15,7 +15,7 @@ _WRITTEN: list[str] = []
 
 
 def build_session(app: str = "captionloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, with a scratch folder of its own; a cluster brings its own session."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -27,6 +27,7 @@ def build_session(app: str = "captionloom", cpus: str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
