@@ -124,7 +124,13 @@ def reprocess(t: Tables) -> DataFrame:
     return pipelines.reprocess(t.cues, t.words, t.glossary, t.chunk_timing, "1-2")
 
 
-@query("translate_batches")
+# a batch with a time before zero can't be written as captions: it fails and keeps its source
+_ECHO = """with k as (select *, row_number() over (partition by rec_id order by chunk_id, cue_idx) k from cues where start_ms < end_ms and trim(content) <> ''),
+ b as (select *, min(start_ms) over (partition by rec_id, (k - 1) // 5) as lowest from k)
+ select rec_id, k cue_idx, start_ms, end_ms, case when lowest < 0 or contains(content, chr(10)) then content else content || chr(10) || content end as content from b"""
+
+
+@query("translate_batches", sql_with("cues", _ECHO))
 def translate_batches(t: Tables) -> DataFrame:
     """With a stand-in client that repeats the captions of its prompt."""
 

@@ -698,6 +698,14 @@ def read_chunk_timing(t: Tables) -> DataFrame:
     return read.read_chunk_timing(t.spark, path)
 
 
+@query("write_chunk_timing", sql_with("chunk_timing", "select 'rec_id=' || rec_id recording, chunk_id, start_ms, end_ms, duration_ms from chunk_timing"))
+def write_chunk_timing(t: Tables) -> DataFrame:
+    """The manifest as the writer leaves it, read again."""
+    path = new_shared_path(t.spark, "manifest")
+    write.write_chunk_timing(t.chunk_timing, path)
+    return read.read_chunk_timing(t.spark, path, lines=True)
+
+
 @query("stream_chunks", sql_with("cues", f"{_SND} select 'rec' || rec_id project, chunk_id, start_ms, content from snd union all "
                                  "select 'rec' || rec_id, chunk_id, start_ms, content from snd where rec_id % 2 = 1"))
 def stream_chunks(t: Tables) -> DataFrame:
