@@ -11,7 +11,6 @@ chunk is the unit cut by ``signal.plan_chunks`` (half an hour of speech), not a
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -163,6 +162,7 @@ class _Chunk:
         self.seq = np.array([self.vocab[t] for t in norms], dtype=np.int64)
         self.used = np.zeros(len(norms), dtype=bool)
         self.partial: dict[tuple[str, bool], np.ndarray] = {}
+        self.text = self.size = self.chars = None
 
     def codes(self, toks: list[str]) -> np.ndarray:
         return np.array([self.vocab.get(t, -1) for t in toks], dtype=np.int64)
@@ -171,16 +171,28 @@ class _Chunk:
         """Score of ``tok`` against every vocabulary entry: 1 equal, .8 contained, .6 alike (if ``fuzzy``)."""
         key = (tok, fuzzy)
         if key not in self.partial:
-            if fuzzy and len(tok) < 3:
-                # too short for anything but equality
-                scores = np.zeros(len(self.names))
-                if tok in self.vocab:
-                    scores[self.vocab[tok]] = 1.0
-            else:
-                scores = np.array([_word_score(tok, v, fuzzy) for v in self.names])
-            self.partial[key] = scores
+            self.partial[key] = self._scores(tok, fuzzy)
         return self.partial[key]
 
+    def _scores(self, tok: str, fuzzy: bool) -> np.ndarray:
+        if self.text is None:
+            self.text = np.array(self.names, dtype=str)
+            self.size = np.char.str_len(self.text)
+            self.chars = self.text.view(np.uint32).reshape(len(self.names), -1)  # zero where a word has ended
+        pieces = {tok[a:b] for a in range(len(tok)) for b in range(a, len(tok) + 1)} | {""}
+        held = (np.char.find(self.text, tok) >= 0) | np.isin(self.text, list(pieces))
+        scores = np.where(held, 0.8, 0.0)
+        if fuzzy:
+            n = min(len(tok), self.chars.shape[1])
+            same = (self.chars[:, :n] == np.frombuffer(tok[:n].encode("utf-32-le"), np.uint32)).sum(axis=1)
+            longest = np.maximum(self.size, len(tok))
+            alike = (np.abs(self.size - len(tok)) <= 2) & (same / np.maximum(longest, 1) >= 0.6)
+            scores = np.where(held, 0.8, np.where(alike, 0.6, 0.0))
+            scores[(self.size < 3) | (len(tok) < 3)] = 0.0  # too short for anything but equality
+        if tok in self.vocab:
+            scores[self.vocab[tok]] = 1.0
+        return scores
+
     def window_scores(self, toks: list[str], fuzzy: bool) -> np.ndarray:
         n = len(self.seq) - len(toks) + 1
         total = np.zeros(max(n, 0))
@@ -190,19 +202,6 @@ class _Chunk:
         return total / max(len(toks), 1)
 
 
-def _word_score(a: str, b: str, fuzzy: bool) -> float:
-    if a == b:
-        return 1.0
-    if fuzzy and (len(a) < 3 or len(b) < 3):
-        return 0.0
-    if a in b or b in a:
-        return 0.8
-    if fuzzy and abs(len(a) - len(b)) <= 2:
-        same = sum(map(eq, a, b))
-        return 0.6 if same / max(len(a), len(b)) >= 0.6 else 0.0
-    return 0.0
-
-
 def _monotonic(chunk: _Chunk, sents: list[list[str]], context: bool):
     """Cursor rule: equal, >= .9, >= .85, then short sentences with neighbouring words."""
     cursor, size = 0, len(chunk.seq)
