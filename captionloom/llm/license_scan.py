@@ -56,6 +56,20 @@ NAMES = {
     "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
     "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
 }
+#: The same for "or later" licenses. The SQL goes without them, so it can't check these names.
+OR_LATER = {
+    f"{short.upper()}-{number}-or-later": [
+        f"{x} or {later}"
+        for x in (f"{short} {plain}", f"{short} v{brief}", f"{short}v{brief}", f"{long} version {brief}", f"{long} v{brief}", f"gnu {short} version {brief}")
+        for later in ("later", "any later version")
+    ]
+    for short, long, number in (
+        ("gpl", "gnu general public license", "2.0"), ("gpl", "gnu general public license", "3.0"),
+        ("lgpl", "gnu lesser general public license", "2.1"), ("lgpl", "gnu lesser general public license", "3.0"),
+        ("agpl", "gnu affero general public license", "3.0"),
+    )
+    for plain, brief in ((number.replace(".", " "), number.removesuffix(".0").replace(".", " ")),)
+}
 #: In order: a rule takes its identifiers out of the sequence, so that later ones don't see them.
 RULES = [
     ("MIT", ["mit.grant", "mit.notice", "mit.warranty"]),
@@ -76,10 +90,12 @@ RULES = [
     ("MPL-2.0", ["mpl2.grant"]),
     ("Zlib", ["zlib.grant"]),
     ("Unlicense", ["unlicense.grant"]),
-    *[(name, [f"says.{name}"]) for name in NAMES],
+    *[(name, [f"says.{name}"]) for name in NAMES | OR_LATER],
 ]
-#: Every known sentence and statement holds one of these.
+#: Every known sentence holds one of these, and so does every statement that starts with an SPDX tag.
 TRIGGER = "(?i)licen[sc]e|software|copyright|spdx-|redistribut"
+#: Every other statement holds this: the verbs of ``STATEMENT``, and between the words what normalises to a blank.
+UNDER = "(?i)(released|licensed|distributed|available|published|provided)[^a-z0-9]+under"
 #: A line with a copyright and a year is a sentence of its own.
 NOTICE = "(?im)^(.*copyright.*[0-9]{4}.*)$"
 STATEMENT = (
@@ -91,9 +107,9 @@ SENTENCE_END = "[.!?;:]+(\\s+|$)|\\n\\s*\\n"
 LINE_END = "[.!?;:]+(\\s+|$)|\\n"
 
 
-def known() -> dict[str, str]:
+def known(names: dict[str, list[str]] = NAMES | OR_LATER) -> dict[str, str]:
     """Normalised sentence, statement prefix cut to ``@``, to identifier."""
-    return {text: key for key, text in SENTENCES.items()} | {f"@{n}": f"says.{name}" for name, names in NAMES.items() for n in names}
+    return {text: key for key, text in SENTENCES.items()} | {f"@{n}": f"says.{name}" for name, each in names.items() for n in each}
 
 
 def _key(sentence: Column) -> tuple[Column, Column]:
@@ -130,10 +146,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Whole texts are read twice over: as sentences that may run over line ends (license texts), and as sentences
     that end with the line (statements after lines without a stop). Rules match each reading's sequence; the
     licenses of both are joined, in the order of the first, and likewise the identifiers. Null and empty texts, and texts that
-    hold no word any known sentence has, give empty arrays. Rows are independent: no shuffle, repeated rows come out as they
+    hold no word that all known sentences and statements have, give empty arrays. Rows are independent: no shuffle, repeated rows come out as they
     come, and other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.rlike(text_col, F.lit(TRIGGER)), F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.when(F.rlike(text_col, F.lit(f"{TRIGGER}|{UNDER}")), F.col(text_col)).alias("text"))
     rows = rows.select("id", identifiers(F.col("text"), SENTENCE_END).alias("a"), identifiers(F.col("text"), LINE_END).alias("b"))
     none = F.array().cast("array<string>")
     rows = rows.select("id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
@@ -145,11 +161,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _sql() -> str:
-    """The same in SQL: the table of sentences as a map, and the rules as one step after another."""
+    """The same in SQL, but for ``UNDER`` and ``OR_LATER``: the table of sentences as a map, and the rules as one step after another."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    pairs = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known().items())
+    pairs = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known(NAMES).items())
     steps, last = [], "seqs"
-    for i, (name, seq) in enumerate(RULES):
+    for i, (name, seq) in enumerate(RULES[: len(RULES) - len(OR_LATER)]):
         pattern = quote("(<" + "><".join(x.replace(".", "[.]") for x in seq) + ">)")
         steps.append(
             f"r{i} AS (SELECT doc_id, kind, regexp_replace(seq, {pattern}, '<>', 'g') AS seq, "
