@@ -165,23 +165,31 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str], folds: np.
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-          max_rows: int = 10_000, max_bytes: int = 32 << 20, folds: int = 3, l2: float = 0.1) -> Chain:
+          max_rows: int = 10_000, max_bytes: int = 32 << 20, folds: int = 3, l2: float = 0.1, max_text: int = 1 << 20) -> Chain:
     """Fits the chain on a bounded sample: the ``max_rows`` labelled ids of least hash that ``docs`` has,
-    as long as their texts hold ``max_bytes`` in all. ``categories`` are 0/1 expressions over ``labels``, in
-    chain order. An id labelled more than once counts once (its largest labels); null labels are unknown.
+    as long as their texts hold ``max_bytes`` in all. Texts of over ``max_text`` bytes (or ``max_bytes``, if less)
+    are no part of it and take no one's place; if that leaves none of the labelled documents, or ``docs`` has rows
+    and none of them is labelled though labels exist, a ``ValueError`` says so. ``categories`` are 0/1 expressions
+    over ``labels``, in chain order. An id labelled more than once counts once (its largest labels), and so does an
+    id that ``docs`` repeats (its shortest text); null labels are unknown.
     """
     names = list(categories)
     each = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(c).cast("double").alias(n) for n, c in categories.items()])
-    ids = each.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    sizes = mine.select("id", F.octet_length("text").alias("size"), F.xxhash64("id").alias("at")).toPandas().sort_values(["at", "id"])
-    chosen = sizes[sizes["size"].fillna(0).cumsum() <= max_bytes].drop_duplicates("id")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    sized = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sized = sized.where(F.col("id").isNotNull() & (F.col("size") <= min(max_text, max_bytes)))
+    ids = sized.groupBy("id").agg(F.min(F.struct("size", "mark")).alias("least")).join(each.withColumnRenamed("id", "labelled"), F.col("id") == F.col("labelled"))
+    ids = ids.select("id", "least.size", "least.mark", *[F.col(n).alias(f"y{k}") for k, n in enumerate(names)])
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()
+    chosen = chosen[chosen["size"].cumsum() <= max_bytes].sort_values("id")
     if not len(chosen):
+        if not labels.where(F.col(id_col).isNotNull()).isEmpty() and not docs.isEmpty():
+            raise ValueError(f"labels exist, but no labelled document has a text of {min(max_text, max_bytes)} bytes or less")
         return fit_chain([], np.zeros((0, len(names))), names, np.zeros(0, np.int64), l2)
-    picked = docs.sparkSession.createDataFrame(chosen[["id"]])
-    got = mine.join(F.broadcast(picked), "id").toPandas().sort_values("id").drop_duplicates("id")
+    picked = docs.sparkSession.createDataFrame(chosen[["id", "size", "mark"]])
+    got = sized.join(F.broadcast(picked), ["id", "size", "mark"]).groupBy("id").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     part = np.array([zlib.crc32(str(i).encode()) % folds for i in got["id"]])
-    known = got[names].to_numpy(float)
+    known = chosen[[f"y{k}" for k in range(len(names))]].to_numpy(float)
     texts = [t or "" for t in got["text"]]
     del got  # one copy of the texts is enough
     return fit_chain(texts, known, names, part, l2)
