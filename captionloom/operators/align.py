@@ -32,6 +32,7 @@ FORMS: dict[str, tuple[Callable, Callable]] = {
     "clean": (norm_clean, norm_tokens),
     "hyphen": (lower_hyphen_word, _tokens_by(lower_hyphen_word)),
     "plain": (lower_plain_word, _tokens_by(lower_plain_word)),
+    "cased": (clean_word, lambda text: tokens(clean_case(text))),
 }
 
 
@@ -112,7 +113,8 @@ def flexible_spans(sentences: DataFrame, words: DataFrame, floor: float = 0.6, f
 
 
 def char_spans(sentences: DataFrame, words: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
-    """First place of the cleaned sentence in the cleaned chunk text, as a word range; no guesses.
+    """First place of the cleaned sentence in the cleaned chunk text, as a word range; no guesses. Only the first part of
+    the search: equal sentences share a place and a hit may start inside a word (``char_places`` does the whole).
 
     ``words`` are cleaned (empty ones dropped) and joined by blanks; the range holds the words of the first
     and the last character.
@@ -481,3 +483,36 @@ def _monotonic_exact(chunk: _Chunk, sents: list[list[str]]):
         share = _agreement(chunk.codes(toks), chunk.seq)
         at = _first(share == len(toks)) if toks else -1
         yield (at, at + len(toks) - 1, 1.0) if at >= 0 else (-1, -1, 0.0)
+
+
+def char_places(sentences: DataFrame, words: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
+    """Each sentence's own place in the cleaned chunk text: the first run of whole free words that equals it, in order
+    of the sentences; without one, free words that agree with it in 0.8 of the tokens. Places never overlap, so equal
+    sentences take one occurrence after another; sentences without a place keep -1 and null times."""
+    parts = 1 << 10  # a word may hold blanks; its parts take their order from its index
+    flat = words.select(*keys, "word_idx", "start_ms", "end_ms", F.posexplode(tokens(clean_word(F.col("word")))).alias("_p", "word"))
+    flat = flat.withColumn("word_idx", F.col("word_idx") * parts + F.col("_p"))
+    out = _fold(sentences, flat, "cased", _own_places, keys, tokens(clean_case(F.col("text"))))
+    back = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.expr(f"{c} div {parts}"))
+    return out.withColumns({c: back(c) for c in ("start_word_idx", "end_word_idx")})
+
+
+def _own_places(chunk: _Chunk, sents: list[list[str]]):
+    """Equal free windows for all sentences in turn, then the best agreeing ones for the rest."""
+    found: list = [None] * len(sents)
+    after: dict[tuple, list[int]] = {}  # of equal sentences, the windows not yet tried
+    for i, toks in enumerate(sents):
+        if not toks:
+            continue
+        key = tuple(toks)
+        if key not in after:
+            after[key] = np.flatnonzero(_agreement(chunk.codes(toks), chunk.seq) == len(toks))[::-1].tolist()
+        while after[key] and found[i] is None:
+            at = after[key].pop()
+            if not chunk.used[at:at + len(toks)].any():
+                found[i] = _take(chunk, at, len(toks), 1.0)
+    for i, toks in enumerate(sents):
+        if toks:
+            yield found[i] or _best_share(chunk, toks, 0.8, False, True)
+        else:
+            yield -1, -1, 0.0

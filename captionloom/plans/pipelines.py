@@ -178,10 +178,8 @@ def captions_fallback(segments: DataFrame, words: DataFrame | None = None, max_c
 
 
 def char_captions(words: DataFrame, model: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Sentences located as substrings of the cleaned chunk text."""
-    sents = sentences(words, words, "rule", model=model)
-    spans = align.char_spans(sents, words)
-    return timing.time_from_words(spans.join(sents, [*CHUNK, "sent_idx"]), words)
+    """Sentences located in the cleaned chunk text, each at its own place; those without one have -1 and null times."""
+    return align.char_places(sentences(words, words, "rule", model=model), words)
 
 
 def plain_fallback(segments: DataFrame) -> DataFrame:
