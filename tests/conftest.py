@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from captionloom.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,9 +18,6 @@ def spark():
 @pytest.fixture(scope="session")
 def t(spark):
     from captionloom.plans.tables import tables
+    from helpers import SF
 
     return tables(spark, SF)
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from captionloom.operators import align, quality, timing

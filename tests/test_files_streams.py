@@ -7,7 +7,7 @@ import os
 import struct
 import wave
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from captionloom.operators import segment

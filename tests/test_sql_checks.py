@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF
+from helpers import SF
 
 import __spark_entry__ as entry
 
