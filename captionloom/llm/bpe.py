@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from itertools import chain
+import hashlib
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, texts_of
 
-#: Limits of a task's memory of pieces seen: bytes of a piece, and entries before it starts anew.
-PIECE_BYTES, PIECES = 64, 600_000
+#: A worker's memory of pieces seen: characters of a piece, bytes in all, and what an entry takes beside its text and ids.
+PIECE_BYTES, MEMORY, ENTRY_BYTES = 64, 48 << 20, 230
+#: Bytes of text that are in work at a time, and characters from which a text is split in several lists.
+SLICE, LONG_TEXT = 1 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,21 +94,49 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids of the pieces seen lately; a new one is merged when asked for."""
+    """Ids of the pieces seen lately; a new one is merged when asked for. Two generations of half of
+    ``MEMORY`` each: a piece met again moves to the young one, and a full young one replaces the old."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old, self.used = ranks, {}, 0
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode(), self.ranks)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = merge_piece(piece.encode(), self.ranks)
         if len(piece) <= PIECE_BYTES:
-            if len(self) >= PIECES:
+            self.used += ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
+            if 2 * self.used > MEMORY:
+                self.old, self.used = dict(self), 0
                 self.clear()
             self[piece] = ids
         return ids
 
 
+def pieces_of(pattern: str) -> Callable[[str], Iterator[list[str]]]:
+    """Splits a text into lists of matches of ``pattern``; the matches of a long text come in several lists."""
+    compiled = regex.compile(pattern)
+
+    def split(text: str) -> Iterator[list[str]]:
+        if len(text) <= LONG_TEXT:
+            yield compiled.findall(text)
+            return
+        found = (m.group() for m in compiled.finditer(text))
+        while part := list(islice(found, 1 << 16)):
+            yield part
+
+    return split
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """Bytes of every id, in order of the ids."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, r in ranks.items():
+        table[r] = token
+    return table
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)`` of whole texts, each match of ``pattern`` on its own, without special tokens.
 
@@ -113,14 +145,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids_of = regex.compile(pattern).findall, Pieces(ranks).__getitem__
-        for part in slices(batches, "text"):
-            flat: list[int] = []
-            ends = [0]
+        split, ids_of = pieces_of(pattern), Pieces(ranks).__getitem__
+        for part in slices(batches, "text", SLICE):
+            flat, ends = array("i"), [0]
             for t in texts_of(part):
-                flat.extend(chain.from_iterable(map(ids_of, find(t))))
+                for pieces in split(t):
+                    flat.extend(chain.from_iterable(map(ids_of, pieces)))
                 ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([column(part, "id"), ids], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -133,10 +165,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, r in ranks.items():
-            table[r] = token
-        table = np.array(table, object)
+        table = np.array(token_bytes(ranks), object)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -157,9 +186,36 @@ def default_path() -> str:
 
 
 def digested(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens, ids_sha256, decoded_sha256)``: an encoding and its round trip, as digests."""
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decode(encode(docs, ranks, pattern, id_col, text_col), ranks, id_col).select(
-        id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``(id_col, n_tokens, ids_sha256, decoded_sha256)``: an encoding and its round trip, as digests.
+
+    Encoding, decoding and hashing happen in one pass of one worker, 65,536 pieces of a text at a time, so neither
+    ids nor decoded bytes of a whole text are held and nothing but digests leaves it. Null and empty texts
+    have no ids; their digests are those of nothing. Repeated rows, null ids and empty tables come out as
+    they come in, one row a row; other columns are not read. A worker holds the slice of the table it is
+    given, one text at least, and ``MEMORY`` of pieces.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, ids_of = pieces_of(pattern), Pieces(ranks).__getitem__
+        bytes_of = token_bytes(ranks)
+        name_of, bytes_of = [str(i) for i in range(len(bytes_of))].__getitem__, bytes_of.__getitem__
+        for part in slices(batches, "text", SLICE):
+            counts, codes, texts = [], [], []
+            for t in texts_of(part):
+                n, code, text = 0, hashlib.sha256(), hashlib.sha256()
+                for pieces in split(t):
+                    ids = list(chain.from_iterable(map(ids_of, pieces)))
+                    if ids:
+                        code.update((("," if n else "") + ",".join(map(name_of, ids))).encode())
+                        text.update(b"".join(map(bytes_of, ids)))
+                    n += len(ids)
+                counts.append(n)
+                codes.append(code.hexdigest())
+                texts.append(text.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [column(part, "id"), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -47,7 +47,10 @@ def test_encode_nothing_and_decode_null(spark, nothing):
 
 def test_small_piece_memory_changes_nothing(docs, monkeypatch):
     want = Counter(map(str, bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()))
-    monkeypatch.setattr(bpe, "PIECES", 3)
+    digests = Counter(bpe.digested(docs, RANKS, public_tokenizers.PATTERN).collect())
+    monkeypatch.setattr(bpe, "MEMORY", 3000)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 50)
+    assert Counter(bpe.digested(docs, RANKS, public_tokenizers.PATTERN).collect()) == digests
     assert Counter(map(str, bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect())) == want
 
 
