@@ -30,6 +30,19 @@ def id_crc(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, keys: list[str], n_col: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and in ``n_col`` how many rows have that key.
+
+    Of ``total`` rows, at most ``share`` keys can hold more than a ``share``-th each, whatever the input; these few rows
+    of the table are broadcast. No other key is large, so the rest meets in a shuffle. Reads both sides twice: give
+    it stored tables.
+    """
+    frequent = F.col(n_col) * share > F.lit(total)
+    few = F.broadcast(table.where(frequent))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(table.where(~frequent), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``max_bytes`` of text, and one row at least."""
     for batch in batches:

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_shared_path
-from . import bpe, embedding_dedup, exact_dedup, language, license_scan, lm_score, mixing, simhash, toxicity, warc
+from . import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    hard_negatives,
+    language,
+    license_scan,
+    line_dedup,
+    lm_score,
+    mixing,
+    prefix_trie,
+    simhash,
+    toxicity,
+    warc,
+)
 from .common import id_crc, table
 
 
@@ -61,6 +75,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,6 +99,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -79,4 +109,7 @@ SQL = {
     "op7_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_line_dedup": line_dedup.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
