@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_align, queries_caption, queries_signal, queries_text  # noqa: F401
+    from . import queries_align, queries_caption, queries_scale, queries_signal, queries_text  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

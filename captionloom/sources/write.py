@@ -87,11 +87,12 @@ def render(cues: DataFrame, fmt: str, index: str = "cue_idx", compat: bool = Fal
 
 def write_blocks(
     cues: DataFrame, path: str, fmt: str = "srt", keys: Sequence[str] = ("rec_id",),
-    order: Sequence[str] = ("chunk_id", "cue_idx"), mode: str = "errorifexists", **kw,
+    order: Sequence[str] = ("chunk_id", "cue_idx"), mode: str = "errorifexists", dynamic: bool = False, **kw,
 ) -> None:
     """Write each recording (or each chunk, with ``keys`` to match) as a folder of ordered part files.
 
-    SRT cues are filtered, sorted by start and numbered; the other formats keep the given order.
+    SRT cues are filtered, sorted by start and numbered; the other formats keep the given order. ``dynamic`` with mode
+    ``overwrite`` replaces the folders that get rows and leaves the others. ``files.write_files`` writes whole files.
     """
     keys, order = list(keys), list(order)
     if fmt == "srt":
@@ -112,18 +113,13 @@ def write_blocks(
     rows = rows.repartitionByRange(*keys, rank).sortWithinPartitions(*keys, rank)
     # the writer adds the last line end of each block
     value = sub(F.col("block"), r"\n\z", "").alias("value")
-    rows.select(*keys, value).write.mode(mode).partitionBy(*keys).text(path)
+    way = "dynamic" if dynamic else "static"
+    rows.select(*keys, value).write.mode(mode).option("partitionOverwriteMode", way).partitionBy(*keys).text(path)
 
 
 def write_chunks(cues: DataFrame, path: str, fmt: str = "srt", **kw) -> None:
     """One folder per (recording, chunk); rewriting some chunks leaves the others alone."""
-    spark = cues.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        write_blocks(cues, path, fmt, ("rec_id", "chunk_id"), ("cue_idx",), mode="overwrite", **kw)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    write_blocks(cues, path, fmt, ("rec_id", "chunk_id"), ("cue_idx",), mode="overwrite", dynamic=True, **kw)
 
 
 def write_chunk_timing(timing: DataFrame, path: str) -> None:
