@@ -570,14 +570,15 @@ def to_srt(t: Tables) -> DataFrame:
     return write.render(rows, "srt", "index").select("rec_id", "index", "block")
 
 
-for _f, _sql in {
+BLOCK_SQL = {
     "txt": f"'[' || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || ']' || chr(10) || content || chr(10) || chr(10)",
     "vtt": f"{_t('%02d:%02d:%02d.%03d', 'start_ms')} || ' --> ' || {_t('%02d:%02d:%02d.%03d', 'end_ms')} || chr(10) || content || chr(10) || chr(10)",
     "ass": f"'Dialogue: 0,' || {_ass('start_ms')} || ',' || {_ass('end_ms')} || ',Default,,0,0,0,,' || replace(content, chr(10), '\\N') || chr(10)",
     "json": "'  {' || chr(10) || '    \"index\": ' || cue_idx || ',' || chr(10) || '    \"start\": \"' || " + _clock("start_ms")
             + " || '\",' || chr(10) || '    \"end\": \"' || " + _clock("end_ms")
             + " || '\",' || chr(10) || '    \"content\": ' || cast(to_json(content) as varchar) || chr(10) || '  }'",
-}.items():
+}
+for _f, _sql in BLOCK_SQL.items():
     query(f"to_{_f}", sql_with("cues", f"with {_SHOWN} select rec_id, cue_idx, {_sql} as block from shown"))(
         lambda t, f=_f: write.render(_shown(t), f).select("rec_id", "cue_idx", "block"))
 

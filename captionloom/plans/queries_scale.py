@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import rewrite
 from ..session import new_shared_path
+from ..sources import files, ranges
 from ..streaming import sessions
 from .fixtures import sql_with
+from .queries_caption import _SHOWN, _SOUND, BLOCK_SQL, _flat, _shown, _t
 from .queries_text import _docs, _marked
 from .registry import query
 from .tables import Tables
@@ -78,3 +80,55 @@ def stream_gap_utterances(t: Tables) -> DataFrame:
                             F.lit(ahead).cast("bigint").alias("end_ms")).write.parquet(f"{source}/end")
     sessions.run_utterances(t.spark, source, out, check, lateness_ms=lateness)
     return t.spark.read.parquet(out).select("rec_id", "start_ms", "end_ms", "n_words")
+
+
+# ------------------------------------------------------------------ whole files, and files read in ranges
+
+_NAME = {f: f"rec%d/rec%d_merged.{f}" for f in ("srt", "txt", "vtt", "ass", "json")}
+
+
+@query("read_srt_ranges", sql_with("cues", f"with {_SHOWN} {_SOUND.replace('chunk_id, ', '')}"))
+def read_srt_ranges(t: Tables) -> DataFrame:
+    """One SRT file per recording, read back in ranges of 4 KB, so that most files are several tasks."""
+    path = new_shared_path(t.spark, "whole-srt")
+    files.write_files(_shown(t), path, F.format_string(_NAME["srt"], "rec_id", "rec_id"), **_flat(t))
+    cues = ranges.read_srt_ranges(t.spark, path, range_bytes=4096).where("error is null")
+    return cues.select(F.regexp_extract("path", r"/rec(\d+)/", 1).cast("bigint").alias("rec_id"), "start_ms", "end_ms", "content")
+
+
+def _files_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    kept = "where start_ms < end_ms and trim(content) <> ''"
+    srt = f"k || chr(10) || {_t('%02d:%02d:%02d,%03d', 'start_ms')} || ' --> ' || {_t('%02d:%02d:%02d,%03d', 'end_ms')} || chr(10) || content || chr(10) || chr(10)"
+    parts = [f"""select 'srt' fmt, rec_id, string_agg({srt}, '' order by k) body from
+     (select *, row_number() over (partition by rec_id order by start_ms, end_ms, chunk_id, cue_idx) k from shown {kept}) group by rec_id"""]
+    for fmt, block in BLOCK_SQL.items():
+        head, between, tail = files.FRAMES[fmt]
+        block = block.replace("cue_idx", "k")
+        parts.append(f"""select '{fmt}', rec_id, {text(head)} || string_agg({block}, {text(between)} order by k) || {text(tail)} from
+     (select *, row_number() over (partition by rec_id order by chunk_id, cue_idx) k from shown) group by rec_id""")
+    return sql_with("cues", f"""with {_SHOWN}, f as ({" union all ".join(parts)})
+ select fmt, rec_id, 'rec' || rec_id || '/rec' || rec_id || '_merged.' || fmt as file, cast(strlen(body) as bigint) n_bytes, sha256(body) sha from f""")
+
+
+@query("write_files", _files_sql())
+def write_files(t: Tables) -> DataFrame:
+    """All recordings in all formats, one file each; every file as its digest."""
+    path = new_shared_path(t.spark, "whole-files")
+    for fmt, name in _NAME.items():
+        files.write_files(_shown(t), f"{path}/{fmt}", F.format_string(name, "rec_id", "rec_id"), fmt, **_flat(t))
+    got = t.spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    part = lambda k: F.regexp_extract("path", r"/(\w+)/(rec(\d+)/[^/]+)$", k)
+    return got.select(part(1).alias("fmt"), part(3).cast("bigint").alias("rec_id"), part(2).alias("file"),
+                      F.octet_length("value").cast("bigint").alias("n_bytes"), F.sha2(F.col("value").cast("binary"), 256).alias("sha"))
+
+
+@query("write_files_json", sql_with("cues", f"""with {_SHOWN} select rec_id, cast(row_number() over (partition by rec_id order by chunk_id, cue_idx) as bigint) "index", content
+ from shown"""))
+def write_files_json(t: Tables) -> DataFrame:
+    """Each written JSON file parsed on its own."""
+    path = new_shared_path(t.spark, "whole-json")
+    files.write_files(_shown(t), path, F.format_string(_NAME["json"], "rec_id", "rec_id"), "json", **_flat(t))
+    rows = t.spark.read.schema("index bigint, start string, end string, content string").option("multiLine", "true").option(
+        "recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"/rec(\d+)/", 1).cast("bigint").alias("rec_id"), "index", "content")

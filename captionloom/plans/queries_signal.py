@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal as sg
 from ..session import new_shared_path
+from ..sources.ranges import read_signal_ranges
 from ..sources.read import read_signal
 from .fixtures import sql_with
 from .registry import query
@@ -107,9 +108,8 @@ def plan_chunks(t: Tables) -> DataFrame:
     return sg.plan_chunks(t.signal, _active(t), 300, 60, 150)
 
 
-@query("read_signal", sql_with("signal", "select series_id, idx, round(value * 50) as value from signal"))
-def read_signal_query(t: Tables) -> DataFrame:
-    """Series written as WAV files of 16-bit samples (pages of 100,000 samples) and read back."""
+def _wav_files(t: Tables) -> str:
+    """Series written as WAV files of 16-bit samples, in pages of 100,000 samples."""
     path = new_shared_path(t.spark, "wav")
 
     def save(key, pdf):
@@ -132,7 +132,32 @@ def read_signal_query(t: Tables) -> DataFrame:
 
     rows = t.signal.select("series_id", F.expr("idx div 100000").alias("page"), "idx", F.round(F.col("value") * 50).alias("v"))
     rows.groupBy("series_id", "page").applyInPandas(save, "idx bigint").count()
+    return path
+
+
+def _as_series(back: DataFrame) -> DataFrame:
     name = F.regexp_extract_all("path", F.lit(r"s(\d+)_(\d+)\.wav"), F.lit(1))
-    back = read_signal(t.spark, path)
     page = F.regexp_extract("path", r"s\d+_(\d+)\.wav", 1).cast("bigint")
     return back.select(F.get(name, F.lit(0)).cast("bigint").alias("series_id"), (page * 100000 + F.col("idx")).alias("idx"), "value")
+
+
+_AS_WAV = sql_with("signal", "select series_id, idx, round(value * 50) as value from signal")
+
+
+@query("read_signal", _AS_WAV)
+def read_signal_query(t: Tables) -> DataFrame:
+    """WAV files read back, a file a task."""
+    return _as_series(read_signal(t.spark, _wav_files(t)))
+
+
+@query("read_signal_ranges", _AS_WAV)
+def read_signal_ranges_query(t: Tables) -> DataFrame:
+    """The same files in ranges of 64 KB, many tasks a file."""
+    return _as_series(read_signal_ranges(t.spark, _wav_files(t), range_bytes=1 << 16))
+
+
+@query("read_signal_frames", sql_with("signal", """select series_id, idx, round(value * 50) as value from signal
+ where idx % 100000 >= 100 and idx % 100000 < 900"""))
+def read_signal_frames(t: Tables) -> DataFrame:
+    """Frames 100 to 900 of each file; no other bytes are read."""
+    return _as_series(read_signal_ranges(t.spark, _wav_files(t), 100, 900, range_bytes=1 << 10))
