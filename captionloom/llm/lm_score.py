@@ -1,8 +1,8 @@
-"""Scoring texts by a word n-gram language model, as a weighted backoff automaton over distributed counts."""
+"""Scoring texts by a word n-gram language model: a weighted backoff automaton over distributed counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import column, mix64, slices
 
+#: Tokens that a traversal reads in one go; longer texts are read in pieces side by side.
+PIECE = 256
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0x100000001B3)
 _INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -58,49 +61,137 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def pair_keys(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A key for each token with the one before it; the first of a text follows the start."""
-    before = np.empty_like(toks)
-    before[1:] = toks[:-1]
-    before[first[:-1]] = START
-    return mix64(before * np.uint64(0xFF51AFD7ED558CCD) + toks)
-
-
-def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(key, n)``: how often each token occurs in the documents; counts are added up in each task first."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-
-        for part in slices(batches, "text"):
-            k, c = np.unique(tokens(column(part, "text"))[0], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield out()
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: where each text's tokens begin, its distinct 1- and 2-grams in key order, how often its training texts
-    have each, and the grams of each token. The lowest bit of a key tells the order of its gram."""
+def gram_keys(toks: np.ndarray, first: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """``(sequence, text starts, keys, whether there is such a gram)``: the tokens with a start before each text, and by order
+    1, 2, ... the key of the gram that ends at each place. A gram's key is made of the key of the gram without its
+    last token and that token. Keys of single tokens keep 63 bits, longer ones ``bits``."""
+    n = len(first) - 1
+    starts = first[:-1] + np.arange(n)
+    seq = np.empty(len(toks) + n, np.uint64)
+    is_start = np.zeros(len(seq), bool)
+    is_start[starts] = True
+    seq[is_start], seq[~is_start] = START, toks
+    place = np.arange(len(seq)) - np.repeat(starts, np.diff(np.append(starts, len(seq))))
+    whole, keys, there = seq, [seq >> np.uint64(1)], [np.ones(len(seq), bool)]
+    for k in range(2, order + 1):
+        before = np.empty_like(whole)
+        before[1:], before[:1] = whole[:-1], 0
+        whole = mix64(before * np.uint64(0xFF51AFD7ED558CCD) + seq)
+        keys.append(whole >> np.uint64(64 - bits))
+        there.append(place >= k - 1)
+    return seq, starts, keys, there
+
+
+@dataclass
+class Grams:
+    """The distinct grams of a chunk by order, in order of their keys, and the gram that ends at each place of its texts."""
+
+    seq: np.ndarray
+    starts: np.ndarray
+    keys: list[np.ndarray]
+    counts: list[np.ndarray]  # in the chunk's training texts
+    at: list[np.ndarray]  # place to gram, -1 where there is none
+    place: list[np.ndarray]  # gram to one place where it ends
+
+
+def grams_of(table: pa.Table, order: int, bits: int) -> Grams:
     trained = table.column("trained").to_numpy()
     parts = [tokens(column(b, "text")) for b in slices(table.select(["text"]).combine_chunks().to_batches(), "text", 2 << 20)]
     toks = np.concatenate([t for t, _ in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
-    ones = toks & ~np.uint64(1)
-    twos = pair_keys(toks, first) | np.uint64(1)
-    keys, at = np.unique(np.concatenate([ones, twos]), return_inverse=True)
-    weight = np.tile(np.repeat(trained.astype(np.float64), np.diff(first)), 2)
-    counts = np.bincount(at, weight, len(keys)).astype(np.int64)
-    return first, keys, counts, at[: len(toks)], at[len(toks) :]
+    seq, starts, keys, there = gram_keys(toks, first, order, bits)
+    weight = np.repeat(trained, np.diff(np.append(starts, len(seq))))
+    out = Grams(seq, starts, [], [], [], [])
+    for key, has in zip(keys, there, strict=True):
+        where = np.flatnonzero(has)
+        unique, one, at = np.unique(key[where], return_index=True, return_inverse=True)
+        full = np.full(len(seq), -1, np.int32)
+        full[where] = at
+        out.keys.append(unique)
+        out.counts.append(np.bincount(at[weight[where]], minlength=len(unique)))
+        out.at.append(full)
+        out.place.append(where[one])
+    return out
+
+
+@dataclass
+class Automaton:
+    """States are known contexts: state 0 is the root, the empty one. Arcs are known grams, from the context without the last
+    token to the longest known context that the token leads to. Every other state has a failure arc to the
+    context without its first token. Weights are log10 probabilities."""
+
+    arc_to: np.ndarray
+    arc_weight: np.ndarray
+    arc_known: np.ndarray
+    fail_to: np.ndarray
+    fail_weight: np.ndarray
+    base: list[int]  # number of the first arc, and state, of each order
+
+
+def automaton(grams: Grams, totals: list[np.ndarray], n_all: int, n_types: int, backoff: float, concentration: float) -> Automaton:
+    """The part of the model's automaton that a chunk's texts can visit, from the totals of its grams.
+
+    A context h that was left c(h) times gives its word w the weight (1 - b) c(h, w) / (c(h) + m) + f(h) p(w | h'), with h' the
+    context without its first token and f(h) = b + (1 - b) m / (c(h) + m) the weight of its failure arc; the root
+    gives (c(w) + 1) / (N + V + 1). So what may follow a state adds up to 1.
+    """
+    order = len(totals)
+    base = np.cumsum([1, *map(len, totals)]).tolist()
+    to, weight, known = (np.zeros(base[-1], kind) for kind in (np.int64, np.float64, bool))
+    fail_to, fail = np.zeros(base[-1], np.int64), np.ones(base[-1])
+    below = None
+    for k, total in enumerate(totals, 1):
+        mine, end = slice(base[k - 1], base[k]), grams.place[k - 1]
+        leads = (total > 0) & (grams.seq[end] != END)
+        state = np.where(leads, np.arange(base[k - 1], base[k]), 0)
+        known[mine] = total > 0 if k > 1 else True
+        if k == 1:
+            p = (total + 1.0) / (n_all + n_types + 1.0)
+        else:
+            context, shorter = grams.at[k - 2][end - 1], grams.at[k - 2][end]
+            left = totals[k - 2][context] + concentration
+            p = (1 - backoff) * total / left + (backoff + (1 - backoff) * concentration / left) * below[shorter]
+            state = np.where(leads, state if k < order else to[base[k - 2] + shorter], 0)
+            fail_to[mine] = to[base[k - 2] + shorter]
+        to[mine], weight[mine] = state, np.log10(p)
+        fail[mine] = backoff + (1 - backoff) * concentration / (total + concentration)
+        below = p
+    return Automaton(to, weight, known, fail_to, np.log10(fail), base)
+
+
+def traverse(machine: Automaton, grams: Grams) -> np.ndarray:
+    """Log10 probability of the token at each place, all texts read from left to right.
+
+    A reader stands in a state, takes the arc of the token it reads, or failure arcs until there is one, and goes on from where
+    the arc leads. Texts are read side by side. A long text is read in pieces: a state is the longest known
+    context of at most order - 1 tokens, so a reader that starts in the root that many tokens before its piece
+    has reached the right state when the piece begins.
+    """
+    order, lengths = len(grams.at), np.diff(np.append(grams.starts, len(grams.seq)))
+    arcs = np.stack([np.where(at < 0, 0, at + base) for at, base in zip(grams.at, machine.base, strict=False)])
+    n_pieces = -(-(lengths - 1) // PIECE)
+    text = np.repeat(np.arange(len(lengths)), n_pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+    first = grams.starts[text] + 1 + number * PIECE
+    stop = np.minimum(first + PIECE, grams.starts[text] + lengths[text])
+    begin = np.maximum(first - (order - 1), grams.starts[text])  # the start itself leads from the root to its state
+    by_length = np.argsort(begin - stop, kind="stable")
+    begin, stop = begin[by_length], stop[by_length]
+    size, out = stop - begin, np.zeros(len(grams.seq))
+    state, level_of = np.zeros(len(begin), np.int64), np.searchsorted(machine.base, np.arange(machine.base[-1]), side="right")
+    active = len(begin)
+    for step in range(int(size.max(initial=0))):
+        active = int(np.searchsorted(-size, -step, side="left"))
+        here, now = begin[:active] + step, state[:active].copy()
+        score = np.zeros(active)
+        arc = arcs[level_of[now], here]
+        while len(lost := np.flatnonzero(~machine.arc_known[arc])):
+            score[lost] += machine.fail_weight[now[lost]]
+            now[lost] = machine.fail_to[now[lost]]
+            arc[lost] = arcs[level_of[now[lost]], here[lost]]
+        out[here] = score + machine.arc_weight[arc]  # places read twice get their last, right value from their own piece
+        state[:active] = machine.arc_to[arc]
+    return out
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -113,80 +204,90 @@ def _from_planes(data) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
-def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.5, concentration: float = 20.0,
-          chunk_bytes: int = 6 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.5,
+          concentration: float = 20.0, chunk_bytes: int = 4 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
     """One row per document: ``(id_col, n_tokens, n_known, train_tokens, base_score, score)``.
 
     ``trained``: name of a boolean column, true for the documents the model learns from. Tokens: words with A-Z lower-cased,
     then one end. ``base_score`` sums log10 of add-one unigram probabilities with one more for unknown words; ``n_known``
-    counts tokens seen in training.
-
-    The model is an automaton of words: the state is the last word (or the start). A state has an arc for each
-    word that followed it in training, of weight (1 - b) c(u,v) / (c(u) + m) + f(u) p(v), and a failure arc of weight
-    f(u) = b + (1 - b) m / (c(u) + m) to the root, whose arcs are the unigrams p (``backoff`` b, ``concentration`` m); a word not
-    seen in training has no state and leads to the root. All that may follow a state adds up to 1. A text is read once from
-    left to right: each token takes the arc of the state it is read in, or else the failure arc and the root's.
+    counts tokens seen in training. ``score`` is the log10 probability of the text under interpolated grams of up to
+    ``order`` words, read off the automaton (``automaton``, ``traverse``).
 
-    Counts cover every training text, and no table of them is ever whole in one place: documents are dealt into
-    chunks; each chunk lists its distinct grams with its own counts, the lists are cut by key range, a range's lists are
-    added up, and each chunk gets back the totals of its own grams, which is all that scoring it takes. Chunks are sized
-    by the text's bytes, ranges by the number of keys, and a gram has at most one entry a chunk, however common it is.
+    Counts cover every training text, and no table of them is ever whole in one place: texts are shuffled once, into
+    chunks; each chunk lists its distinct grams with its own counts, the lists are cut by order and key range, a range's
+    lists are added up, and each chunk gets back the totals of its own grams, which is all that its part of the
+    automaton takes. Chunks are sized by the text's bytes, ranges by the number of keys, and a gram has at most one
+    entry a chunk, however common it is.
 
     Null and empty texts are an end alone. Null ids and repeated rows are scored like others, the latter each time. With no
-    training text all counts are 0 and every token has probability 1. An empty table gives an empty result.
+    training text all counts are 0 and every token has probability 1. An empty table gives an empty result. Words are
+    told apart by 63 bits of hash, so ``n_known`` and ``base_score`` are exact but for a collision among them;
+    longer grams by 24 bits more than it takes to number them, so about one in 16 million meets another. A chunk
+    holds its texts, one at least: some 100 bytes a byte of text, so texts of up to about 10 MB fit an
+    executor's worker of 1 GB.
     """
-    spark = docs.sparkSession
+    if order < 2:
+        raise ValueError("the model takes grams of 2 words or more")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(trained), F.lit(False)).alias("trained"))
-    whole = rows.agg(F.sum(F.octet_length("text")), F.count_if("trained")).first()
-    seen = vocabulary(rows.where("trained")).agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_all, n_types, n_starts = seen[0] or 0, seen[1], whole[1]
-    chunks = 1 + (whole[0] or 0) // chunk_bytes
-    buckets = 1 + (whole[0] or 0) // (6 * bucket_keys)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(chunks)).cast("int")).repartition("chunk")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(63, 24 + max(1, (size // 4).bit_length()))
+    chunks, ranges = 1 + size // chunk_bytes, 1 + size // (6 * bucket_keys)
+    # rows alike in all are dealt by the partition they lie in
+    chunk = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
+    dealt = rows.withColumn("chunk", chunk).repartition("chunk")
     kind = rows.schema["id"].dataType.simpleString()
 
     def listed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, keys, counts, _, _ = _grams(table)
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ranges of keys
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(cut[1:], len(keys))
-        out = {"bucket": [], "chunk": [], "keys": [], "counts": []}
-        for lo, hi in zip(cut.tolist(), ends.tolist(), strict=True):
-            gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-            out["bucket"].append(int(bucket[lo]))
-            out["chunk"].append(key[0].as_py())
-            out["keys"].append(_planes(gaps))
-            out["counts"].append(_planes(counts[lo:hi]))
-        return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["chunk"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+        grams = grams_of(table, order, bits)
+        out: dict[str, list] = {"bucket": [], "chunk": [], "keys": [], "counts": []}
+        for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts, strict=True)):
+            high = keys >> np.uint64(max(0, (63 if k == 0 else bits) - 32))
+            bucket = (high * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # ranges of keys
+            edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                out["bucket"].append(k * ranges + int(bucket[lo]))
+                out["chunk"].append(key[0].as_py())
+                out["keys"].append(_planes(np.diff(keys[lo:hi], prepend=np.uint64(0))))
+                out["counts"].append(_planes(counts[lo:hi]))
+        return pa.table([pa.array(out["bucket"], pa.int64()), pa.array(out["chunk"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
     def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lists = [np.cumsum(_from_planes(x.as_buffer()), dtype=np.uint64) for x in table.column("keys")]
         counts = np.concatenate([_from_planes(x.as_buffer()) for x in table.column("counts")])
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-        totals = np.bincount(at, counts, len(keys)).astype(np.int64)[at]
+        total = np.bincount(at, counts, len(keys)).astype(np.int64)
         edges = np.cumsum([0, *map(len, lists)])
-        parts = [_planes(totals[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary())], names=["bucket", "chunk", "totals"])
+        parts = [_planes(total[at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
+        n = np.zeros((2, len(parts)), np.int64)  # tokens and types of the range, with its first part
+        if key[0].as_py() < ranges:
+            words = total[keys != START >> np.uint64(1)]
+            n[:, 0] = words.sum(), np.count_nonzero(words)
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary()), pa.array(n[0]), pa.array(n[1])],
+                        names=["bucket", "chunk", "totals", "n_tokens", "n_types"])
+
+    lists = dealt.groupBy("chunk").applyInArrow(listed, "bucket bigint, chunk int, keys binary, counts binary")
+    totals = materialize(lists.groupBy("bucket").applyInArrow(added, "bucket bigint, chunk int, totals binary, n_tokens bigint, n_types bigint"), "gram-totals")
+    n_all, n_types = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        first, keys, _, one, two = _grams(left)
+        grams = grams_of(left, order, bits)
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True), key=lambda p: p[0])
-        counts = np.concatenate([_from_planes(t.as_buffer()) for _, t in parts]).astype(np.int64)
-        assert len(counts) == len(keys), "a chunk's totals don't fit its grams"
-        word, pair = counts[one], counts[two]
-        root = (word + 1.0) / (n_all + n_types + 1.0)
-        state = np.empty(len(one), np.float64)  # how often the state a token is read in was left in training
-        state[1:] = word[:-1]
-        state[first[:-1]] = n_starts
-        fail = backoff + (1 - backoff) * concentration / (state + concentration)
-        arc = fail * root + np.where(pair > 0, (1 - backoff) * pair / (state + concentration), 0.0)
-        start = first[:-1]
+        flat = np.concatenate([_from_planes(t.as_buffer()) for _, t in parts]).astype(np.int64)
+        edges = np.cumsum([0, *map(len, grams.keys)])
+        assert len(flat) == edges[-1], "a chunk's totals don't fit its grams"
+        counts = [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        machine = automaton(grams, counts, n_all, n_types, backoff, concentration)
+        each = traverse(machine, grams)
+        word = counts[0][grams.at[0]]
+        root = np.log10((word + 1.0) / (n_all + n_types + 1.0))
+        root[grams.starts], word[grams.starts] = 0, 0
+        begin = grams.starts
+        each[begin] = 0
         return pa.table([
-            left.column("id"), pa.array(np.diff(first)), pa.array(np.add.reduceat((word > 0).astype(np.int64), start)),
-            pa.array(np.add.reduceat(np.log10(root), start)), pa.array(np.add.reduceat(np.log10(arc), start)),
+            left.column("id"), pa.array(np.diff(np.append(begin, len(word))) - 1), pa.array(np.add.reduceat((word > 0).astype(np.int64), begin)),
+            pa.array(np.add.reduceat(root, begin)), pa.array(np.add.reduceat(each, begin)),
         ], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    lists = dealt.groupBy("chunk").applyInArrow(listed, "bucket int, chunk int, keys binary, counts binary")
-    totals = lists.groupBy("bucket").applyInArrow(added, "bucket int, chunk int, totals binary")
-    out = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = dealt.groupBy("chunk").cogroup(totals.select("bucket", "chunk", "totals").groupBy("chunk")).applyInArrow(
+        scored, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), "base_score", "score")

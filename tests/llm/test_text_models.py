@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -180,36 +181,90 @@ def test_license_odd_rows(odd, nothing):
 # ------------------------------------------------------------------ language-model scores
 
 
-def plain_scores(rows, b=0.5, m=20.0):
-    """``rows``: (id, text, trained)."""
-    words = [((t or "").encode().lower().split() + ["end"], k) for _, t, k in rows]
-    ones, twos = Counter(), Counter()
+def plain_scores(rows, order=3, b=0.5, m=20.0):
+    """``rows``: (id, text, trained). Counts of all grams in one dictionary, probabilities by recursion."""
+    words = [(["<", *(w.decode() for w in (t or "").encode().lower().split()), ">"], k) for _, t, k in rows]
+    counts = Counter()
     for w, k in words:
         if k:
-            ones.update(w)
-            twos.update(zip(["start", *w[:-1]], w, strict=True))
-    left = dict(ones) | {"start": sum(k for _, k in words), "end": 0}
-    n, v, out = sum(ones.values()), len(ones), []
+            counts.update(tuple(w[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(n - 1, len(w)))
+    ones = {g: c for g, c in counts.items() if len(g) == 1 and g != ("<",)}
+    n, v = sum(ones.values()), len(ones)
+
+    def p(context, x):
+        if not context:
+            return (ones.get((x,), 0) + 1) / (n + v + 1)
+        left = counts[context]
+        return (1 - b) * counts[(*context, x)] / (left + m) + (b + (1 - b) * m / (left + m)) * p(context[1:], x)
+
+    out = []
     for (i, _, _), (w, _) in zip(rows, words, strict=True):
-        base = total = 0.0
-        for u, x in zip(["start", *w[:-1]], w, strict=True):
-            p = (ones[x] + 1) / (n + v + 1)
-            c = left.get(u, 0)
-            base += math.log10(p)
-            total += math.log10((1 - b) * twos[u, x] / (c + m) + (b + (1 - b) * m / (c + m)) * p)
-        out.append((i, len(w), sum(ones[x] > 0 for x in w), n, round(base, 6), round(total, 6)))
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        total = sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w)))
+        out.append((i, len(w) - 1, sum((x,) in ones for x in w[1:]), n, round(base, 5), round(total, 5)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 12, 12 << 20])
+@pytest.mark.parametrize(("chunk_bytes", "order", "piece"), [(1 << 12, 3, 7), (12 << 20, 3, 256), (1 << 13, 2, 5), (1 << 13, 5, 11)])
 @pytest.mark.parametrize("which", ["docs", "odd", "untrained"])
-def test_scores_match_plain_counts(request, which, chunk_bytes):
+def test_scores_match_plain_counts(request, monkeypatch, which, chunk_bytes, order, piece):
+    monkeypatch.setattr(lm_score, "PIECE", piece)
     df = request.getfixturevalue("odd" if which == "untrained" else which)
     df = df.withColumn("trained", F.lit(False) if which == "untrained" else id_crc("doc_id", 7) != 2)
     rows = [(r["doc_id"], r["text"], r["trained"]) for r in df.collect()]
     assert which == "untrained" or all(k == (zlib.crc32(str("" if i is None else i).encode()) % 7 != 2) for i, _, k in rows)
-    got = lm_score.score(df, "trained", chunk_bytes=chunk_bytes, bucket_keys=1 << 10).collect()
-    assert Counter((*r[:4], round(r[4], 6), round(r[5], 6)) for r in got) == plain_scores(rows)
+    got = lm_score.score(df, "trained", order=order, chunk_bytes=chunk_bytes, bucket_keys=1 << 10).collect()
+    key = lambda r: (str(r[0]), *r[1:4])
+    want = sorted(plain_scores(rows, order).elements(), key=lambda r: (key(r), r[4:]))
+    got = sorted(map(tuple, got), key=lambda r: (key(r), r[4:]))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all(g[k] == pytest.approx(w[k], abs=1e-4) for g, w in zip(got, want, strict=True) for k in (4, 5))
+
+
+def test_arcs_and_failure_arcs_of_the_automaton():
+    """Every arc, failure arc and weight of a small automaton against the counts, and a walk along them."""
+    texts = ["a b a c", "a b b", "c a b a", "b", "a b a b c d a"]
+    known = [True, True, True, True, False]
+    grams = lm_score.grams_of(pa.table({"text": texts, "trained": known}), 3, 40)
+    counts = Counter()
+    for t, k in zip(texts, known, strict=True):
+        w = ["<", *t.split(), ">"]
+        counts.update(tuple(w[i - n + 1 : i + 1]) for n in (1, 2, 3) for i in range(n - 1, len(w)) if k)
+    words = {}
+    at = 0
+    for t in texts:
+        for w in ["<", *t.split(), ">"]:
+            words[at] = w
+            at += 1
+    n = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<",))
+    v = len([g for g in counts if len(g) == 1 and g != ("<",)])
+    machine = lm_score.automaton(grams, grams.counts, n, v, 0.5, 20.0)
+    name = {0: ()}
+    for k in range(3):
+        for i, end in enumerate(grams.place[k]):
+            name[machine.base[k] + i] = tuple(words[j] for j in range(end - k, end + 1))
+    longest = lambda g: next(g[i:] for i in range(len(g) + 1) if not g[i:] or (counts[g[i:]] and len(g[i:]) < 3 and g[-1] != ">"))
+
+    def p(c, x):
+        if not c:
+            return (counts[(x,)] + 1) / (n + v + 1)
+        return 0.5 * counts[(*c, x)] / (counts[c] + 20) + (0.5 + 0.5 * 20 / (counts[c] + 20)) * p(c[1:], x)
+
+    for arc, g in name.items():
+        if not arc:
+            continue
+        assert machine.arc_known[arc] == (counts[g] > 0 or len(g) == 1)
+        if machine.arc_known[arc]:
+            assert name[machine.arc_to[arc]] == longest(g)
+            assert g[-1] == "<" or machine.arc_weight[arc] == pytest.approx(math.log10(p(g[:-1], g[-1])))
+        if len(g) < 3 and counts[g] and g[-1] != ">":  # a state
+            assert name[machine.fail_to[arc]] == longest(g[1:])
+            assert machine.fail_weight[arc] == pytest.approx(math.log10(0.5 + 0.5 * 20 / (counts[g] + 20)))
+    got = lm_score.traverse(machine, grams)
+    for j, w in words.items():
+        if w != "<":
+            back = max(i for i in words if i <= j and words[i] == "<")
+            assert got[j] == pytest.approx(math.log10(p(tuple(words[i] for i in range(max(back, j - 2), j)), w)))
 
 
 def test_scores_of_nothing(nothing):
@@ -219,12 +274,16 @@ def test_scores_of_nothing(nothing):
 def test_what_follows_a_state_adds_up_to_one(spark):
     rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b"])]
     train = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("trained", F.lit(True))
-    asked = [(100 + k, f"a {w}", False) for k, w in enumerate(["a", "b", "c", "unknown"])] + [(200, "a", False)]
+    words = ["a", "b", "c", "unknown"]
+    # after "a b": log p of "a b w" less that of "a b" without what follows w
+    asked = [(100 + k, f"a b {w}", False) for k, w in enumerate(words)] + [(200, "a b", False)]
     got = {r["doc_id"]: r["score"] for r in lm_score.score(train.union(spark.createDataFrame(asked, "doc_id bigint, text string, trained boolean")), "trained").collect()}
     plain = {r[0]: r for r in plain_scores([(*r, True) for r in rows] + asked)}
-    assert all(got[i] == pytest.approx(plain[i][5], abs=1e-5) for i in got)
-    ones = Counter(x for _, t in rows for x in [*t.split(), "end"])
-    n, v = sum(ones.values()), len(ones)
-    twos = Counter(p for _, t in rows for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True))
-    total = sum(0.5 * twos["a", x] / (ones["a"] + 20) + (0.5 + 0.5 * 20 / (ones["a"] + 20)) * (ones[x] + 1) / (n + v + 1) for x in [*ones, "unknown"])
-    assert total == pytest.approx(1)
+    assert all(got[i] == pytest.approx(plain[i][5], abs=1e-4) for i in got)
+    grams = lm_score.grams_of(pa.table({"text": [t for _, t in rows] + [f"a b {w}" for w in words], "trained": [True] * 4 + [False] * 4}), 3, 40)
+    ones = Counter(x for _, t in rows for x in [*t.split(), ">"])
+    machine = lm_score.automaton(grams, grams.counts, sum(ones.values()), len(ones), 0.5, 20.0)
+    each = lm_score.traverse(machine, grams)
+    follows = {w: each[grams.starts[4 + k] + 3] for k, w in enumerate(words)}
+    follows[">"] = each[grams.starts[2] + 4]  # "c a b" ends after "a b"
+    assert sum(10**x for x in follows.values()) == pytest.approx(1)
\ No newline at end of file
