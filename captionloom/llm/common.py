@@ -43,6 +43,38 @@ def join_frequent(rows: DataFrame, table: DataFrame, keys: list[str], n_col: str
     return rows.join(few, keys).unionByName(rest)
 
 
+def row_marks(df: DataFrame, marks: tuple[str, str] = ("m1", "m2")) -> list[Column]:
+    """Two hashes of a whole row, 128 bits in all, which stand for it where rows have no key; maps are left out."""
+    parts = [F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
+    nulls = [c.isNull() for c in parts]
+    return [F.xxhash64(*nulls, *parts).alias(marks[0]), F.xxhash64(*parts, F.lit(1), *nulls).alias(marks[1])]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``(m1, m2, row)``: the marks of each row and all its columns in one, so that none of their names can clash."""
+    return df.select(*row_marks(df), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def pick(df: DataFrame, chosen: DataFrame, extra: tuple[str, ...] = (), few: int = 100_000) -> DataFrame:
+    """``(row, *extra)``: one row of ``df`` for each of the marks ``chosen`` (``m1, m2, n, *extra``), of which ``df`` holds
+    ``n`` rows that are alike. Rows that occur once only meet their mark. The others are first reduced to one, in each
+    task and after the shuffle, so that copies of a row never gather; their marks are counted, and broadcast if there
+    are ``few`` at most. ``chosen`` must be a stored table."""
+    rows, marks = packed(df), ["m1", "m2"]
+    once = rows.join(chosen.where("n = 1").select(*marks, *extra), marks).select("row", *extra)
+    more = chosen.where("n > 1").select(*marks, *extra)
+    n_more = more.limit(few + 1).count()
+    if not n_more:
+        return once
+    more = F.broadcast(more) if n_more <= few else more
+    alike = rows.join(more.select(*marks), marks, "left_semi").groupBy(*marks).agg(F.first("row").alias("row"))
+    return once.unionByName(alike.join(more, marks).select("row", *extra))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``max_bytes`` of text, and one row at least."""
     for batch in batches:

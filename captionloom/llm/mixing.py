@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD
+from .common import WORD, pick, row_marks, unpacked
 
-SALTS = 1024
+#: Hash cells of a source and size, and copies of a row that are made at a time.
+SALTS, BLOCK = 1024, 65_536
 
 
 def _hash_unit(text, bits: int = 48):
@@ -45,7 +46,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1),
-        share: float = 1.0, cap: float = 3.0, seed: str = "mix") -> DataFrame:
+        share: float = 1.0, cap: float = 3.0, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
     """Per document ``(id_col, source_col, size, source_size, target, copies, taken)``.
 
     All documents of a source have the same expected number of copies, its target over its size. They are put in
@@ -57,12 +58,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts have size 0 and are taken or not like others; a null source is a source of its own, last in order.
     Rows that repeat are documents of their own. With no words at all every target is 0. An empty table gives
-    an empty result. Columns other than those named are not read.
+    an empty result. Columns other than those named are not read; ``also`` names columns that are passed on.
+    A cell is one hash value of the documents of one source and size: where a source has n documents of one
+    size, about n / 1024 of them are ranked in one task; the sources themselves, one row each, in one.
     """
     rows = materialize(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint"), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint"), F.lit(SALTS)).alias("salt"), *also,
     ), "sizes")
     cells = rows.groupBy("no_source", "src", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     sizes = cells.groupBy("no_source", "src", "size").agg(F.sum("n").alias("n"))
@@ -77,18 +80,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     crossed = F.floor(F.col("at") * F.col("rate") + F.col("shift")) - F.floor((F.col("at") - 1) * F.col("rate") + F.col("shift"))
     return ranked.withColumn("copies", crossed.cast("bigint")).select(
         F.col("id").alias(id_col), F.when(~F.col("no_source"), F.col("src")).alias(source_col), "size",
-        F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *also,
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns. Rows that share an id, which
-    the mix takes for documents of their own, are all emitted as often as the one of them taken most."""
-    most = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("copies"))
-    taken = most.where("copies > 0").select("__id", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies"))
-    return (
-        docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).withColumn("__copy", F.explode("__copies")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """The mix itself: every row as often as it is taken, with all its columns. Rows that share an id are documents of their
+    own; rows alike in every column are taken together, as often as all of them are."""
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *row_marks(docs))
+    each = mix(marked, "id", "text", "source", also=("m1", "m2"), **params)
+    most = each.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    taken = pick(docs, materialize(most.where("copies > 0"), "taken"), ("copies",))
+    # in blocks, as rows that are alike may be taken any number of times together
+    blocks = taken.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {BLOCK}"))))
+    left = F.least(F.lit(BLOCK), F.col("copies") - F.col("block") * BLOCK).cast("int")
+    return unpacked(blocks.select("row", F.explode(F.sequence(F.lit(1), left)).alias("copy")), docs.columns)
 
 
 SQL = """

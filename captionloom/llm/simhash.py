@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import column, slices, texts_of
+from .common import column, pick, row_marks, slices, texts_of, unpacked
 from .graph import components
 
 #: Fingerprints a table bucket may hold before its probes go by the neighbour keys instead.
@@ -34,16 +34,17 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` of whole texts; null counts as empty, and texts without words have fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, fp, *also)`` of whole texts; null counts as empty, and texts without words have fingerprint 0. ``also`` names
+    columns of whole numbers that are passed on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = [fingerprint(t, shingle) for t in texts_of(part)]
-            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(fps, pa.int64()), *[column(part, c) for c in also]], ["id", "fp", *also])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *also)
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("id", "fp", *also)))
 
 
 def _segments(fp):
@@ -98,17 +99,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never the smallest unless alone. An empty table gives an empty result; other columns are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    labels = _labels(rows).select("fp", "component_id")
+    return rows.join(labels, "fp").select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _labels(rows: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` per distinct fingerprint of stored ``(id, fp)`` rows."""
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
     roots = components(near_pairs(fps.select("fp")))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    kept = near_dedup(docs, id_col, text_col, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One document of each component, with all its columns: the smallest id; among rows without an id or that share the
+    smallest, the one of least hash of all its columns. Rows that are alike count once."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *row_marks(docs))
+    marked = materialize(fingerprints(rows, "id", "text", shingle, ("m1", "m2")), "fingerprints")
+    labels = _labels(marked.select("id", "fp"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "m1", "m2")
+    one = marked.groupBy("fp", "id", "m1", "m2").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min_by("n", first).alias("n"), F.min(first).alias("first"))
+    least = one.join(labels, "fp").groupBy("root").agg(F.min_by("n", "first").alias("n"), F.min("first").alias("first"))
+    return unpacked(pick(docs, materialize(least.select("first.m1", "first.m2", "n"), "kept-rows")), docs.columns)

@@ -46,18 +46,89 @@ def test_exact_dedup_of_nothing(nothing):
     assert exact_dedup.drop_duplicates(nothing).columns == nothing.columns
 
 
+def runs_of(df, **kw):
+    return Counter((bytes(r["digest"]), r["n_bytes"], r["check"], r["keep_id"], r["group_size"]) for r in exact_dedup.merge_runs(df, **kw).collect())
+
+
 def test_merge_runs_has_the_same_result_for_any_tree(docs):
     rows = exact_dedup.digests(docs.repartition(13))
-    trees = [exact_dedup.merge_runs(rows, runs, fan) for runs, fan in ((1, 2), (5, 2), (13, 4), (64, 8))]
-    as_set = [Counter((bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in t.collect()) for t in trees]
-    assert all(s == as_set[0] for s in as_set)
+    want = runs_of(rows, rounds=1, fan_in=2)
+    groups = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted((k[3], k[4]) for k in want.elements()) == sorted((max(g), len(g)) for g in groups.values())
+    assert all(runs_of(rows, rounds=r, fan_in=f) == want for r, f in ((2, 2), (5, 2), (3, 4), (2, 8)))
+    assert exact_dedup.rounds_for(0, 8) == 2 and exact_dedup.rounds_for(10**9, 8) == 4
+
+
+def test_each_level_merges_sorted_runs_in_order(docs):
+    """Levels are sort aggregates over runs sorted for them; the exchanges between them go by run alone."""
+    rows = exact_dedup.digests(docs.repartition(5))
+    plan = exact_dedup.merge_runs(rows, rounds=3, fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("hashpartitioning(run#") >= 4
+    after = [x for x in plan.split("\n") if "REPARTITION_BY_NUM" in x and "RoundRobin" not in x]
+    assert len(after) == 3 and not any("digest" in x for x in after)
+
+
+def test_texts_are_one_only_where_all_hashes_agree(spark):
+    rows = [(1, b"d", 5, 7), (2, b"d", 5, 7), (3, b"d", 6, 7), (4, b"d", 5, 8), (None, b"d", 5, 8), (None, b"e", 1, 1)]
+    df = spark.createDataFrame(rows, "id bigint, digest binary, n_bytes int, check bigint")
+    for keep, best in (("max", 2), ("min", 1)):
+        got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.merge_runs(df, rounds=2, fan_in=2, keep=keep).collect()}
+        assert got == {(best, 2), (3, 1), (4, 2), (None, 1)}
 
 
 def test_drop_duplicates_keeps_the_largest_id(odd):
     got = exact_dedup.drop_duplicates(odd)
     assert got.columns == odd.columns
     ids = Counter(r["doc_id"] for r in got.select("doc_id").collect())
-    assert ids[5] == 1 and 4 not in ids and 1 not in ids and ids[2] == 1 and ids[6] == 2
+    assert ids[5] == 1 and 4 not in ids and 1 not in ids and ids[2] == 1 and ids[6] == 1
+
+
+def clashing(spark):
+    """Ids that repeat or lack, rows that repeat, and columns with the names that are used inside."""
+    rows = [(1, "same text here", "a", "p"), (1, "same text here", "a", "p"), (1, "same text here", "a", "q"), (None, "same text here", "a", "p"),
+            (1, "another text", "a", "p"), (None, "lone", "b", "p"), (None, "lone", "b", "p"), (None, "lone", "b", "r"), (2, "x", None, "p"), (2, "y", None, "p")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __sha string")
+    for name in ("__copies", "__copy", "__id", "__kept", "m1", "m2", "n", "row", "copies", "best", "run", "check", "known", "first", "block"):
+        df = df.withColumn(name, F.col("__sha"))
+    return df
+
+
+def test_stages_on_repeated_ids_and_clashing_names(spark):
+    df = clashing(spark)
+    got = exact_dedup.drop_duplicates(df)
+    assert got.columns == df.columns and Counter(r["__sha"] in "pqr" for r in got.collect()) == {True: 5}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "lone"), (1, "another text"), (1, "same text here"), (2, "x"), (2, "y")]
+    near = simhash.keep_one(df)
+    assert near.columns == df.columns
+    fps = {r["text"]: plain_fingerprint(r["text"]) for r in df.collect()}
+    assert len({*fps.values()}) == 5
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near.collect()) == [(0, "lone"), (1, "another text"), (1, "same text here"), (2, "x"), (2, "y")]
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns
+    words = lambda rows: sum(len(r["text"].split()) for r in rows)
+    each = mixing.mix(df).collect()
+    rows = mixed.collect()
+    assert len(rows) == sum(r["copies"] for r in each) and words(rows) == sum(r["taken"] for r in each)
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in rows) == Counter(
+        {k: n for k in {(r["doc_id"], r["source"], r["size"]) for r in each}
+         if (n := sum(r["copies"] for r in each if (r["doc_id"], r["source"], r["size"]) == k))})
+
+
+def test_near_copies_of_one_id_leave_one(spark):
+    base = "one two three four five six seven eight nine ten " * 4
+    df = spark.createDataFrame([(3, base), (3, base + "eleven"), (None, base), (5, base), (5, "other words entirely " * 5)], "doc_id bigint, text string")
+    got = simhash.keep_one(df).collect()
+    fps = [plain_fingerprint(r["text"]) for r in df.collect()]
+    linked = [[bin(a ^ b).count("1") <= 2 for b in fps] for a in fps]
+    assert len(got) == len(set(plain_components(len(fps), linked)))
+    assert (5, "other words entirely " * 5) in [tuple(r) for r in got] and sum(r["doc_id"] == 3 and r["text"] == base for r in got) <= 1
+
+
+def test_a_row_taken_any_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    df = spark.createDataFrame([(1, "a b", "s")] * 7 + [(2, "a b", "s"), (3, "c", "t")], "doc_id bigint, text string, source string")
+    each = mixing.mix(df).collect()
+    assert mixing.mixed(df).count() == sum(r["copies"] for r in each)
 
 
 def plain_fingerprint(text):
