@@ -26,22 +26,31 @@ def chunk_offset(cues: DataFrame, timing: DataFrame, keys: Sequence[str] = CHUNK
 
 
 def words_in_segment(
-    segments: DataFrame, words: DataFrame, tol_ms: int = 100, bucket_ms: int = 10000, keys: Sequence[str] = ("rec_id",),
+    segments: DataFrame, words: DataFrame, tol_ms: int = 100, keys: Sequence[str] = ("rec_id",), finest_ms: int = 10_000,
 ) -> DataFrame:
     """Words whose time meets a segment's time, with tolerance.
 
-    Both sides are laid over time buckets, so the join is an equi-join on (key, bucket) whose groups
-    hold some seconds of one recording. A pair is reported in the first bucket both share.
+    Time is laid out in grids of doubling width, from ``finest_ms`` on. A segment goes to the grid whose cells are as
+    long as itself, so it is one row or two, be it seconds or hours long; a word goes to the cells it touches in each grid
+    that holds segments at all, a few dozen at most. Segments and words meet by an equi-join on (key, grid,
+    cell). A pair is reported in the first cell both touch.
     """
-    def over(df, low, high, name):
-        return df.withColumn(name, F.explode(F.sequence(F.expr(f"{low} div {bucket_ms}"), F.expr(f"{high} div {bucket_ms}"))))
-
+    grid = lambda at, level: F.floor(at / (F.lit(finest_ms) * F.pow(F.lit(2.0), level))).cast("bigint")
     segs = segments.select(*keys, "seg_idx", F.greatest(F.col("start_ms") - tol_ms, F.lit(0)).alias("_lo"), (F.col("end_ms") + tol_ms).alias("_hi"))
-    segs = over(segs.filter("_hi >= _lo"), "_lo", "_hi", "_b")
-    ws = over(words.filter("end_ms >= start_ms").select(*keys, "word_idx", "word", "start_ms", "end_ms"), "start_ms", "end_ms", "_b")
+    size = (F.col("_hi") - F.col("_lo") + 1) / F.lit(finest_ms)
+    segs = segs.filter("_hi >= _lo").withColumn("_g", F.greatest(F.lit(0), F.ceil(F.log2(size))).cast("int"))
+    levels = sorted(r[0] for r in segs.select("_g").distinct().collect())  # at most 50: doublings of the finest cell
+    if not levels:
+        levels = [0]
+
+    def laid(df: DataFrame, low: str, high: str) -> DataFrame:
+        return df.withColumn("_b", F.explode(F.sequence(grid(F.col(low), F.col("_g")), grid(F.col(high), F.col("_g")))))
+
+    ws = words.filter("end_ms >= start_ms").select(*keys, "word_idx", "word", "start_ms", "end_ms")
+    ws = laid(ws.withColumn("_g", F.explode(F.array(*map(F.lit, levels)))), "start_ms", "end_ms")
     hit = (F.col("end_ms") >= F.col("_lo")) & (F.col("start_ms") <= F.col("_hi"))
-    first = F.col("_b") == F.greatest(F.expr(f"_lo div {bucket_ms}"), F.expr(f"start_ms div {bucket_ms}"))
-    return segs.join(ws, [*keys, "_b"]).filter(hit & first).drop("_b", "_lo", "_hi")
+    first = F.col("_b") == F.greatest(grid(F.col("_lo"), F.col("_g")), grid(F.col("start_ms"), F.col("_g")))
+    return laid(segs, "_lo", "_hi").join(ws, [*keys, "_g", "_b"]).filter(hit & first).drop("_g", "_b", "_lo", "_hi")
 
 
 # ------------------------------------------------------------------ glossary
@@ -150,8 +159,9 @@ def cache_key(content: Column, model: Column, params: Sequence[Column]) -> Colum
 
 def cached_lookup(todo: DataFrame, cache: DataFrame, now: Column, key: str = "key", days: int = 7) -> tuple[DataFrame, DataFrame]:
     """``(hits, misses)`` against cache rows (``key, value, modified``) younger than ``days``; of rows with the same
-    key the youngest counts."""
+    key the youngest counts. Only cache rows of keys that are asked for are compared by age."""
     fresh = cache.filter(F.floor((F.unix_timestamp(now) - F.unix_timestamp("modified")) / 86400) < days)
+    fresh = fresh.join(todo.select(key).distinct(), key, "left_semi")
     fresh = fresh.groupBy(key).agg(F.max_by("value", F.struct("modified", "value")).alias("value"))
     return todo.join(fresh.select(key, "value"), key), todo.join(fresh, key, "left_anti")
 

@@ -75,13 +75,14 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys=KEY, cells: int =
     return ends.join(size, keys).select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("quantile"))
 
 
-def soft_gate(signal: DataFrame, strength: float = 0.5, factor: float = 0.3) -> DataFrame:
+def soft_gate(signal: DataFrame, strength: float = 0.5, factor: float = 0.3, floors: DataFrame | None = None) -> DataFrame:
     """Scale samples below the noise threshold by ``factor`` and clip to 16 bit.
 
-    Threshold: 5 % quantile of the magnitude times (1 + strength / 2).
+    Threshold: 5 % quantile of the magnitude times (1 + strength / 2). The quantile is exact, or taken from ``floors``
+    (``series_id, quantile``), such as those that ``sketches.merge_levels`` makes of stored states.
     """
     strength = checked(strength, *BOUNDS["strength"], "strength")
-    floor = exact_quantile(signal.withColumn("_m", F.abs("value")), "_m", 0.05)
+    floor = floors.select(*KEY, "quantile") if floors is not None else exact_quantile(signal.withColumn("_m", F.abs("value")), "_m", 0.05)
     out = join_totals(signal, floor, KEY, ["idx"])
     quiet = F.abs("value") < F.col("quantile") * (1 + strength * 0.5)
     v = F.when(quiet, F.col("value") * factor).otherwise(F.col("value"))

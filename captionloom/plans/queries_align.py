@@ -144,4 +144,18 @@ def translate_batches(t: Tables) -> DataFrame:
 
 @query("run_recordings")
 def run_recordings(t: Tables) -> DataFrame:
-    return pipelines.run_recordings(t.words, t.segments, t.chunk_timing)[1]
+    """All cues of a run, placeholders included, each with the state of its chunk; chunks without a row in the table of
+    starts have no state."""
+    cues, runs = pipelines.run_recordings(t.words, t.segments, t.chunk_timing)
+    return cues.join(runs, CHUNK, "left").select(*CHUNK, "cue_idx", "start_ms", "end_ms", "content", "status", "n_cues", "duration_ms")
+
+
+_RUNS = """select rec_id, chunk_id, case when n > 0 then 'ok' else 'error' end status, coalesce(n, 0) n_chunks, duration_ms from chunk_timing
+ left join (select rec_id, chunk_id, count(distinct chunk_id) n from segments where trim(text) <> '' group by 1, 2) using (rec_id, chunk_id)"""
+
+
+@query("run_status", sql_with("segments chunk_timing", _RUNS))
+def run_status(t: Tables) -> DataFrame:
+    """The state of every chunk of a run; of its cues, whether there are any."""
+    runs = pipelines.run_recordings(t.words, t.segments, t.chunk_timing)[1]
+    return runs.select(*CHUNK, "status", F.least("n_cues", F.lit(1).cast("bigint")).alias("n_chunks"), "duration_ms")

@@ -633,20 +633,26 @@ def _chunk_files(t: Tables) -> str:
     return path
 
 
-_SND = f"""with {_SHOWN}, snd as ({_SOUND}), f as (select distinct rec_id, chunk_id from snd),
- files as (select 'rec' || rec_id project, 'original' subfolder, 'chunk_' || chunk_id || '.srt' file, chunk_id from f
-  union all select 'rec' || rec_id, 'api_llm', 'chunk_' || chunk_id || '.srt', chunk_id from f where rec_id % 2 = 1
-  union all select 'rec' || rec_id, 'original', 'rec' || rec_id || '_merged.srt', null from f where chunk_id = 0 and rec_id % 3 = 0)"""
-
-
-@query("discover_chunks", sql_with("cues", f"{_SND} select project, subfolder, chunk_id from files where chunk_id is not null"))
+# a file's size: its blocks of number, times, content and the line ends between
+_SND = f"""with {_SHOWN}, snd as ({_SOUND}),
+ f as (select rec_id, chunk_id, cast(sum(strlen(content) + length(cast(i as varchar)) + 33) as bigint) size from
+  (select *, row_number() over (partition by rec_id, chunk_id order by start_ms, end_ms) i from snd) group by 1, 2),
+ files as (select 'rec' || rec_id project, 'original' subfolder, 'chunk_' || chunk_id || '.srt' file, chunk_id, size from f
+  union all select 'rec' || rec_id, 'api_llm', 'chunk_' || chunk_id || '.srt', chunk_id, size from f where rec_id % 2 = 1
+  union all select 'rec' || rec_id, 'original', 'rec' || rec_id || '_merged.srt', null, size from f where chunk_id = 0 and rec_id % 3 = 0)"""
+# when a file was written differs from run to run; that it is known does not
+def _timed(column: str):
+    return (F.col(column) > F.lit("2001-01-01").cast("timestamp")).alias("timed")
+
+
+@query("discover_chunks", sql_with("cues", f"{_SND} select project, subfolder, chunk_id, size, true timed from files where chunk_id is not null"))
 def discover_chunks(t: Tables) -> DataFrame:
-    return read.discover_chunks(t.spark, _chunk_files(t)).select("project", "subfolder", "chunk_id")
+    return read.discover_chunks(t.spark, _chunk_files(t)).select("project", "subfolder", "chunk_id", F.col("length").alias("size"), _timed("modificationTime"))
 
 
-@query("catalog", sql_with("cues", f"{_SND} select project, subfolder, file from files"))
+@query("catalog", sql_with("cues", f"{_SND} select project, subfolder, file, size, true timed from files"))
 def catalog(t: Tables) -> DataFrame:
-    return read.catalog(t.spark, _chunk_files(t)).select("project", "subfolder", "file")
+    return read.catalog(t.spark, _chunk_files(t)).select("project", "subfolder", "file", F.col("length").alias("size"), _timed("modificationTime"))
 
 
 @query("subfolders", sql_with("cues", f"{_SND} select distinct project, subfolder from files where chunk_id is not null"))
@@ -654,10 +660,11 @@ def subfolders(t: Tables) -> DataFrame:
     return read.subfolders(read.catalog(t.spark, _chunk_files(t)))
 
 
-@query("catalog_report", sql_with("cues", f"{_SND} select project, subfolder, count(*) n_chunks from files where chunk_id is not null group by 1, 2"))
+@query("catalog_report", sql_with("cues", f"""{_SND} select project, subfolder, count(*) n_chunks, cast(sum(size) as bigint) bytes, true timed
+ from files where chunk_id is not null group by 1, 2"""))
 def catalog_report(t: Tables) -> DataFrame:
     files = read.discover_chunks(t.spark, _chunk_files(t))
-    return quality.catalog_report(files).select("project", "subfolder", "n_chunks")
+    return quality.catalog_report(files).select("project", "subfolder", "n_chunks", "bytes", _timed("latest"))
 
 
 for _mode, _cond in {"api": "(chunk_id is null or project not in (select project from files where chunk_id is null))", "local": "true"}.items():

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import rewrite
-from ..session import new_shared_path
+from ..operators import merge, rewrite, sketches
+from ..session import materialize, new_shared_path
 from ..sources import files, ranges
+from ..streaming import cache as result_cache
 from ..streaming import sessions
 from .fixtures import sql_with
 from .queries_caption import _SHOWN, _SOUND, BLOCK_SQL, _flat, _shown, _t
@@ -132,3 +133,58 @@ def write_files_json(t: Tables) -> DataFrame:
     rows = t.spark.read.schema("index bigint, start string, end string, content string").option("multiLine", "true").option(
         "recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"/rec(\d+)/", 1).cast("bigint").alias("rec_id"), "index", "content")
+
+
+# ------------------------------------------------------------------ profiles from stored states
+
+@query("report_rollup", sql_with("cues", """with k as (select rec_id, chunk_id, cue_idx, start_ms, end_ms, lag(end_ms) over (partition by rec_id order by chunk_id, cue_idx) pe
+  from cues where chunk_id % 3 <> 1 union all select rec_id, chunk_id, cue_idx, start_ms + 700, end_ms + 700, null from cues where chunk_id % 3 = 1),
+ o as (select *, lag(end_ms) over (partition by rec_id order by chunk_id, cue_idx) was from k)
+ select rec_id, count(distinct chunk_id) n_chunks, count(*) n_cues, max(end_ms) max_end_ms, count(*) filter (where start_ms < was) "overlaps", true near from o group by 1"""))
+def report_rollup(t: Tables) -> DataFrame:
+    """The states of all chunks, a third of them replaced by those of new cues, added up per recording."""
+    states = materialize(sketches.chunk_states(t.cues), "states")
+    new = t.cues.where("chunk_id % 3 = 1").withColumns({"start_ms": F.expr("start_ms + 700"), "end_ms": F.expr("end_ms + 700")})
+    states = materialize(sketches.replace_states(states, sketches.chunk_states(new)), "states")
+    both = merge.replace_chunks(t.cues.select(*new.columns), new)
+    exact = both.groupBy("rec_id").agg(F.count_distinct("start_ms").alias("exact"))
+    out = sketches.merge_states(states).join(exact, "rec_id")
+    near = F.abs(F.col("distinct_starts") - F.col("exact")) <= 0.07 * F.col("exact")  # four standard deviations
+    return out.select("rec_id", "n_chunks", "n_cues", "max_end_ms", "overlaps", near.alias("near"))
+
+
+@query("level_rollup", sql_with("signal", "select series_id, count(*) n, round(sqrt(avg(value * value)), 6) rms, true near from signal group by 1"))
+def level_rollup(t: Tables) -> DataFrame:
+    """Levels and the noise floor per series from the states of blocks of 256 samples."""
+    states = materialize(sketches.level_states(t.signal, 256), "levels")
+    floors = sketches.merge_levels(states)
+    m = F.abs("value")
+    rank = t.signal.join(floors.select("series_id", "quantile"), "series_id").groupBy("series_id").agg(
+        (F.count_if(m < F.col("quantile")) / F.count(F.lit(1))).alias("low"), (F.count_if(m <= F.col("quantile")) / F.count(F.lit(1))).alias("high"))
+    near = (F.col("low") <= 0.05 + 0.02) & (F.col("high") >= 0.05 - 0.02)
+    return floors.join(rank, "series_id").select("series_id", "n", F.round("rms", 6).alias("rms"), near.alias("near"))
+
+
+# ------------------------------------------------------------------ a result cache that hits, expires and is compacted
+
+@query("stream_cache", sql_with("words", """with a as (select distinct word k from words where rec_id % 2 = 0), b as (select distinct word k from words where rec_id % 3 = 0)
+ select 0 as batch, k as word, k like 't%' as hit, case when k like 't%' then 'old' else k || '!' end as value from a
+ union all select 1, k, k like 't%' or k in (select k from a), case when k like 't%' then 'old' else k || '!' end from b"""))
+def stream_cache(t: Tables) -> DataFrame:
+    """Two batches of words, the stream started anew for the second, through a cache that holds fresh results for words
+    with t and expired ones for words with a; then the second batch once more, as after a failure."""
+    spark, path, source, out, check = t.spark, *(new_shared_path(t.spark, n) for n in ("cache", "items", "out", "check"))
+    cache = result_cache.ResultCache(spark, path, max_parts=1)
+    words = materialize(t.words.select(F.col("word").alias("key")).distinct(), "vocabulary")
+    for letter, age in (("t", 1), ("a", 8)):
+        day = str(spark.sql(f"select date_sub(current_date(), {age})").first()[0])
+        when = F.expr(f"current_timestamp() - interval {age} days")
+        cache.add(words.where(F.col("key").startswith(letter)).select(
+            "key", F.lit("old").alias("value"), when.alias("modified"), F.lit(-age).cast("bigint").alias("batch")), 0, f"0-{age}", day)
+    mark = lambda d: d.withColumn("value", F.concat("key", F.lit("!")))
+    for n, every in enumerate((2, 3)):
+        t.words.where(F.col("rec_id") % every == 0).select(F.col("word").alias("key")).distinct().write.parquet(f"{source}/{n}")
+        stream = spark.readStream.schema("key string").option("recursiveFileLookup", "true").parquet(source)
+        result_cache.run_cached(stream, cache, mark, out, check)
+    result_cache.cached_step(cache, mark, out)(spark.read.parquet(f"{source}/1"), 1)
+    return spark.read.option("basePath", out).parquet(out).select(F.col("batch").cast("int").alias("batch"), F.col("key").alias("word"), "hit", "value")

@@ -103,7 +103,17 @@ def best_split(t: Tables) -> DataFrame:
     return sg.best_split(_active(t), n.withColumn("target", F.expr("length div 2")), 120)
 
 
-@query("plan_chunks")
+@query("plan_chunks", sql_with("signal", f"""with {_ACTIVE}, lens as (select series_id, max(idx) + 1 len from signal group by 1),
+ pz as (select * from (select series_id, lag(e) over (partition by series_id order by s) pe, s ns from act) where ns > pe),
+ r as (select series_id, len, 0::bigint k, 0::bigint s, 0::bigint e from lens
+  union all select r.series_id, r.len, r.k + 1, r.e, case when r.e + 300 >= r.len or (r.k = 0 and r.len < 150) then r.len else h.cut end
+  from r, lateral (select coalesce(
+    (select arg_max(pe + (ns - pe) // 2, (ns - pe) * 100000000 - pe) from pz where pz.series_id = r.series_id and pe > r.e + 270 and ns < least(r.len, r.e + 330)),
+    (select arg_max(greatest(act.s, r.e + 270) + (least(act.e, r.len, r.e + 330) - greatest(act.s, r.e + 270)) // 2,
+      (least(act.e, r.len, r.e + 330) - greatest(act.s, r.e + 270)) * 100000000 - greatest(act.s, r.e + 270))
+     from act where act.series_id = r.series_id and act.s < least(r.len, r.e + 330) and act.e > r.e + 270),
+    r.e + 300) cut) h where r.e < r.len)
+ select series_id, cast(k as integer) chunk_index, s as start, e as "end", e - s as duration from r where k > 0""", recursive=True))
 def plan_chunks(t: Tables) -> DataFrame:
     return sg.plan_chunks(t.signal, _active(t), 300, 60, 150)
 
