@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -167,10 +168,53 @@ def test_license_rules_in_order(spark):
 
 
 def test_every_known_sentence_has_a_trigger():
-    for text in license_scan.SENTENCES.values():
-        assert regex.search(license_scan.TRIGGER, text)
+    for text in license_scan.SENTENCES:
+        assert regex.search(license_scan.TRIGGER, text), text
     used = {x for _, seq in license_scan.RULES for x in seq}
     assert used <= set(license_scan.known().values())
+    names = [(n, k) for k, each in (license_scan.NAMES | license_scan.OR_LATER).items() for n in each]
+    assert len({n for n, _ in names}) == len(names)  # no name stands for two licenses
+
+
+def test_every_published_text_is_its_license(spark):
+    """As it stands, in capitals, wrapped anew behind comment marks, and after other text."""
+    def wrapped(text):
+        return "\n *\n".join("\n".join(" * " + line for line in textwrap.wrap(part, 60)) for part in regex.split(r"\n\s*\n", text))
+
+    shapes = [lambda t: t, str.upper, wrapped, lambda t: f"Some words before.\n\n{t}\n\nAnd after."]
+    rows = [(i * len(shapes) + k, name, shape(t)) for i, (name, _, _, t) in enumerate(license_scan.PUBLISHED) for k, shape in enumerate(shapes)]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(df).collect()}
+    assert [(name, got[i], t) for i, name, t in rows if got[i] != [name]] == []
+
+
+def test_headers_of_files_in_the_wild(spark):
+    gpl = """# Foo - a program\n# Copyright (C) 2001, 2002 Somebody\n#\n# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,"""
+    gpl3 = """Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+    Software Foundation, either version 3 of the License, or (at your option) any later version."""
+    lgpl = """/* This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General Public
+ License as published by the Free Software Foundation; either\n version 2.1 of the License, or (at your option) any later version. */"""
+    only = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as x."
+    kernel = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+    by the Free Software Foundation; version 2 of the License."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+    regents = """Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:
+1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.\n3. Neither the name of The Regents of the University of X, Inc nor the names of
+   its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+    apache = """// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at\n//\n//     https://www.apache.org/licenses/LICENSE-2.0\n"""
+    cases = [(gpl, ["GPL-2.0-or-later"]), (gpl3, ["GPL-3.0-or-later"]), (lgpl, ["LGPL-2.1-or-later"]), (only, []), (kernel, ["GPL-2.0"]), (mpl, ["MPL-2.0"]),
+             (regents, ["BSD-3-Clause"]), (apache, ["Apache-2.0"]), (gpl + "\n\n" + mpl, ["GPL-2.0-or-later", "MPL-2.0"]),
+             ("Licensed under the EUPL v1.2\n", ["EUPL-1.2"]), ("SPDX-License-Identifier: CC-BY-NC-ND-3.0", ["CC-BY-NC-ND-3.0"]),
+             ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
 
 
 def test_license_odd_rows(odd, nothing):
