@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,40 +38,54 @@ def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
 
 def mark_revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``refers_to`` to the rows of ``payloads``: null for responses, else the id of the response.
+    """Adds ``refers_to`` and ``refers_url`` to the rows of ``payloads``: null for responses, else id and URL of the response.
 
     Headers alone (digest, length, id) are shuffled by digest to find the smallest id of each payload of
     ``min_bytes`` or more, one row a payload and task; the rows then meet their payload's first id in an
     equi-join, which splits where one payload is very common. Null ids never win against others; rows that repeat the
     first id are responses, too.
     """
-    firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes").agg(F.min("id").alias("first"))
+    firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes").agg(
+        F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"))
     marked = rows.join(firsts, ["sha1", "n_bytes"], "left")
-    return marked.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    other = ~F.col("id").eqNullSafe(F.col("first"))
+    return marked.withColumns({"refers_to": F.when(other, F.col("first")), "refers_url": F.when(other, F.col("first_url"))}).drop("first", "first_url")
+
+
+def uri(url: Column) -> Column:
+    """A URL as a header can hold it: blanks and line ends in percent form, other control characters as ``_``."""
+    for char, code in ((" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
+        url = F.replace(url, F.lit(char), F.lit(code))
+    return F.regexp_replace(url, r"[\x00-\x1f\x7f]", "_")
 
 
 def record(date: str) -> Column:
     """The whole record of a row of ``mark_revisits``, as text without the two line ends that close it."""
     revisit = F.col("refers_to").isNotNull()
-    url = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7f]", "_"), F.lit(CRLF)))
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
-    refers = F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: <{URN}"), F.col("refers_to").cast("string"), F.lit(f">{CRLF}"))
+    refers = F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: <{URN}"), F.col("refers_to").cast("string"), F.lit(f">{CRLF}"),
+                      line("WARC-Refers-To-Target-URI", uri(F.col("refers_url"))), F.lit(f"WARC-Refers-To-Date: {date}{CRLF}"))
     return F.concat(
         F.lit(f"{VERSION}{CRLF}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{CRLF}WARC-Record-ID: <{URN}"), F.coalesce(F.col("id").cast("string"), F.lit("")),
-        F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"), F.coalesce(url, F.lit("")), F.when(revisit, refers).otherwise(F.lit("")),
+        F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"), line("WARC-Target-URI", uri(F.col("url"))), F.when(revisit, refers).otherwise(F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.hex("sha1")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"),
         F.lit(CRLF * 2), block,
     )
 
 
-def write_archives(marked: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", max_records: int = 20_000) -> None:
-    """Writes the rows of ``mark_revisits`` as gzipped WARC files below ``path``, ``max_records`` in each at most.
+def write_archives(marked: DataFrame, path: str, date: str | None = None, max_records: int = 20_000) -> None:
+    """Writes the rows of ``mark_revisits`` as gzipped WARC files below ``path``.
 
-    A record ends with two line ends, so the text writer with that separator writes the format itself.
+    A record ends with two line ends, so the text writer with that separator writes the format itself, to any store. A file is
+    what one task holds, cut after ``max_records``: Spark sizes tasks by bytes, so files stay far below the 2 GB that the
+    reader takes unless one payload is that long. A file is one gzip member. ``date`` is the time of the records, now unless
+    given.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     marked.select(record(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
@@ -104,21 +119,28 @@ def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del data[: stop + 4]
 
 
-def _unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The plain bytes, piece by piece; a file may hold any number of gzip members, or none."""
+def _unzipped(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The plain bytes, piece by piece; a file may hold any number of gzip members, or none. The content is fed in slices, so
+    no tail of it is ever copied: the work grows with the file's length."""
     if content[:2] != b"\x1f\x8b":
-        yield content
+        for lo in range(0, len(content), step):
+            yield content[lo : lo + step]
         return
-    rest = content
-    while rest:
-        unzip = zlib.decompressobj(31)
-        piece = unzip.decompress(rest, step)
-        while piece:
+    unzip, fed = zlib.decompressobj(31), False
+    for lo in range(0, len(content), step):
+        data = content[lo : lo + step]
+        while data:
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+            piece = unzip.decompress(data, 4 * step)
+            data = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+            if piece:
+                yield piece
+        fed = True
+        while not unzip.eof and (piece := unzip.decompress(b"", 4 * step)):
             yield piece
-            piece = b"" if unzip.eof else unzip.decompress(unzip.unconsumed_tail, step)
-        if not unzip.eof:
-            raise ValueError("a gzip member is cut off")
-        rest = unzip.unused_data
+    if fed and not unzip.eof:
+        raise ValueError("a gzip member is cut off")
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:

@@ -138,3 +138,37 @@ def test_parser_reads_any_pieces_and_refuses_cut_records():
     assert [b for _, b in warc.parse(warc._unzipped(zipped, 100))] == bodies
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse([data[:-10]]))
+
+
+def test_unzipping_grows_with_the_length_alone():
+    import os
+    import time
+
+    def seconds(n):
+        data = zlib.compress(os.urandom(n), 1, wbits=31)
+        start = time.perf_counter()
+        assert sum(map(len, warc._unzipped(data))) == n
+        return time.perf_counter() - start
+
+    small = min(seconds(8 << 20) for _ in range(3))
+    assert seconds(64 << 20) < 8 * 3 * small + 0.2
+    parts = [os.urandom(k) for k in (0, 1, 70_000, 0, 3 << 20)]
+    data = b"".join(zlib.compress(p, wbits=31) for p in parts)
+    assert all(b"".join(warc._unzipped(data, step)) == b"".join(parts) for step in (100, 4096, 1 << 20))
+    bomb = zlib.compress(b"\0" * (50 << 20), wbits=31)
+    assert max(map(len, warc._unzipped(bomb, 1 << 16))) <= 4 << 16
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc._unzipped(data[:-5], 100))
+
+
+def test_headers_of_records(spark):
+    import datetime as dt
+
+    path = new_shared_path(spark, "warc-heads")
+    warc.write_archives(warc.mark_revisits(warc.payloads(pages(spark, [(2, "http://x/a b\r\nc\td", "same"), (1, "http://first/\x07", "same"), (3, None, "other")]))), path)
+    raw = b"".join(b"".join(warc._unzipped(bytes(r.content))) for r in spark.read.format("binaryFile").load(path).collect())
+    heads = {h["warc-record-id"]: h for h, _ in warc.parse([raw])}
+    assert heads["<urn:record:2>"]["warc-target-uri"] == "http://x/a%20b%0D%0Ac%09d"
+    assert heads["<urn:record:2>"]["warc-refers-to-target-uri"] == "http://first/_" and "warc-target-uri" not in heads["<urn:record:3>"]
+    age = dt.datetime.now(dt.timezone.utc) - dt.datetime.fromisoformat(heads["<urn:record:1>"]["warc-date"].replace("Z", "+00:00"))
+    assert dt.timedelta(0) <= age < dt.timedelta(minutes=10)
