@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import column, mix64, slices
+from .common import WORD, column, mix64, slices
 
 #: Tokens that a traversal reads in one go; longer texts are read in pieces side by side.
 PIECE = 256
+#: Bits of a gram's key beyond those that number all grams. With the number of chunks they make the size of a list.
+SPARE = 15
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0x100000001B3)
 _INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -128,12 +129,13 @@ class Automaton:
     base: list[int]  # number of the first arc, and state, of each order
 
 
-def automaton(grams: Grams, totals: list[np.ndarray], n_all: int, n_types: int, backoff: float, concentration: float) -> Automaton:
+def automaton(grams: Grams, totals: list[np.ndarray], n_all: int, backoff: float, concentration: float) -> Automaton:
     """The part of the model's automaton that a chunk's texts can visit, from the totals of its grams.
 
     A context h that was left c(h) times gives its word w the weight (1 - b) c(h, w) / (c(h) + m) + f(h) p(w | h'), with h' the
     context without its first token and f(h) = b + (1 - b) m / (c(h) + m) the weight of its failure arc; the root
-    gives (c(w) + 1) / (N + V + 1). So what may follow a state adds up to 1.
+    gives c(w) / (N + 1) to words seen in training and 1 / (N + 1) to all others together. So what may follow a state
+    adds up to 1.
     """
     order = len(totals)
     base = np.cumsum([1, *map(len, totals)]).tolist()
@@ -146,7 +148,7 @@ def automaton(grams: Grams, totals: list[np.ndarray], n_all: int, n_types: int,
         state = np.where(leads, np.arange(base[k - 1], base[k]), 0)
         known[mine] = total > 0 if k > 1 else True
         if k == 1:
-            p = (total + 1.0) / (n_all + n_types + 1.0)
+            p = np.maximum(total, 1.0) / (n_all + 1.0)
         else:
             context, shorter = grams.at[k - 2][end - 1], grams.at[k - 2][end]
             left = totals[k - 2][context] + concentration
@@ -205,7 +207,7 @@ def _from_planes(data) -> np.ndarray:
 
 
 def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.5,
-          concentration: float = 20.0, chunk_bytes: int = 4 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
+          concentration: float = 20.0, chunk_bytes: int = 3 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
     """One row per document: ``(id_col, n_tokens, n_known, train_tokens, base_score, score)``.
 
     ``trained``: name of a boolean column, true for the documents the model learns from. Tokens: words with A-Z lower-cased,
@@ -215,22 +217,23 @@ def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str =
 
     Counts cover every training text, and no table of them is ever whole in one place: texts are shuffled once, into
     chunks; each chunk lists its distinct grams with its own counts, the lists are cut by order and key range, a range's
-    lists are added up, and each chunk gets back the totals of its own grams, which is all that its part of the
-    automaton takes. Chunks are sized by the text's bytes, ranges by the number of keys, and a gram has at most one
+    lists are added up, and each chunk gets back what the others have of its own grams, which is all that its part of
+    the automaton takes. Chunks are sized by the text's bytes, ranges by the number of keys, and a gram has at most one
     entry a chunk, however common it is.
 
     Null and empty texts are an end alone. Null ids and repeated rows are scored like others, the latter each time. With no
     training text all counts are 0 and every token has probability 1. An empty table gives an empty result. Words are
     told apart by 63 bits of hash, so ``n_known`` and ``base_score`` are exact but for a collision among them;
-    longer grams by 24 bits more than it takes to number them, so about one in 16 million meets another. A chunk
+    longer grams by ``SPARE`` bits more than it takes to number them, so about one in 32,000 meets another. A chunk
     holds its texts, one at least: some 100 bytes a byte of text, so texts of up to about 10 MB fit an
     executor's worker of 1 GB.
     """
     if order < 2:
         raise ValueError("the model takes grams of 2 words or more")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(trained), F.lit(False)).alias("trained"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(63, 24 + max(1, (size // 4).bit_length()))
+    n_tokens = F.when(F.col("trained"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1)
+    size, n_all = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(n_tokens), F.lit(0))).first()
+    bits = min(63, max(40, SPARE + (size // 4).bit_length()))
     chunks, ranges = 1 + size // chunk_bytes, 1 + size // (6 * bucket_keys)
     # rows alike in all are dealt by the partition they lie in
     chunk = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
@@ -257,37 +260,36 @@ def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str =
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(at, counts, len(keys)).astype(np.int64)
         edges = np.cumsum([0, *map(len, lists)])
-        parts = [_planes(total[at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
-        n = np.zeros((2, len(parts)), np.int64)  # tokens and types of the range, with its first part
+        others = total[at] - counts.astype(np.int64)  # mostly nothing, as most long grams are of one chunk
+        parts = [_planes(others[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        types = np.zeros(len(parts), np.int64)  # words of the range, with its first part
         if key[0].as_py() < ranges:
-            words = total[keys != START >> np.uint64(1)]
-            n[:, 0] = words.sum(), np.count_nonzero(words)
-        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary()), pa.array(n[0]), pa.array(n[1])],
-                        names=["bucket", "chunk", "totals", "n_tokens", "n_types"])
+            types[0] = np.count_nonzero(total[keys != START >> np.uint64(1)])
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(parts, pa.binary()), pa.array(types)],
+                        names=["bucket", "chunk", "others", "n_types"])
 
     lists = dealt.groupBy("chunk").applyInArrow(listed, "bucket bigint, chunk int, keys binary, counts binary")
-    totals = materialize(lists.groupBy("bucket").applyInArrow(added, "bucket bigint, chunk int, totals binary, n_tokens bigint, n_types bigint"), "gram-totals")
-    n_all, n_types = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    totals = lists.groupBy("bucket").applyInArrow(added, "bucket bigint, chunk int, others binary, n_types bigint")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         grams = grams_of(left, order, bits)
-        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True), key=lambda p: p[0])
+        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("others"), strict=True), key=lambda p: p[0])
         flat = np.concatenate([_from_planes(t.as_buffer()) for _, t in parts]).astype(np.int64)
         edges = np.cumsum([0, *map(len, grams.keys)])
         assert len(flat) == edges[-1], "a chunk's totals don't fit its grams"
-        counts = [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        machine = automaton(grams, counts, n_all, n_types, backoff, concentration)
-        each = traverse(machine, grams)
-        word = counts[0][grams.at[0]]
-        root = np.log10((word + 1.0) / (n_all + n_types + 1.0))
-        root[grams.starts], word[grams.starts] = 0, 0
-        begin = grams.starts
-        each[begin] = 0
+        counts = [own + flat[a:b] for own, a, b in zip(grams.counts, edges, edges[1:], strict=False)]
+        each = traverse(automaton(grams, counts, n_all, backoff, concentration), grams)
+        word, begin = counts[0][grams.at[0]], grams.starts
+        each[begin], word[begin] = 0, 0
         return pa.table([
             left.column("id"), pa.array(np.diff(np.append(begin, len(word))) - 1), pa.array(np.add.reduceat((word > 0).astype(np.int64), begin)),
-            pa.array(np.add.reduceat(root, begin)), pa.array(np.add.reduceat(each, begin)),
-        ], names=["id", "n_tokens", "n_known", "base_score", "score"])
-
-    out = dealt.groupBy("chunk").cogroup(totals.select("bucket", "chunk", "totals").groupBy("chunk")).applyInArrow(
-        scored, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), "base_score", "score")
+            pa.array(np.add.reduceat(np.log10(word + 1.0), begin)), pa.array(np.add.reduceat(each, begin)),
+        ], names=["id", "n_tokens", "n_known", "logs", "score"])
+
+    out = dealt.groupBy("chunk").cogroup(totals.select("bucket", "chunk", "others").groupBy("chunk")).applyInArrow(
+        scored, f"id {kind}, n_tokens bigint, n_known bigint, logs double, score double")
+    # the number of words is known when all ranges are added up: a scalar subquery on the same shuffled lists
+    n_types = totals.agg(F.coalesce(F.sum("n_types"), F.lit(0)).alias("n_types")).scalar()
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n_all)) + n_types + 1.0)
+    return out.select(
+        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

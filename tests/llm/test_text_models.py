@@ -237,13 +237,13 @@ def plain_scores(rows, order=3, b=0.5, m=20.0):
 
     def p(context, x):
         if not context:
-            return (ones.get((x,), 0) + 1) / (n + v + 1)
+            return max(1, ones.get((x,), 0)) / (n + 1)
         left = counts[context]
         return (1 - b) * counts[(*context, x)] / (left + m) + (b + (1 - b) * m / (left + m)) * p(context[1:], x)
 
     out = []
     for (i, _, _), (w, _) in zip(rows, words, strict=True):
-        base = sum(math.log10(p((), x)) for x in w[1:])
+        base = sum(math.log10((ones.get((x,), 0) + 1) / (n + v + 1)) for x in w[1:])
         total = sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w)))
         out.append((i, len(w) - 1, sum((x,) in ones for x in w[1:]), n, round(base, 5), round(total, 5)))
     return Counter(out)
@@ -281,8 +281,7 @@ def test_arcs_and_failure_arcs_of_the_automaton():
             words[at] = w
             at += 1
     n = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<",))
-    v = len([g for g in counts if len(g) == 1 and g != ("<",)])
-    machine = lm_score.automaton(grams, grams.counts, n, v, 0.5, 20.0)
+    machine = lm_score.automaton(grams, grams.counts, n, 0.5, 20.0)
     name = {0: ()}
     for k in range(3):
         for i, end in enumerate(grams.place[k]):
@@ -291,7 +290,7 @@ def test_arcs_and_failure_arcs_of_the_automaton():
 
     def p(c, x):
         if not c:
-            return (counts[(x,)] + 1) / (n + v + 1)
+            return max(1, counts[(x,)]) / (n + 1)
         return 0.5 * counts[(*c, x)] / (counts[c] + 20) + (0.5 + 0.5 * 20 / (counts[c] + 20)) * p(c[1:], x)
 
     for arc, g in name.items():
@@ -326,7 +325,7 @@ def test_what_follows_a_state_adds_up_to_one(spark):
     assert all(got[i] == pytest.approx(plain[i][5], abs=1e-4) for i in got)
     grams = lm_score.grams_of(pa.table({"text": [t for _, t in rows] + [f"a b {w}" for w in words], "trained": [True] * 4 + [False] * 4}), 3, 40)
     ones = Counter(x for _, t in rows for x in [*t.split(), ">"])
-    machine = lm_score.automaton(grams, grams.counts, sum(ones.values()), len(ones), 0.5, 20.0)
+    machine = lm_score.automaton(grams, grams.counts, sum(ones.values()), 0.5, 20.0)
     each = lm_score.traverse(machine, grams)
     follows = {w: each[grams.starts[4 + k] + 3] for k, w in enumerate(words)}
     follows[">"] = each[grams.starts[2] + 4]  # "c a b" ends after "a b"
