@@ -14,29 +14,47 @@ from captionloom.session import new_shared_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier chain does not call toxic. It learns from the labels of ``sf_dir``."""
+    """Documents the classifier chain does not call toxic. It learns from the labels of ``sf_dir``.
+
+    Null and empty texts are never toxic and stay, as do rows with null ids; rows that repeat are judged each, alike. Without a
+    label that fits a document nothing is learned and ``ValueError`` says so; an empty table stays empty. A text
+    of any length is judged whole; those over ``max_text`` bytes are not learned from.
+    """
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.default_categories())
     return toxicity.drop_toxic(docs, chain)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts (A-Z lower-cased, null as empty), one row: that of the largest id. Rows without an id stay only where no other
+    row has their text; of rows that share id and text, the one of least hash of all columns stays. An empty table stays
+    empty; of a text of any length only its digests travel with the decision."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of 2 or fewer differing bits, the one with the smallest id. Most pairs of a
-    similarity of 0.8 differ in more bits and stay (measured recall in the README)."""
+    """Of documents linked by fingerprints of 2 or fewer differing bits, one row: that of the smallest id. Most pairs of a
+    similarity of 0.8 differ in more bits and stay (measured recall in the README).
+
+    Texts without a word, null ones too, have fingerprint zero and are linked like any other. Rows without an id stay only where
+    their group has no id; of rows that share the id, the one of least hash of all columns stays. An empty table
+    stays empty. A text is held whole while its words are hashed.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the copies are whole rows, ids included."""
+    """Every document as often as the mix takes it; the copies are whole rows, ids included.
+
+    Null texts have size 0 and are taken or not like others, null sources are one source, rows with null or shared ids are
+    documents of their own, and rows alike in all columns are taken together. An empty table stays empty. Of a text only its
+    number of words travels with the decision.
+    """
     return mixing.mixed(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row a row: null ids and repeats as they come, null and
+    empty texts without tokens, an empty table without rows. Long texts are encoded in pieces."""
     import public_tokenizers
 
     return bpe.digested(docs, bpe.read_ranks(bpe.default_path()), public_tokenizers.PATTERN)
