@@ -16,9 +16,9 @@ from captionloom.session import new_shared_path
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier chain does not call toxic. It learns from the labels of ``sf_dir``.
 
-    Null and empty texts are never toxic and stay, as do rows with null ids; rows that repeat are judged each, alike. Without a
-    label that fits a document nothing is learned and ``ValueError`` says so; an empty table stays empty. A text
-    of any length is judged whole; those over ``max_text`` bytes are not learned from.
+    Null and empty texts have no words and stay, null ids are judged like others, and rows that repeat alike. Without labels
+    nothing is toxic; where labels exist, but none is of a document, ``ValueError`` says so. An empty table stays empty. A
+    text of any length is judged whole; those over ``max_text`` bytes are not learned from.
     """
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.default_categories())
     return toxicity.drop_toxic(docs, chain)
