@@ -373,6 +373,8 @@ def _cascade(text: Column, profile: str, max_chars: int, bounds: Column | None =
             tries.insert(2, F.when(F.size(bounds) > 0, split_at_bounds(F.split(text, " "), bounds, max_chars)))
     elif profile == "b":
         tries = [split_grammar(text, max_chars)]
+        if bounds is not None:
+            tries.insert(0, F.when(F.size(bounds) > 0, split_at_bounds_merging(F.split(text, " "), bounds, max_chars)))
     elif profile == "c":
         tries = [split_greedy_after(text, max_chars)]
     elif profile == "d":
@@ -383,7 +385,7 @@ def _cascade(text: Column, profile: str, max_chars: int, bounds: Column | None =
         raise ValueError(f"unknown profile {profile!r}")
     if profile in "bc":
         # these two accept a try only when every part fits
-        tries = [let(t, lambda p: F.when(F.forall(p, lambda x: F.length(x) <= max_chars), p).otherwise(_one(text))) for t in tries]
+        tries = [let(t, lambda p: F.when(p.isNotNull() & F.forall(p, lambda x: F.length(x) <= max_chars), p).otherwise(_one(text))) for t in tries]
     return F.coalesce(*[let(t, lambda x: F.when(F.size(x) > 1, x)) for t in tries], pack_words(text, max_chars))
 
 
@@ -398,12 +400,12 @@ def enforce_length(
 ) -> DataFrame:
     """Split every text longer than ``max_chars`` by the rules of a profile; adds ``part_idx`` and ``part``.
 
-    ``a``: sentence ends, commas, balanced cut, words; applied twice. ``b``: grammar, words.
-    ``c``: greedy cuts after grammar points, words. ``d``: conjunctions, punctuation, semantic, words.
+    ``a``: sentence ends, commas, balanced cut, words; applied twice. ``b``: recognizer boundaries,
+    grammar, words. ``c``: greedy cuts after grammar points, words. ``d``: conjunctions, punctuation, semantic, words.
     ``plain``: sentence ends, commas, words; applied twice. ``before`` may give a first try as
     ``array<string>`` (cuts at pauses). ``bounds`` gives recognizer boundaries inside the text as token offsets;
-    profile ``a`` cuts there after commas and before the balanced cut, in parts of the text as well. Parts that
-    are still too long are finally packed by words, unless ``compat``.
+    profile ``a`` cuts there after commas and before the balanced cut, in parts of the text as well, profile ``b`` before
+    anything but ``before``. Parts that are still too long are finally packed by words, unless ``compat``.
     """
     source = strip(F.col(text))
     fits = F.length("_t") <= max_chars

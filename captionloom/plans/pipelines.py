@@ -125,11 +125,12 @@ def pause_captions(
     words: DataFrame, max_chars: int = 80, max_gap_ms: int = 3000, compat: bool = False,
     model: Callable[[Column], Column] | None = None, keys: Sequence[str] = CHUNK,
 ) -> DataFrame:
-    """Pause-aware variant: utterances, sentences inside them, pause and grammar cuts, free-window alignment,
-    two-second fallback, ends clipped to the last word."""
+    """Pause-aware variant: utterances, sentences inside them, cuts at pauses, recognizer boundaries (where ``words`` have a
+    ``seg_idx``) and grammar, free-window alignment, two-second fallback, ends clipped to the last word."""
     keys = list(keys)
     utts = segment.split_by_gap(words, max_gap_ms, keys, depth=1)
-    listed = F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms")))
+    known = ["seg_idx"] if "seg_idx" in words.columns else []
+    listed = F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms", *known)))
     texts = utts.groupBy(*keys, "utt_id").agg(listed.alias("ws")).withColumn(
         "text", F.array_join(F.transform("ws", lambda w: w["word"]), " "))
     cut = model or segment.sentences_by_rule_caps
@@ -141,7 +142,11 @@ def pause_captions(
         "ws", F.slice("ws", (F.col("_end") - n + 1).cast("int"), n))
     sents = sents.withColumn("sent_idx", F.col("utt_id") * F.lit(1 << 32) + F.col("_i")).drop("_i", "_end", "utt_id")
     pauses = split.split_by_pauses(F.col("ws"), 1000, 10, compat)
-    parts = bounded_sentences(sents, max_chars, "b", compat, pauses).drop("ws")
+    bounds = None
+    if known:  # a word of another segment than the one before it
+        places = F.when(F.size("ws") > 1, F.sequence(F.lit(1), F.size("ws") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        bounds = F.filter(places, lambda i: F.get("ws", i)["seg_idx"] != F.get("ws", i - 1)["seg_idx"])
+    parts = bounded_sentences(sents, max_chars, "b", compat, pauses, bounds).drop("ws")
     out = _fallback(align.align_unused_robust(parts, words, keys), words, "b", keys)
     return timing.clip_to_end(out, words, keys)
 
