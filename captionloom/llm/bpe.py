@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, texts_of
 
-#: A worker's memory of pieces seen: characters of a piece, bytes in all, and what an entry takes beside its text and ids.
-PIECE_BYTES, MEMORY, ENTRY_BYTES = 64, 48 << 20, 230
+#: A worker's memory of pieces seen: characters of a piece, and bytes in all.
+PIECE_BYTES, MEMORY = 64, 192 << 20
 #: Bytes of text that are in work at a time, and characters from which a text is split in several lists.
 SLICE, LONG_TEXT = 1 << 20, 1 << 20
 
@@ -34,7 +34,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
     The leaves of a segment tree are byte positions. A live position's leaf holds the rank of the pair that
     starts there times the number of positions, plus the position, so the root is the leftmost of the least
-    ranks. A merge changes three leaves at most: the pair itself, the pair before it, and the one swallowed.
+    ranks. A merge changes three leaves at most, each with its way to the root as far as that changes: the pair
+    itself, the one swallowed, and the pair before it.
     """
     whole = ranks.get(piece)
     if whole is not None:
@@ -42,42 +43,41 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []
-    width = 1 << (n - 1).bit_length()
-    none = (1 << 62)
-    get = ranks.get
-    tree = [none] * (2 * width)
-    end = list(range(1, n + 1))  # where the part at a position ends
-    before = list(range(-1, n - 1))  # where the part before it starts
+    get, none = ranks.get, 1 << 62
+    tree = [none] * n
     for i in range(n - 1):
         r = get(piece[i : i + 2])
-        if r is not None:
-            tree[width + i] = r * width + i
-    for k in range(width - 1, 0, -1):
+        tree.append(none if r is None else r * n + i)
+    tree.append(none)
+    for k in range(n - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    while (best := tree[1]) != none:
-        i = best % width
+    end = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    best = tree[1]
+    while best != none:
+        i = best % n
         j = end[i]
         end[i] = e = end[j]
-        value = none
         if e < n:
             before[e] = i
             r = get(piece[i : end[e]])
-            if r is not None:
-                value = r * width + i
-        changes = [(i, value)]
-        if tree[width + j] != none:
-            changes.append((j, none))
-        p = before[i]
-        if p >= 0:
-            r = get(piece[p:e])
-            value = none if r is None else r * width + p
-            if tree[width + p] != value:
-                changes.append((p, value))
-        for leaf, value in changes:
-            k = width + leaf
-            tree[k] = value
+            value = none if r is None else r * n + i
+        else:
+            value = none
+        k = n + i
+        tree[k] = value
+        k >>= 1
+        while k:
+            a, b = tree[2 * k], tree[2 * k + 1]
+            least = a if a < b else b
+            if tree[k] == least:
+                break
+            tree[k] = least
+            k >>= 1
+        k = n + j
+        if tree[k] != none:
+            tree[k] = none
             k >>= 1
             while k:
                 a, b = tree[2 * k], tree[2 * k + 1]
@@ -86,6 +86,22 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     break
                 tree[k] = least
                 k >>= 1
+        q = before[i]
+        if q >= 0:
+            r = get(piece[q:e])
+            value = none if r is None else r * n + q
+            k = n + q
+            if tree[k] != value:
+                tree[k] = value
+                k >>= 1
+                while k:
+                    a, b = tree[2 * k], tree[2 * k + 1]
+                    least = a if a < b else b
+                    if tree[k] == least:
+                        break
+                    tree[k] = least
+                    k >>= 1
+        best = tree[1]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -94,24 +110,25 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids of the pieces seen lately; a new one is merged when asked for. Two generations of half of
-    ``MEMORY`` each: a piece met again moves to the young one, and a full young one replaces the old."""
+    """What ``make`` gives for the ids of the pieces seen lately; a new piece is merged when asked for. Two generations of half
+    of ``MEMORY`` each: a piece met again moves to the young one, and a full young one replaces the old."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], make: Callable[[list[int]], object] = lambda ids: ids, entry_bytes: int = 280):
         super().__init__()
-        self.ranks, self.old, self.used = ranks, {}, 0
+        self.ranks, self.make, self.entry_bytes = ranks, make, entry_bytes
+        self.old, self.used = {}, 0
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = merge_piece(piece.encode(), self.ranks)
+    def __missing__(self, piece: str):
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(merge_piece(piece.encode(), self.ranks))
         if len(piece) <= PIECE_BYTES:
-            self.used += ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
+            self.used += self.entry_bytes + 4 * len(piece)
             if 2 * self.used > MEMORY:
                 self.old, self.used = dict(self), 0
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = got
+        return got
 
 
 def pieces_of(pattern: str) -> Callable[[str], Iterator[list[str]]]:
@@ -196,19 +213,19 @@ def digested(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids_of = pieces_of(pattern), Pieces(ranks).__getitem__
-        bytes_of = token_bytes(ranks)
-        name_of, bytes_of = [str(i) for i in range(len(bytes_of))].__getitem__, bytes_of.__getitem__
+        split, bytes_of = pieces_of(pattern), token_bytes(ranks).__getitem__
+        # of a piece: its ids as text, their number, and what they decode to
+        known = Pieces(ranks, lambda ids: (",".join(map(str, ids)), len(ids), b"".join(map(bytes_of, ids))), 460).__getitem__
         for part in slices(batches, "text", SLICE):
             counts, codes, texts = [], [], []
             for t in texts_of(part):
                 n, code, text = 0, hashlib.sha256(), hashlib.sha256()
                 for pieces in split(t):
-                    ids = list(chain.from_iterable(map(ids_of, pieces)))
-                    if ids:
-                        code.update((("," if n else "") + ",".join(map(name_of, ids))).encode())
-                        text.update(b"".join(map(bytes_of, ids)))
-                    n += len(ids)
+                    if pieces:
+                        ids, sizes, decoded = zip(*map(known, pieces), strict=True)
+                        code.update((("," if n else "") + ",".join(ids)).encode())
+                        text.update(b"".join(decoded))
+                        n += sum(sizes)
                 counts.append(n)
                 codes.append(code.hexdigest())
                 texts.append(text.hexdigest())
