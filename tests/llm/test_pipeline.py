@@ -74,7 +74,7 @@ def test_stages_take_odd_rows_and_nothing(spark, odd, nothing):
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(queries.SQL[name])
     columns = [c[0] for c in cur.description]
