@@ -14,8 +14,9 @@ from .common import WORD, column, mix64, slices
 
 #: Tokens that a traversal reads in one go; longer texts are read in pieces side by side.
 PIECE = 256
-#: Bits of a gram's key beyond those that number all grams. With the number of chunks they make the size of a list.
-SPARE = 15
+#: Bits of a gram's key beyond those that number all grams. With the number of chunks they make the size of a list: here, three
+#: bytes an entry up to some gigabytes of text.
+SPARE = 12
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0x100000001B3)
 _INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -207,7 +208,7 @@ def _from_planes(data) -> np.ndarray:
 
 
 def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.5,
-          concentration: float = 20.0, chunk_bytes: int = 3 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
+          concentration: float = 20.0, chunk_bytes: int = 4 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
     """One row per document: ``(id_col, n_tokens, n_known, train_tokens, base_score, score)``.
 
     ``trained``: name of a boolean column, true for the documents the model learns from. Tokens: words with A-Z lower-cased,
@@ -224,7 +225,7 @@ def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str =
     Null and empty texts are an end alone. Null ids and repeated rows are scored like others, the latter each time. With no
     training text all counts are 0 and every token has probability 1. An empty table gives an empty result. Words are
     told apart by 63 bits of hash, so ``n_known`` and ``base_score`` are exact but for a collision among them;
-    longer grams by ``SPARE`` bits more than it takes to number them, so about one in 32,000 meets another. A chunk
+    longer grams by ``SPARE`` bits more than it takes to number them, so about one in 8,000 meets another. A chunk
     holds its texts, one at least: some 100 bytes a byte of text, so texts of up to about 10 MB fit an
     executor's worker of 1 GB.
     """
