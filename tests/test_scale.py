@@ -192,6 +192,15 @@ def test_srt_files_in_ranges_equal_whole_files(spark, tmp_path):
     assert packed.count() == 3 * len(whole(spark, SRT))
 
 
+def test_many_ranges_share_tasks():
+    runs = [(f"f{k}", 0, k % 20000, 4096) for k in range(30000)] + [("long", 0, 1 << 30, 64 << 20), ("whole.gz", 0, 9 << 30, 9 << 30)]
+    parts = ranges.dealt(runs)
+    got = [(s.file, s.low, s.high) for part in parts for s in part]
+    assert got == [(file, lo, min(lo + step, high)) for file, _, high, step in runs for lo in range(0, max(1, high), step)]
+    assert len(parts) < 500  # 88,000 ranges
+    assert [len(list(p)) for p in ranges.dealt(runs[:100])] == [1] * 100 and ranges.dealt([]) == []
+
+
 def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
     data = gzip.compress(SRT.encode() * 50)
     with open(f"{tmp_path}/cut.srt.gz", "wb") as f:
