@@ -7,6 +7,7 @@ import os
 import struct
 import wave
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -80,6 +81,35 @@ def test_rewriting_one_chunk_leaves_the_others(spark, tmp_path):
     assert sorted(r.content for r in read.read_srt(spark, out).collect()) == ["new1", "old0"]
 
 
+def test_small_chunks_are_one_plain_file_each(spark, tmp_path):
+    """No checksum file beside it, and folders of any earlier parts replaced as a whole."""
+    kinds = "rec_id bigint, chunk_id int, cue_idx bigint, start_ms bigint, end_ms bigint, content string"
+    cues = spark.createDataFrame([(r, c, k, 10 * k, 10 * k + 9, f"{r} {c} {k}") for r in range(3) for c in range(4) for k in range(5)], kinds).repartition(5)
+    out = f"{tmp_path}/chunks"
+    put(f"{out}/rec_id=1/chunk_id=2/part-old-7.txt", "1\n00:00:00,000 --> 00:00:00,010\nstale\n")
+    write.write_chunks(cues, out)
+    found = sorted(os.path.relpath(os.path.join(d, f), out) for d, _, names in os.walk(out) for f in names)
+    assert found == [f"rec_id={r}/chunk_id={c}/part-00000.txt" for r in range(3) for c in range(4)]
+    assert open(f"{out}/rec_id=1/chunk_id=2/part-00000.txt").read().startswith("1\n00:00:00,000 --> 00:00:00,009\n1 2 0\n\n2\n")
+    assert sorted(r.content for r in read.read_srt(spark, out).collect()) == sorted(r.content for r in cues.collect())
+    timing = cues.select("rec_id", F.expr("chunk_id * 10 + cue_idx").alias("chunk_id"), "start_ms", "end_ms", F.lit(9).alias("duration_ms"))
+    write.write_chunk_timing(timing, f"{tmp_path}/w")
+    assert sorted(f for _, _, names in os.walk(f"{tmp_path}/w") for f in names) == ["part-00000.json"] * 3
+    assert read.read_chunk_timing(spark, f"{tmp_path}/w", lines=True).count() == 60
+    with pytest.raises(Exception):
+        write.write_chunk_timing(timing, f"{tmp_path}/w")
+
+
+def test_readers_of_small_files_leave_the_session_alone(spark):
+    from captionloom.session import small_files_session
+
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    small = small_files_session(spark)
+    assert spark.conf.get(key) == before and int(small.conf.get(key)) < 1 << 20
+    assert small.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
 def test_manifest_glossary_transcripts(spark, tmp_path):
     put(f"{tmp_path}/m/recA/chunk_timing.json", json.dumps([dict(chunk_index=1, start_time_ms=0, end_time_ms=5, duration_ms=5)], indent=4))
     assert rows(read.read_chunk_timing(spark, f"{tmp_path}/m")) == [("recA", 1, 0, 5, 5)]
