@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +55,18 @@ def dropped_positions(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return lost.groupBy("__row1", "__row2").agg(F.collect_set("pos").alias("gone"))
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    out = []
-    for t, g in zip(text, gone, strict=True):
-        if t is None or g is None:
-            out.append(None)
-            continue
-        drop = set(g.tolist())
-        out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
-    return pd.Series(out, dtype=object)
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines at the positions ``gone``: the runs of lines between them, each line copied once."""
+
+    def kept(v: Column) -> Column:
+        lines, at = v["lines"], v["at"]
+        starts = F.concat(F.array(F.lit(-1)), at)
+        ends = F.concat(at, F.array(F.size(lines)))
+        runs = F.zip_with(starts, ends, lambda a, b: F.when(b - a > 1, F.array_join(F.slice(lines, a + 2, F.greatest(b - a - 1, F.lit(0))), "\n")))
+        return F.array_join(runs, "\n")  # leaves out the runs without a line
+
+    held = F.struct(F.split(text, "\n", -1).alias("lines"), F.array_sort(gone).alias("at"))
+    return F.get(F.transform(F.array(held), kept), F.lit(0))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -73,12 +75,10 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = materialize(repeated_lines(lines, min_docs), "repeated-lines")
     gone = dropped_positions(lines, repeated)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.pandas_udf(_without, "string")
     marked = docs.select("*", *_row_mark(id_col, text)).join(gone, ["__row1", "__row2"], "left")
-    # only texts that lose lines go through Python
-    return marked.withColumn("__cut", cut(F.when(F.col("gone").isNotNull(), text), F.col("gone"))).select(
+    return marked.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("gone").isNull(), text).otherwise(F.col("__cut")).alias("__kept"),
+        F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))).alias("__kept"),
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("__n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("__n_dropped"),
     )

@@ -209,3 +209,17 @@ def test_negatives_of_large_components(spark):
     r = random.Random(9)
     rows = [(i, i % 3, [r.uniform(-4e5, 4e5) if i % 5 else 4e5 for _ in range(5)]) for i in range(80)]
     assert check_negatives(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"), every=4) > 20
+
+
+def test_lines_are_dropped_without_python(spark):
+    """Every choice of lines of a text, empty ones included, and a plan in which no Python worker takes memory."""
+    lines = ["", "a", "", "ü\t", "b", ""]
+    data = [("\n".join(lines), [i for i in range(6) if mask >> i & 1][::-1]) for mask in range(64)] + [("", [0]), ("x", []), ("long\n" * 50_000, list(range(1, 50_000, 2)))]
+    df = spark.createDataFrame(data, "text string, gone array<int>")
+    got = df.select("text", "gone", line_dedup._without(F.col("text"), F.col("gone")).alias("kept")).collect()
+    assert len(got) == 67
+    for r in got:
+        gone = set(r.gone)
+        assert r.kept == "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone)
+    plan = line_dedup.line_dedup(df.select(F.lit(1).alias("doc_id"), "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
