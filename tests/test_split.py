@@ -233,3 +233,20 @@ def test_captions_use_segment_borders(spark):
     out = pipelines.captions(w, segs).orderBy("sent_idx").collect()
     assert [r.text.split() for r in out] == [said[:7], said[7:14], said[14:]]
     assert [(r.start_ms, r.end_ms) for r in out] == [(0, 690), (700, 1390), (1400, 1990)]
+
+
+def test_repeated_words_in_long_texts(spark):
+    """The search for a repeated word stays within the reach of the first cut; it took minutes over these texts."""
+    word = lambda k: "".join(chr(98 + int(d)) for d in f"{k:06d}")
+    far = " ".join(word(k) for k in range(6000))  # no word comes twice
+    late = far + " xq yy zz xq " + word(9)
+    first = "one two three four five xq six seven eight xq nine ten eleven twelve"
+    texts = [far, late, first, first.replace(" ", "\u00a0 \t"), "Ünder a b c d e f g h i ÜNDER rest of this text goes on", "a a", "x. a b c. a b c", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    # 6,000 words tried against all of the rest would be 10^9 steps a text
+    got = {r.i: r.p for r in df.select("i", split.split_semantic(F.col("text"), MAX).alias("p")).collect()}
+    assert got[0] == [far] and got[1] == [late]
+    small = [(i, x) for i, x in enumerate(texts) if len(x) < 1000]
+    old = spark.createDataFrame(small, "i int, text string").select("i", split._first_split(
+        lambda x: [split.split_greedy_before(x, p, MAX) for p in split.SEMANTIC], F.col("text")).alias("p")).collect()
+    assert {r.i: r.p for r in old} == {i: got[i] for i, _ in small} and len(got[2]) > 1
