@@ -287,3 +287,22 @@ def test_anomaly_labels(spark):
     full = quality.anomalies(df, width=2).first().labels
     assert full == ["repeated_segments(2)", "long_segments(1)", "zero_duration(1)", "fragmented(3/6)", "single_chars(3)", "overlaps(1)"]
     assert "single_chars(3)" not in quality.anomalies(df, variant="plain").first().labels
+
+
+def test_token_scores_by_their_definition():
+    """Contained or containing .8, alike .6, equal 1; the pieces of a token are looked up and not searched in all words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcü𝄞") for _ in range(rng.randint(1, 8)))
+    for _ in range(40):
+        norms = [word() for _ in range(60)]
+        chunk = align._Chunk(norms)
+        for tok in [word() for _ in range(20)] + norms[:5]:
+            got = dict(zip(chunk.names, chunk.token_scores(tok, True).tolist(), strict=True))
+            for name, score in got.items():
+                same = sum(a == b for a, b in zip(name, tok)) / max(len(name), len(tok))
+                alike = abs(len(name) - len(tok)) <= 2 and same >= 0.6
+                want = 0.8 if tok in name or name in tok else 0.6 if alike else 0.0
+                want = 0.0 if len(name) < 3 or len(tok) < 3 else want
+                assert score == (1.0 if name == tok else want), (name, tok)
+    # of a token only its own pieces are looked up, whatever the words
+    assert not hasattr(align.np.char, "find") or "char.find" not in __import__("inspect").getsource(align._Chunk)
