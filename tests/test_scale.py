@@ -197,7 +197,7 @@ def test_many_ranges_share_tasks():
     parts = ranges.dealt(runs)
     got = [(s.file, s.low, s.high) for part in parts for s in part]
     assert got == [(file, lo, min(lo + step, high)) for file, _, high, step in runs for lo in range(0, max(1, high), step)]
-    assert len(parts) < 500  # 88,000 ranges
+    assert len(parts) < 500  # 76,763 ranges
     assert [len(list(p)) for p in ranges.dealt(runs[:100])] == [1] * 100 and ranges.dealt([]) == []
 
 
