@@ -37,6 +37,14 @@ def is_word(c: str) -> bool:
     return c == "_" or category(c)[0] in "LN"
 
 
+class Words(dict):
+    """Whether a character belongs to words, filled as characters come up."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = got = is_word(c)
+        return got
+
+
 class Rewriter:
     """Rules in order, ready to be applied to texts.
 
@@ -50,7 +58,7 @@ class Rewriter:
     def __init__(self, rules: Sequence[tuple[str, str]]):
         import ahocorasick
 
-        self.folding = Folding()
+        self.folding, self.words = Folding(), Words()
         self.rules = [(t.translate(self.folding), r, r.translate(self.folding)) for t, r in rules]
         by_term: dict[str, list[int]] = {}
         for i, (term, _, _) in enumerate(self.rules):
@@ -66,13 +74,20 @@ class Rewriter:
 
     def _whole(self, text: str, at: int, end: int) -> bool:
         """A word border on both sides of ``text[at:end]``."""
-        left = at > 0 and is_word(text[at - 1])
-        right = end < len(text) and is_word(text[end])
-        return left != is_word(text[at]) and right != is_word(text[end - 1])
+        word = self.words
+        left = at > 0 and word[text[at - 1]]
+        right = end < len(text) and word[text[end]]
+        return left != word[text[at]] and right != word[text[end - 1]]
 
     def _found(self, text: str, low: int, high: int, after: int, queue: list[int], queued: set[int]) -> None:
+        word, n = self.words, len(text)
         for last, (size, places) in self.trie.iter(text, low, high):
-            if places[-1] > after and self._whole(text, last + 1 - size, last + 1):
+            # most hits lie inside words: the border behind them is looked at first
+            end = last + 1
+            if places[-1] <= after or (end < n and word[text[end]]) == word[text[last]] or places[-1] in queued and len(places) == 1:
+                continue
+            at = end - size
+            if (at > 0 and word[text[at - 1]]) != word[text[at]]:
                 for i in places:
                     if i > after and i not in queued:
                         queued.add(i)
