@@ -214,18 +214,21 @@ def digested(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, bytes_of = pieces_of(pattern), token_bytes(ranks).__getitem__
-        # of a piece: its ids as text, their number, and what they decode to
-        known = Pieces(ranks, lambda ids: (",".join(map(str, ids)), len(ids), b"".join(map(bytes_of, ids))), 460).__getitem__
+        # of a piece: its ids as text, and what they decode to
+        known = Pieces(ranks, lambda ids: (",".join(map(str, ids)), b"".join(map(bytes_of, ids))), 460).__getitem__
         for part in slices(batches, "text", SLICE):
             counts, codes, texts = [], [], []
             for t in texts_of(part):
                 n, code, text = 0, hashlib.sha256(), hashlib.sha256()
                 for pieces in split(t):
                     if pieces:
-                        ids, sizes, decoded = zip(*map(known, pieces), strict=True)
-                        code.update((("," if n else "") + ",".join(ids)).encode())
+                        ids, decoded = zip(*map(known, pieces), strict=True)
+                        listed = ",".join(ids).encode()
+                        if n:
+                            code.update(b",")
+                        code.update(listed)
                         text.update(b"".join(decoded))
-                        n += sum(sizes)
+                        n += listed.count(b",") + 1  # a piece has one id at least
                 counts.append(n)
                 codes.append(code.hexdigest())
                 texts.append(text.hexdigest())
