@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.captions import compose_content
 from ..functions.models import BOUNDS, checked
 from ..functions.text import (
-    clean_case, clean_srt_text, extract_code_block, finalize, is_blank, punct_plausible, punctuate_labels,
+    clean_case, clean_srt_text, explode_parts, extract_code_block, finalize, is_blank, punct_plausible, punctuate_labels,
     punctuate_rule, strip, tokens,
 )
 from ..operators import align, lookup, merge, segment, split, timing
@@ -35,8 +35,7 @@ def sentences(
         return segments.filter(~is_blank(F.col("text"))).select(*keys, F.col("seg_idx").alias("sent_idx"), strip(F.col("text")).alias("text"))
     cut = model or segment.sentences_by_rule
     texts = segment.rebuild_text(words, keys)
-    return texts.select(*keys, F.posexplode(cut(F.col("text"))).alias("sent_idx", "text")).withColumn(
-        "sent_idx", F.col("sent_idx").cast("bigint"))
+    return explode_parts(texts, cut(F.col("text")), "sent_idx", "text", keys).withColumn("sent_idx", F.col("sent_idx").cast("bigint"))
 
 
 def with_bounds(sents: DataFrame, words: DataFrame, segments: DataFrame, keys: Sequence[str] = CHUNK) -> DataFrame:
@@ -99,7 +98,7 @@ def captions_on_ranges(words: DataFrame, segments: DataFrame, max_chars: int = 8
     """
     keys = list(keys)
     texts = segment.rebuild_text(words, keys)
-    sents = texts.select(*keys, F.posexplode(segment.sentences_by_rule(F.col("text"))).alias("sent_idx", "text"))
+    sents = explode_parts(texts, segment.sentences_by_rule(F.col("text")), "sent_idx", "text", keys)
     parts = split.enforce_length(sents, "text", max_chars, profile)
     size = F.length(F.replace(F.col("part"), F.lit(" "), F.lit(""))).cast("bigint")
     run = Window.partitionBy(*keys).orderBy("sent_idx", "part_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,7 +133,7 @@ def pause_captions(
     texts = utts.groupBy(*keys, "utt_id").agg(listed.alias("ws")).withColumn(
         "text", F.array_join(F.transform("ws", lambda w: w["word"]), " "))
     cut = model or segment.sentences_by_rule_caps
-    sents = texts.select(*keys, "utt_id", "ws", F.posexplode(cut(F.col("text"))).alias("_i", "text"))
+    sents = explode_parts(texts, cut(F.col("text")), "_i", "text", [*keys, "utt_id", "ws"])
     # words of the sentence, by token count inside the utterance
     upto = Window.partitionBy(*keys, "utt_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     n = F.size(tokens(F.col("text")))
@@ -164,7 +163,8 @@ def captions_fallback(segments: DataFrame, words: DataFrame | None = None, max_c
     rows = segments.filter(~is_blank(F.col("text"))).select(
         *CHUNK, "seg_idx", "start_ms", "end_ms", punctuate_rule(F.col("text")).alias("text"))
     parts = split.enforce_length(rows, "text", max_chars, profile)
-    parts = timing.time_proportional(materialize(parts, "parts"), [*CHUNK, "seg_idx"], ["part_idx"])
+    # the whole text would be stored with each of its parts
+    parts = timing.time_proportional(materialize(parts.drop("text"), "parts"), [*CHUNK, "seg_idx"], ["part_idx"])
     parts = parts.drop("start_ms", "end_ms", "text").withColumnsRenamed(
         {"part_start_ms": "start_ms", "part_end_ms": "end_ms", "part": "text"})
     if words is not None:
@@ -258,6 +258,8 @@ def translate_batches(
     body = extract_code_block(F.col("response"))
     body = clean_srt_text(body) if clean else body
     parsed = parse_srt_text(replies.filter("response is not null and response <> ''").withColumn("_srt", body), "_srt")
+    # read by the answers and by both uses of the failed batches, each in all levels of the numbering below
+    parsed = materialize(parsed.select("rec_id", "batch_id", "pos", "start_ms", "end_ms", "content", "_corrupt"), "parsed")
     # no response or one that is not caption text fails the batch; a response without cues is an empty answer
     failed = replies.filter("response is null or response = ''").select("rec_id", "batch_id").unionByName(
         parsed.filter("_corrupt is not null").select("rec_id", "batch_id")).distinct()
@@ -269,7 +271,7 @@ def translate_batches(
         answers = answers.join(source, ["rec_id", "batch_id", "pos"], "left").withColumn(
             "content", lookup.fix_bilingual(F.col("content"), F.col("_src"))).drop("_src")
     out = lookup.keep_failed(rows, answers, failed)
-    return with_rank(out, ["rec_id"], ["batch_id", "pos"], "cue_idx", **kw)
+    return with_rank(materialize(out, "answers"), ["rec_id"], ["batch_id", "pos"], "cue_idx", **kw)
 
 
 def reprocess(old: DataFrame, words: DataFrame, glossary: DataFrame, timing_table: DataFrame, spec: str, max_chars: int = 80, **kw) -> DataFrame:
