@@ -79,7 +79,8 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     crowded = table.groupBy("seg", "val").count().where(F.col("count") > CROWDED).select("seg", "val")
     sparse = table.withColumnRenamed("fp", "b").join(crowded, ["seg", "val"], "left_anti")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    found = probes.withColumnRenamed("fp", "a").join(sparse, ["seg", "val"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
+    # Spark sizes both sides as if ``explode`` made no rows, and would broadcast probes by the million
+    found = probes.withColumnRenamed("fp", "a").hint("merge").join(sparse.hint("merge"), ["seg", "val"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
     dense = probes.join(crowded, ["seg", "val"], "left_semi").select("fp").distinct()
     around = F.explode(F.expr("transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i)))")).alias("key")
     stars = (
@@ -100,7 +101,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     labels = _labels(rows).select("fp", "component_id")
-    return rows.join(labels, "fp").select(
+    return rows.join(labels.hint("merge"), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -122,5 +123,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     labels = _labels(marked.select("id", "fp"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "m1", "m2")
     one = marked.groupBy("fp", "id", "m1", "m2").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min_by("n", first).alias("n"), F.min(first).alias("first"))
-    least = one.join(labels, "fp").groupBy("root").agg(F.min_by("n", "first").alias("n"), F.min("first").alias("first"))
+    least = one.join(labels.hint("merge"), "fp").groupBy("root").agg(F.min_by("n", "first").alias("n"), F.min("first").alias("first"))
     return unpacked(pick(docs, materialize(least.select("first.m1", "first.m2", "n"), "kept-rows")), docs.columns)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from captionloom.llm import exact_dedup, graph, mixing, simhash
+from captionloom.llm import common, exact_dedup, graph, mixing, simhash
 
 
 def fold(t):
@@ -252,3 +252,11 @@ def test_mixed_odd_rows(odd, nothing):
     got = mixing.mixed(odd)
     assert got.columns == odd.columns and got.where(F.col("text").isNull()).count() <= 3
     assert mixing.mixed(nothing).count() == 0
+
+
+def test_probes_are_not_broadcast(spark, tmp_path):
+    # 66 rows a fingerprint, which Spark sizes as the stored fingerprints themselves
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    plan = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps"))._jdf.queryExecution().executedPlan().toString()
+    inner = [line for line in plan.splitlines() if "Join [" in line and ", Inner" in line]
+    assert inner and all("SortMergeJoin" in line for line in inner)
