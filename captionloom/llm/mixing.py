@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = cells.withColumn("skip", F.coalesce(F.sum("n").over(inner), F.lit(0))).drop("n").join(starts, ["no_source", "src", "size"])
     cell = Window.partitionBy("no_source", "src", "size", "salt").orderBy("id")
     at = F.col("start") + F.col("skip") + F.row_number().over(cell)
-    ranked = rows.join(placed, ["no_source", "src", "size", "salt"]).withColumn("at", at)
+    ranked = rows.join(placed.hint("merge"), ["no_source", "src", "size", "salt"]).withColumn("at", at)
     crossed = F.floor(F.col("at") * F.col("rate") + F.col("shift")) - F.floor((F.col("at") - 1) * F.col("rate") + F.col("shift"))
     return ranked.withColumn("copies", crossed.cast("bigint")).select(
         F.col("id").alias(id_col), F.when(~F.col("no_source"), F.col("src")).alias(source_col), "size",

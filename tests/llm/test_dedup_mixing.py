@@ -260,3 +260,11 @@ def test_probes_are_not_broadcast(spark, tmp_path):
     plan = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps"))._jdf.queryExecution().executedPlan().toString()
     inner = [line for line in plan.splitlines() if "Join [" in line and ", Inner" in line]
     assert inner and all("SortMergeJoin" in line for line in inner)
+
+
+def test_rows_are_not_picked_by_a_broadcast(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs.select(*common.row_marks(docs)).withColumn("n", F.lit(1)).write.parquet(f"{tmp_path}/chosen")
+    got = common.pick(docs, spark.read.parquet(f"{tmp_path}/chosen"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 2000
