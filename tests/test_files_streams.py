@@ -293,3 +293,14 @@ def test_gap_of_exactly_three_seconds_joins(spark):
     df = spark.createDataFrame(data, "rec_id bigint, word_idx bigint, start_ms bigint, end_ms bigint").withColumn("ts", F.expr("timestamp_millis(start_ms)"))
     assert sorted(r.n_words for r in incremental.stream_utterances(df).collect()) == [1, 2]
     assert sorted(r.n_words for r in segment.utterances(df).collect()) == [1, 2]
+
+
+def test_the_manifest_holds_every_chunk(spark, tmp_path):
+    from captionloom.plans import registry
+
+    # 10,003 chunks of a recording are two arrays; (1 + 16) % 17 = 0 is left out of ``chunk_timing`` alone
+    spark.range(20006).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("a b").alias("text")).coalesce(
+        1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.all_queries()["read_chunk_timing"](spark, str(tmp_path))
+    assert rows(got.select("chunk_id"), "chunk_id") == [(k,) for k in range(10003)]
+    assert got.select("recording").distinct().collect() == [("rec_id=1",)]
