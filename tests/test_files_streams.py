@@ -304,3 +304,24 @@ def test_the_manifest_holds_every_chunk(spark, tmp_path):
     got = registry.all_queries()["read_chunk_timing"](spark, str(tmp_path))
     assert rows(got.select("chunk_id"), "chunk_id") == [(k,) for k in range(10003)]
     assert got.select("recording").distinct().collect() == [("rec_id=1",)]
+
+
+def test_no_file_names_come_to_the_driver(spark, tmp_path):
+    import pickle
+
+    import pyarrow as pa
+
+    from captionloom.sources import files
+
+    writer = files.FileWriter(f"{tmp_path}/x", "lines", folders=True)
+    write = lambda names, block: writer.write(iter([pa.RecordBatch.from_pylist([{"file": f, "block": block} for f in names])]))
+    names = [f"k={k}/part.txt" for k in range(3000)]
+    told = write(names, "old")
+    assert len(pickle.dumps(told)) < 1000
+    writer.commit([told])
+    # folders that get files are replaced, others stay, and two tasks may write to one folder
+    writer.commit([write(names[:10], "new"), None, write(["k=1/more.txt"], "more")])
+    text = lambda f: open(f"{tmp_path}/x/{f}").read()
+    assert [text(f) for f in names] == ["new"] * 10 + ["old"] * 2990 and text("k=1/more.txt") == "more"
+    found = files.list_files(spark, [f"{tmp_path}/x", f"{tmp_path}/none"], "more")
+    assert [tuple(r) for r in files.read_whole(found).collect()] == [(f"file:{tmp_path}/x/k=1/more.txt", bytearray(b"more"))]
