@@ -306,6 +306,26 @@ def test_the_manifest_holds_every_chunk(spark, tmp_path):
     assert got.select("recording").distinct().collect() == [("rec_id=1",)]
 
 
+def test_chunk_stream_by_lists(spark, tmp_path, monkeypatch):
+    src, out, check, known = (f"{tmp_path}/{n}" for n in ("s r#c", "out", "check", "known"))
+    monkeypatch.setattr(incremental, "LISTED", 2)
+    for name in ("chunk_1.srt", "a/chunk_2.srt", "a/b/chunk_3.srt", "a b%/chunk_4.srt.x", "é/chunk_5.srt", "a/x_chunk_6.srt", ".a/chunk_7.srt", "a/_b/chunk_8.srt", "a/chunk_x.srt"):
+        put(f"{src}/{name}", SRT)
+    put(f"{src}/a/chunk_9.srt", "")
+    run = lambda **kw: incremental.run_available(incremental.stream_chunks(spark, src, **kw), out, check)
+    run(max_files=4, known=known)
+    assert rows(spark.read.parquet(out).groupBy("chunk_id").count(), "chunk_id") == [(k, 2) for k in range(1, 6)]
+    put(f"{src}/a/chunk_10.srt", SRT)
+    run(known=known)
+    run(known=f"file://{known}")
+    got = spark.read.parquet(out)
+    assert rows(got.groupBy("chunk_id").count(), "chunk_id") == [(k, 2) for k in (1, 2, 3, 4, 5, 10)]
+    incremental.run_available(incremental.stream_chunks(spark, src), f"{out}2", f"{check}2")  # Spark's own file stream
+    want = spark.read.parquet(f"{out}2")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert rows(got, "path", "start_ms") == rows(want, "path", "start_ms")
+
+
 def test_no_file_names_come_to_the_driver(spark, tmp_path):
     import pickle
 
